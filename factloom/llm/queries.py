@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, sharding, url_filter
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_url_filter": url_filter.op8_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filter": url_filter.OP8_SQL,
+}
