@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filter
+from . import packing, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_warc": warc.op9_warc,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op8_url_filter": url_filter.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
