@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .scratch import durable
 
 #: White space by the Unicode property, as the tokenizer's pattern sees it: it separates words and never enters a token.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "\t\n\x0b\x0c\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Words remembered by one Python worker; when full, the memory starts anew.
 REMEMBERED = 800_000
 

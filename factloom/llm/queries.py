@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, sharding, url_filter, warc
+from . import byte_bpe, packing, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
