@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, quality_rules, sharding, url_filter, warc
+from . import byte_bpe, packing, quality_rules, sharding, spotsigs, url_filter, warc
 
 QUERIES = {
+    "op3_spotsigs": spotsigs.op3_spotsigs,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
