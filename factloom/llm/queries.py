@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, quality_rules, sharding, spotsigs, url_filter, warc
+from . import byte_bpe, packing, quality_rules, sharding, spotsigs, tool_calls, url_filter, warc
 
 QUERIES = {
     "op3_spotsigs": spotsigs.op3_spotsigs,
+    "op4_tool_calls": tool_calls.op4_tool_calls,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_tool_calls": tool_calls.OP4_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
