@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,12 @@ class WordTokenizer:
         return b"".join([known[w] for w in parts])
 
 
+@lru_cache(1)
+def tokenizer(vocabulary: str) -> WordTokenizer:
+    """One tokenizer per Python worker, so that words stay known from task to task."""
+    return WordTokenizer(vocabulary)
+
+
 _PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "piece", "start", "length", "ids_crc32")])
 
 
@@ -78,11 +85,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer = WordTokenizer(vocabulary)
+        words = tokenizer(vocabulary)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokenizer.ids(text.as_py() or "") + end
+                ids = words.ids(text.as_py() or "") + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
