@@ -67,7 +67,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4, least_share: float = 0.015, least_z: float = 8.0) -> Model:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_share: float = 0.015, least_z: float = 6.0) -> Model:
     """Minimise the non-negative PU risk with logistic loss by Adam over all examples.
 
     Copies count once among the examples.  Only features whose rates among positives and unlabelled text differ by least_z
