@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, quality_rules, sharding, spotsigs, tool_calls, toxicity, url_filter, warc
+from . import byte_bpe, ngram_join, packing, quality_rules, sharding, spotsigs, tool_calls, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_tool_calls": tool_calls.op4_tool_calls,
