@@ -8,12 +8,11 @@ expanded to classes and verified exactly.
 Order.  Rare n-grams come first.  Rarity is read from a table of 2**22 counters that all n-grams of the corpus are hashed
 into (fixed size, one pass); an order by any function of the n-gram is right, a good one is fast.
 
-Skew.  A posting list is never expanded into all its pairs at once.  In each round every list names a hub - the member
-with the fewest n-grams of its own, which near copies of one text have most in common with - and only (hub, member) pairs
-are verified.  Lists whose members have come together are done; once few pairs are left open, all those between
-different components are verified.  So the links tested grow with the rows of the lists, unless texts meet in long lists
-without being alike.  All n-gram sets that are verified are read through bounded joins; nothing of the size of the corpus
-reaches the driver.
+Skew.  A posting list is never expanded into its pairs.  First every list names a hub - the member with the fewest
+n-grams of its own, which near copies of one text have most in common with - and only (hub, member) pairs are verified.
+Lists whose members have come together are done.  The members of the others, gathered by hub, are families: they are
+dealt into blocks, every two blocks meet in one group of bounded size, and all their similarities are counted there at
+once; only links between different components leave it.  Nothing of the size of the corpus reaches the driver.
 
 Defined results: a null or empty text has no n-gram, links with nothing and is its own component; a text shorter than an
 n-gram is one n-gram; repeated rows (equal ids) are returned once each and share a component; ties are broken by the
@@ -179,12 +178,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
 
 
+#: Members of a family that meet at once in a task are two blocks of about this size.
+BLOCK = 192
+
+
+def _block_links(cids: np.ndarray, comps: np.ndarray, side: np.ndarray, grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components of the members of block 0 and those of block 1 (all of them if there is one block)."""
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1)
+    alone = not len(b) or not len(a)
+    if alone:
+        a = b = np.arange(len(cids))
+    if len(set(comps.tolist())) < 2:
+        return []
+    sizes = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    _, element, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[element] > 1
+    element, owner = number[element[shared]], owner[shared]
+    common = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    for lo in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        x, y = np.searchsorted(element, [lo, lo + width])
+        dense = np.zeros((len(cids), width), np.float32)
+        dense[owner[x:y], element[x:y] - lo] = 1
+        common += dense[a] @ dense[b].T
+    linked = 100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common)
+    linked &= comps[a][:, None] != comps[b][None, :]
+    out, seen = [], set()
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        pair = (int(comps[a[i]]), int(comps[b[j]]))
+        if pair not in seen and pair[::-1] not in seen:  # one link joins two components
+            seen.add(pair)
+            out.append((int(cids[a[i]]), int(cids[b[j]])))
+    return out
+
+
+def _within(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a family (hub, cid, comp) that are in different components.
+
+    Families are dealt into blocks, and every two blocks meet in a group of bounded size, where all similarities are
+    counted at once; only links leave it.
+    """
+    size = family.groupBy("hub").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    dealt = family.join(size.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "comp")
+    rows = dealt.join(sets, "cid").select("hub", "i", "j", "side", "cid", "comp", "grams")
+    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            side, cids, comps = (np.array([r[c] for r in held], np.int64) for c in range(3))
+            return _block_links(cids, comps, side, [r[3] for r in held], percent)
+
+        out = []
+        for batch in batches:
+            head = [c.to_pylist() for c in batch.columns[:6]]
+            grams = batch.column(6)
+            flat, offsets = np.asarray(grams.values), np.asarray(grams.offsets)
+            for r, (hub, i, j, side, cid, comp) in enumerate(zip(*head, strict=True)):
+                if (hub, i, j) != key:
+                    if len(held) > 1:
+                        out += done()
+                    key, held = (hub, i, j), []
+                held.append((side, cid, comp, flat[offsets[r] : offsets[r + 1]]))
+        if len(held) > 1:
+            out += done()
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _expand(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of groups (ga, gb) as pairs of their classes."""
     return group_pairs.join(members.toDF("ga", "a"), "ga").join(members.toDF("gb", "b"), "gb").select("a", "b")
 
 
-def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 3) -> DataFrame:
+def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -227,32 +304,23 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     items = component(members.select("gid", F.col("cid").alias("c")), "c").select("gid", F.col("c_c").alias("item")).distinct()
     torn = items.groupBy("gid").agg((F.count("*") > 1).alias("torn"))
     open_ = durable(lists.join(alone, "gid").join(torn, "gid").join(items, "gid").select("token", "gid", "n", "alone", "torn", "item"), "ngram-open")
-    tested = None
-    for round_ in range(hub_rounds + 1):
+    for star in (True, False):
         now = component(open_, "item")
         state = now.groupBy("token").agg(F.min("item_c").alias("c0"), F.max("item_c").alias("c1")).where("c0 <> c1").select("token")
         open_ = durable(now.join(state, "token").select("token", "gid", "n", "alone", "torn", F.col("item_c").alias("item")).distinct(), "ngram-open")
-        sizes = open_.groupBy("token").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not sizes.rows:
-            break
-        if round_ == hub_rounds or sizes.pairs <= 4 * sizes.rows:
-            a, b = open_.toDF("token", "ga", "na", "xa", "ta", "ia"), open_.toDF("token", "gb", "nb", "xb", "tb", "ib")
-            pairs = a.join(b, "token").where("ga < gb and ia <> ib")
-        else:
-            hubs = open_.groupBy("token").agg(F.min(F.struct("alone", "gid", "n", "torn", "item")).alias("hub"))
-            hubs = hubs.select("token", F.col("hub.gid").alias("ga"), F.col("hub.n").alias("na"), F.col("hub.torn").alias("ta"), F.col("hub.item").alias("ia"))
+        hubs = open_.groupBy("token").agg(F.min(F.struct("alone", "gid", "n", "torn", "item")).alias("hub"))
+        hubs = hubs.select("token", F.col("hub.gid").alias("ga"), F.col("hub.n").alias("na"), F.col("hub.torn").alias("ta"), F.col("hub.item").alias("ia"))
+        if star:
             pairs = hubs.join(open_.toDF("token", "gb", "nb", "xb", "tb", "ib"), "token").where("ga <> gb and (ia <> ib or ta)")
-            open_ = open_.join(hubs.select("token", F.col("ga").alias("gid")), ["token", "gid"], "left_anti")
-        near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = pairs.where(near).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["ga", "gb"], "left_anti")
-        pairs = durable(pairs, "ngram-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = durable(links.union(_verified(_expand(pairs, members), sets, percent)), "ngram-links")
+            near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+            pairs = pairs.where(near).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
+            found = _verified(_expand(pairs, members), sets, percent)
+        else:
+            family = open_.select("token", "gid").join(hubs.select("token", F.col("ga").alias("hub")), "token").select("hub", "gid").distinct()
+            rows = component(family.join(members, "gid").select("hub", "cid"), "cid").select("hub", "cid", F.col("cid_c").alias("comp"))
+            found = _within(rows.distinct(), sets, percent)
+        links = durable(links.union(found), "ngram-links")
         labels = label(links)
-        if round_ == hub_rounds or sizes.pairs <= 4 * sizes.rows:
-            break
     placed = component(classes.select("n", "s1", "s2", F.col("cid")), "cid").select("n", "s1", "s2", F.col("cid_c").alias("component_id"))
     rows = described.select("id", "n", "s1", "s2")
     # empty sets are their own components; all others look up that of their class
