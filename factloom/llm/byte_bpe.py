@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of what one Python worker remembers: states of the transducer, pair checks, encoded chunks of text.
-MAX_STATES, MAX_PAIRS, MAX_CHUNKS = 120_000, 400_000, 300_000
+MAX_STATES, MAX_PAIRS, MAX_CHUNKS = 250_000, 400_000, 200_000
 
 #: White space by Unicode other than space and line feed, and the separators 1C-1F.
 ODD_SPACES = "\t\r\x0b\x0c\x1c-\x1f" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -176,12 +176,12 @@ class Transducer:
         out: list[int] = []
         state, steps = 0, self.steps
         for byte in data:
-            made = steps[state].get(byte)
-            if made is None:
-                made = self._step(state, byte)
-            state, ready = made
+            try:
+                state, ready = steps[state][byte]
+            except KeyError:
+                state, ready = self._step(state, byte)
             if ready:
-                out.extend(ready)
+                out += ready
         for _, node, owed in self.states[state]:
             if node == 0:
                 out.extend(owed)
@@ -265,6 +265,8 @@ class Encoder:
         #: white space next to a space, at an end, or other than space and line feed
         self.odd = re.compile("  |\n | \n|^ | $|[" + ODD_SPACES + "]")
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.spelled = [str(i) for i in range(max(self.transducer.bytes_of) + 1)]
         self.pieces = lru_cache(100_000)(lambda piece: tuple(self.transducer.encode(piece.encode())))
 
     def ids(self, text: str) -> list[int]:
@@ -272,13 +274,17 @@ class Encoder:
         return [i for m in self.pattern.findall(text) for i in self.pieces(m)]
 
     def _chunk(self, chunk: str) -> tuple[str, bytes]:
+        """Ids in decimal and decoded bytes of a chunk; two generations of memory keep what was met lately."""
         made = self.known.get(chunk)
         if made is None:
-            ids = self.ids(chunk)
-            bytes_of = self.transducer.bytes_of
-            made = " ".join(map(str, ids)), b"".join([bytes_of[i] for i in ids])
+            made = self.older.get(chunk)
+            if made is None:
+                # a space and ASCII letters are one match of the pattern
+                ids = self.transducer.encode(chunk.encode()) if chunk[1:].isalpha() and chunk.isascii() and (chunk[0] == " " or chunk[0].isalpha()) else self.ids(chunk)
+                bytes_of = self.transducer.bytes_of
+                made = " ".join([self.spelled[i] for i in ids]), b"".join([bytes_of[i] for i in ids])
             if len(self.known) >= MAX_CHUNKS:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[chunk] = made
         return made
 

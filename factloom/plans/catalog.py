@@ -2,5 +2,158 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import comparison, inputs, metrics, validation
+from ..sources.facts_adapter import FACTS_SQL
+from ..sources.facts_adapter import facts as _facts
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def facts(spark, sf_dir: str):
+    """The facts table; it is a few rows per nation and year, and every operator reads it several times, so it is kept."""
+    return _facts(spark, sf_dir).cache()
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+_BASE = f"WITH {FACTS_SQL.strip()},\n{inputs.SELECTED_SQL.strip()}"
+_KEY = "doc_id, scope, year, period_type, start_date, end_date, is_restated"
+
+
+def _metric_query(name: str):
+    return lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir)).where(F.col("metric") == name)
+
+
+for _name in ("revenue_growth", "net_income_growth", "net_margin", "operating_margin", "gross_margin", "debt_to_assets", "ocf_margin", "free_cash_flow"):
+    _add(_name, _metric_query(_name), f"{_BASE},\n{metrics.METRICS_SQL.strip()}\nSELECT * FROM metrics WHERE metric = '{_name}'")
+
+_add("compute_metrics", lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir)), f"{_BASE},\n{metrics.METRICS_SQL.strip()}\nSELECT * FROM metrics")
+_add(
+    "select_value_consensus",
+    lambda spark, sf_dir: inputs.select_values(facts(spark, sf_dir)).select(*inputs.REPORT, "statement_type", "canonical_name", *inputs.PERIOD, "n_sources", F.round(F.col("amount").cast("double"), 6).alias("amount"), "currency", "reason"),
+    f"{_BASE}\nSELECT doc_id, scope, statement_type, canonical_name, year, period_type, start_date, end_date, is_restated, n_sources, round(amount::DOUBLE, 6) AS amount, currency, reason FROM selected",
+)
+_add(
+    "balance_equation_checks",
+    lambda spark, sf_dir: validation.balance_checks(facts(spark, sf_dir)),
+    f"{_BASE},\n{validation.BALANCE_SQL.strip()}\nSELECT {_KEY}, 'balance_sheet_equation' AS rule, status, reason, CASE WHEN reason = '' THEN round(diff::DOUBLE, 6) END AS difference, "
+    "CASE WHEN reason = '' THEN round(CASE WHEN larger = 0 THEN 0 ELSE diff::DOUBLE / larger::DOUBLE END, 9) END AS relative, CASE WHEN reason = '' THEN round(tol, 6) END AS tolerance FROM balance",
+)
+_add(
+    "latest_balance_check",
+    lambda spark, sf_dir: validation.latest_balance(facts(spark, sf_dir)),
+    f"{_BASE},\n{validation.BALANCE_SQL.strip()}\nSELECT doc_id, scope, year, status, CASE WHEN reason = '' THEN round(diff::DOUBLE, 6) END AS difference, CASE WHEN reason = '' THEN round(tol, 6) END AS tolerance "
+    "FROM balance QUALIFY row_number() OVER (PARTITION BY doc_id, scope ORDER BY year DESC) = 1",
+)
+_COVER = "SELECT * FROM facts WHERE NOT (doc_id % 7 = 1 AND statement_type = 'cash_flow') AND NOT (doc_id % 7 = 2 AND scope = 'parent' AND statement_type = 'balance_sheet')"
+_add(
+    "statement_coverage",
+    lambda spark, sf_dir: validation.statement_coverage(facts(spark, sf_dir).where("not (doc_id % 7 = 1 and statement_type = 'cash_flow') and not (doc_id % 7 = 2 and scope = 'parent' and statement_type = 'balance_sheet')")),
+    f"{_BASE}, shown AS ({_COVER})\nSELECT doc_id, scope, s.statement_type, 'statement_coverage' AS rule, 'skipped' AS status, 'MISSING_STATEMENT' AS reason FROM (SELECT DISTINCT doc_id, scope FROM shown) r "
+    "CROSS JOIN (VALUES ('income_statement'), ('balance_sheet'), ('cash_flow')) s(statement_type) WHERE NOT EXISTS (SELECT 1 FROM shown h WHERE h.doc_id = r.doc_id AND h.scope = r.scope AND h.statement_type = s.statement_type)",
+)
+_add(
+    "input_quality_checks",
+    lambda spark, sf_dir: validation.input_quality(facts(spark, sf_dir)),
+    f"{_BASE}\nSELECT doc_id, scope, statement_type, canonical_name, year, period_type, start_date, end_date, is_restated, 'input_quality' AS rule, CASE WHEN reason IN ('CONFLICT', 'NON_FINITE') THEN 'failed' ELSE 'skipped' END AS status, reason, n_sources FROM selected WHERE reason <> ''",
+)
+_POINTS = f"WITH {FACTS_SQL.strip()},\n{comparison.POINTS_SQL.strip()}"
+_points = lambda spark, sf_dir: comparison.compare_reports(comparison.two_documents(facts(spark, sf_dir)))
+_add("compare_two_reports", _points, f"{_POINTS}\nSELECT * FROM points")
+_add("comparison_status_counts", lambda spark, sf_dir: _points(spark, sf_dir).groupBy("scope", "status", "reason").agg(F.count("*").alias("n")), f"{_POINTS}\nSELECT scope, status, reason, count(*) AS n FROM points GROUP BY ALL")
+_add(
+    "comparison_warnings",
+    lambda spark, sf_dir: comparison.comparison_warnings(_points(spark, sf_dir)),
+    f"{_POINTS}\nSELECT pair_id, scope, count(DISTINCT year) < 3 AS few_years, NOT bool_or(status = 'matched') AS no_overlap FROM points GROUP BY ALL",
+)
+_add(
+    "trend_eligibility",
+    lambda spark, sf_dir: comparison.trend_eligibility(_points(spark, sf_dir)),
+    f"{_POINTS}\nSELECT *, consecutive AND complete AND one_currency AND one_signature AND n_years >= 3 AS can_trend FROM (SELECT pair_id, scope, statement_type, canonical_name, count(*) AS n_years, max(year) - min(year) + 1 = count(*) AS consecutive, "
+    "bool_and(value IS NOT NULL) AS complete, count(DISTINCT currency) = 1 AS one_currency, count(DISTINCT sig) = 1 AS one_signature FROM points GROUP BY ALL)",
+)
+
+from ..operators import bridges  # noqa: E402
+
+_add(
+    "gross_profit_bridge",
+    lambda spark, sf_dir: bridges.gross_profit_bridge(facts(spark, sf_dir)),
+    f"""{_BASE},
+{bridges.PAIR_SQL.strip()},
+v AS (
+    SELECT p.*, r0.amount AS r0, r1.amount AS r1, c0.amount AS c0, c1.amount AS c1, g0.amount AS g0, g1.amount AS g1, g0.reason AS gw0, g1.reason AS gw1, r0.ocr OR r1.ocr OR c0.ocr OR c1.ocr AS ocr,
+           greatest(1, 2 * greatest(r0.scale, r1.scale, c0.scale, c1.scale)) AS tol, r0.currency AS cur, g0.currency AS gc0, g1.currency AS gc1,
+           list_distinct([x FOR x IN [coalesce(r0.reason, 'MISSING'), coalesce(c0.reason, 'MISSING'), coalesce(r1.reason, 'MISSING'), coalesce(c1.reason, 'MISSING')] IF x <> '']) AS whys,
+           len(list_distinct([r0.currency, c0.currency, r1.currency, c1.currency])) > 1 AS mixed
+    FROM pair p
+    LEFT JOIN selected r0 ON r0.doc_id = p.doc_id AND r0.scope = p.scope AND r0.canonical_name = 'revenue' AND r0.year = p.latest - 1
+    LEFT JOIN selected r1 ON r1.doc_id = p.doc_id AND r1.scope = p.scope AND r1.canonical_name = 'revenue' AND r1.year = p.latest
+    LEFT JOIN selected c0 ON c0.doc_id = p.doc_id AND c0.scope = p.scope AND c0.canonical_name = 'cost_of_revenue' AND c0.year = p.latest - 1
+    LEFT JOIN selected c1 ON c1.doc_id = p.doc_id AND c1.scope = p.scope AND c1.canonical_name = 'cost_of_revenue' AND c1.year = p.latest
+    LEFT JOIN selected g0 ON g0.doc_id = p.doc_id AND g0.scope = p.scope AND g0.canonical_name = 'gross_profit' AND g0.year = p.latest - 1
+    LEFT JOIN selected g1 ON g1.doc_id = p.doc_id AND g1.scope = p.scope AND g1.canonical_name = 'gross_profit' AND g1.year = p.latest
+), w AS (
+    SELECT *, r0 - abs(c0) AS s, r1 - abs(c1) AS e, r1 - r0 AS re, abs(c0) - abs(c1) AS ce,
+           CASE WHEN n_now <> 1 OR n_before <> 1 THEN 'GP_NOT_UNIQUE' WHEN len(whys) > 0 THEN 'GP_INPUT:' || array_to_string(whys, ';') WHEN mixed THEN 'GP_INPUT:CURRENCY_MIX'
+                WHEN sign(c0) * sign(c1) < 0 THEN 'GP_SIGN' WHEN gw0 <> '' THEN 'GP_REPORTED' WHEN gc0 <> cur THEN 'GP_CURRENCY' WHEN abs(g0 - (r0 - abs(c0))) > tol THEN 'GP_MISMATCH'
+                WHEN gw1 <> '' THEN 'GP_REPORTED' WHEN gc1 <> cur THEN 'GP_CURRENCY' WHEN abs(g1 - (r1 - abs(c1))) > tol THEN 'GP_MISMATCH' ELSE '' END AS reason
+    FROM v
+), m AS (SELECT *, CASE WHEN greatest(abs(s), abs(e), abs(re), abs(ce)) >= 1000000 THEN 1e8 WHEN greatest(abs(s), abs(e), abs(re), abs(ce)) >= 10000 THEN 1e4 ELSE 1.0 END AS d FROM w)
+SELECT doc_id, scope, latest AS year, reason, CASE WHEN reason = '' THEN CASE d WHEN 1e8 THEN '亿' WHEN 1e4 THEN '万' ELSE '' END || CASE cur WHEN 'CNY' THEN '元' WHEN 'USD' THEN '美元' END END AS unit,
+       CASE WHEN reason = '' THEN round(s::DOUBLE / d, 6) END AS start, CASE WHEN reason = '' THEN round(re::DOUBLE / d, 6) END AS revenue_effect, CASE WHEN reason = '' THEN round(ce::DOUBLE / d, 6) END AS cost_effect,
+       CASE WHEN reason = '' THEN round(e::DOUBLE / d, 6) END AS "end", coalesce(reason = '' AND gw0 IS NOT NULL AND gw1 IS NOT NULL, FALSE) AS verified, coalesce(ocr, FALSE) AS provisional
+FROM m""",
+)
+_add(
+    "revenue_segment_bridge",
+    lambda spark, sf_dir: bridges.revenue_segment_bridge(facts(spark, sf_dir)),
+    f"""{_BASE},
+{bridges.PAIR_SQL.strip()},
+t AS (
+    SELECT p.*, r0.amount AS t0, r1.amount AS t1, r0.currency AS cur, CASE WHEN n_now <> 1 OR n_before <> 1 THEN 'SEG_NOT_UNIQUE' WHEN coalesce(r0.reason, 'x') <> '' OR coalesce(r1.reason, 'x') <> '' OR r0.currency <> r1.currency THEN 'SEG_TOTAL' ELSE '' END AS gate
+    FROM pair p
+    LEFT JOIN selected r0 ON r0.doc_id = p.doc_id AND r0.scope = p.scope AND r0.canonical_name = 'revenue' AND r0.year = p.latest - 1
+    LEFT JOIN selected r1 ON r1.doc_id = p.doc_id AND r1.scope = p.scope AND r1.canonical_name = 'revenue' AND r1.year = p.latest
+), s AS (
+    SELECT f.doc_id, f.scope, t.latest, t.t0, t.t1, t.cur, f.original_label AS label, max(f.value * f.multiplier) FILTER (f.year = t.latest - 1) AS v0, max(f.value * f.multiplier) FILTER (f.year = t.latest) AS v1
+    FROM t JOIN facts f ON f.doc_id = t.doc_id AND f.scope = t.scope WHERE gate = '' AND f.canonical_name IS NULL AND f.year IN (t.latest, t.latest - 1) GROUP BY ALL
+), ok AS (SELECT doc_id, scope, max(abs(v1 - v0)) AS most FROM s GROUP BY doc_id, scope, t0, t1 HAVING sum(v0) = t0 AND sum(v1) = t1),
+d AS (SELECT s.*, CASE WHEN greatest(t0, t1, most) >= 1000000 THEN 1e8 WHEN greatest(t0, t1, most) >= 10000 THEN 1e4 ELSE 1.0 END AS d FROM s JOIN ok USING (doc_id, scope))
+SELECT doc_id, scope, latest AS year, '' AS reason, label, round((v1 - v0)::DOUBLE / d, 6) AS effect, CASE d WHEN 1e8 THEN '亿' WHEN 1e4 THEN '万' ELSE '' END || '元' AS unit FROM d
+UNION ALL SELECT doc_id, scope, latest, CASE WHEN gate = '' THEN 'SEG_NOT_FOUND' ELSE gate END, NULL, NULL, NULL FROM t WHERE (doc_id, scope) NOT IN (SELECT (doc_id, scope) FROM ok)""",
+)
+_add(
+    "kpi_cards",
+    lambda spark, sf_dir: bridges.cards(facts(spark, sf_dir)),
+    f"""{_BASE},
+{metrics.METRICS_SQL.strip()},
+spec(ord, card, st, fmt) AS (VALUES {", ".join(f"({i}, '{n}', {f"'{s}'" if s else 'NULL'}, '{f}')" for i, (n, s, f) in enumerate(bridges.CARDS, 1))}),
+per AS (SELECT DISTINCT doc_id, scope, statement_type = 'balance_sheet' AS point, year, end_date, is_restated FROM facts WHERE statement_type IN ('income_statement', 'balance_sheet')),
+uni AS (SELECT doc_id, scope, point, year, any_value(end_date) AS end_date, any_value(is_restated) AS is_restated FROM per GROUP BY doc_id, scope, point, year HAVING count(*) = 1),
+last AS (SELECT doc_id, scope, max(year) AS latest FROM per WHERE NOT point GROUP BY ALL),
+vals AS (
+    SELECT s.doc_id, s.scope, c.ord, c.card, c.fmt, u.year, u.end_date, u.is_restated, s.amount::DOUBLE AS value, s.currency FROM spec c JOIN selected s ON s.statement_type = c.st AND s.canonical_name = c.card
+    JOIN uni u ON u.doc_id = s.doc_id AND u.scope = s.scope AND u.year = s.year AND u.is_restated = s.is_restated AND u.point = (c.st = 'balance_sheet') WHERE s.reason = ''
+    UNION ALL
+    SELECT m.doc_id, m.scope, c.ord, c.card, c.fmt, u.year, u.end_date, u.is_restated, m.value, m.unit FROM spec c JOIN metrics m ON c.st IS NULL AND m.metric = c.card
+    JOIN uni u ON u.doc_id = m.doc_id AND u.scope = m.scope AND u.year = m.year AND u.is_restated = m.is_restated AND u.point = (c.card = 'debt_to_assets') WHERE m.reason = '' AND m.value IS NOT NULL
+), k AS (
+    SELECT v.*, l.latest, max(CASE WHEN year = latest THEN currency END) OVER w AS nc, min(currency) OVER w <> max(currency) OVER w AS mixed FROM vals v JOIN last l USING (doc_id, scope) WINDOW w AS (PARTITION BY doc_id, scope, card)
+), z AS (SELECT *, CASE WHEN fmt = 'money' THEN value / 1e8 ELSE value END AS raw FROM k WHERE fmt = 'percent' OR NOT mixed OR currency IS NOT DISTINCT FROM nc),
+q AS (SELECT *, CASE WHEN fmt = 'percent' THEN 1.0 WHEN big < 0.0001 THEN 1e8 WHEN big < 0.01 THEN 1e4 ELSE 1.0 END AS fac FROM (SELECT *, max(abs(raw)) OVER (PARTITION BY doc_id, scope, card) AS big FROM z)),
+g AS (
+    SELECT doc_id, scope, latest, ord, card, fmt, fac, count(*) AS n_points, min(year) AS y0, max(year) AS y1, max(CASE WHEN year = latest THEN raw * fac END) AS cur, max(CASE WHEN year = latest - 1 THEN raw * fac END) AS prev,
+           count(DISTINCT is_restated) = 1 AS one, max(CASE WHEN year = latest THEN currency END) AS currency FROM q GROUP BY ALL
+)
+SELECT doc_id, scope, latest AS year, ord, card, CASE WHEN fmt = 'percent' THEN '%' ELSE CASE fac WHEN 1e8 THEN '' WHEN 1e4 THEN '万' ELSE '亿' END || CASE coalesce(currency, 'CNY') WHEN 'CNY' THEN '元' WHEN 'USD' THEN '美元' ELSE currency END END AS unit, n_points,
+       round(cur, 6) AS current, round(prev, 6) AS previous, round(cur - prev, 6) AS delta, CASE WHEN fmt = 'money' AND prev > 0 THEN round((cur - prev) / prev * 100, 6) END AS rate,
+       coalesce(cur IS NOT NULL AND n_points >= 3 AND y1 = latest AND y1 - y0 + 1 = n_points AND one, FALSE) AS can_trend
+FROM g""",
+)
