@@ -33,13 +33,14 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 _DOCS = "id long, n long, s1 long, s2 long, gh long, prefix array<long>"
 
 
-def prefix_length(n, percent: int):
-    """How many first n-grams two sets of similarity percent/100 must share one of."""
-    return n - (percent * n + 99) // 100 + 1
+def extra(n):
+    """By how much prefixes are longer than they must be; so many more n-grams two similar sets must then share there."""
+    return n // 20
 
 
-def prefix_length_column(n, percent: int):
-    return n - F.floor((percent * n + 99) / 100) + 1
+def prefix_length(n: int, percent: int) -> int:
+    """Two sets of similarity percent/100 share 1 + extra of their first so many n-grams, for the smaller extra of both."""
+    return min(n, n - (percent * n + 99) // 100 + 1 + extra(n))
 
 
 def _levels(docs: DataFrame, k: int) -> np.ndarray:
@@ -272,56 +273,43 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     classes = durable(keyed.groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.min("gh").alias("gh")), "ngram-classes")
     groups = classes.groupBy("gh", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
     heads = groups.select("gid", F.col("n").alias("hn"))
-    postings = keyed.select("id", "n", "prefix").join(heads, (F.col("id") == F.col("gid")) & (F.col("n") == F.col("hn")), "left_semi").dropDuplicates(["id"])
-    postings = postings.select(F.col("id").alias("gid"), "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("df > 1").select("token")
-    lists = durable(postings.join(shared, "token"), "ngram-lists")
-    # n-grams of the prefix that no other group has there: few in a text that others are copies of
-    own = lists.groupBy("gid").agg(F.min("n").alias("n"), F.count("*").alias("met"))
-    alone = own.select("gid", (prefix_length_column(F.col("n"), percent) - F.col("met")).alias("alone"))
-    members_all = classes.join(groups.select("gh", "n", "gid"), ["gh", "n"]).select("gid", "cid")
-    several = members_all.join(groups.where("size > 1").select("gid"), "gid", "left_semi")
-    wanted = members_all.join(lists.select("gid").distinct(), "gid", "left_semi").select("cid").union(several.select("cid")).distinct()
-    sets = durable(_sets_of(docs, k, durable(wanted, "ngram-wanted")), "ngram-sets")
-    members = durable(members_all.join(wanted, "cid", "left_semi").select("gid", "cid"), "ngram-members")
-
-    def label(links: DataFrame) -> DataFrame:
-        return durable(connected(links.toDF("u", "v")), "ngram-labels")
-
-    # inside groups: each class against the group's first, then what is still apart
-    first = several.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    links = durable(_verified(first, sets, percent), "ngram-links")
-    labels = label(links)
-
-    def component(df: DataFrame, node: str) -> DataFrame:
-        return df.join(labels.toDF(node, f"{node}_c"), node, "left").withColumn(f"{node}_c", F.coalesce(f"{node}_c", node))
-
-    apart = component(several.select("gid", F.col("cid").alias("a")), "a").select("gid", "a", "a_c")
-    inside = apart.join(apart.toDF("gid", "b", "b_c"), "gid").where("a < b and a_c <> b_c and a <> gid and b <> gid").select("a", "b")
-    links = durable(links.union(_verified(inside, sets, percent)), "ngram-links")
-    labels = label(links)
-    # a group counts as one item of its lists if its classes are together; else each component of it is an item
-    items = component(members.select("gid", F.col("cid").alias("c")), "c").select("gid", F.col("c_c").alias("item")).distinct()
-    torn = items.groupBy("gid").agg((F.count("*") > 1).alias("torn"))
-    open_ = durable(lists.join(alone, "gid").join(torn, "gid").join(items, "gid").select("token", "gid", "n", "alone", "torn", "item"), "ngram-open")
-    for star in (True, False):
-        now = component(open_, "item")
-        state = now.groupBy("token").agg(F.min("item_c").alias("c0"), F.max("item_c").alias("c1")).where("c0 <> c1").select("token")
-        open_ = durable(now.join(state, "token").select("token", "gid", "n", "alone", "torn", F.col("item_c").alias("item")).distinct(), "ngram-open")
-        hubs = open_.groupBy("token").agg(F.min(F.struct("alone", "gid", "n", "torn", "item")).alias("hub"))
-        hubs = hubs.select("token", F.col("hub.gid").alias("ga"), F.col("hub.n").alias("na"), F.col("hub.torn").alias("ta"), F.col("hub.item").alias("ia"))
-        if star:
-            pairs = hubs.join(open_.toDF("token", "gb", "nb", "xb", "tb", "ib"), "token").where("ga <> gb and (ia <> ib or ta)")
-            near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            pairs = pairs.where(near).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
-            found = _verified(_expand(pairs, members), sets, percent)
-        else:
-            family = open_.select("token", "gid").join(hubs.select("token", F.col("ga").alias("hub")), "token").select("hub", "gid").distinct()
-            rows = component(family.join(members, "gid").select("hub", "cid"), "cid").select("hub", "cid", F.col("cid_c").alias("comp"))
-            found = _within(rows.distinct(), sets, percent)
-        links = durable(links.union(found), "ngram-links")
-        labels = label(links)
-    placed = component(classes.select("n", "s1", "s2", F.col("cid")), "cid").select("n", "s1", "s2", F.col("cid_c").alias("component_id"))
+    postings = keyed.select("id", "n", F.size("prefix").alias("p"), "prefix").join(heads, (F.col("id") == F.col("gid")) & (F.col("n") == F.col("hn")), "left_semi").dropDuplicates(["id"])
+    lists = postings.select(F.col("id").alias("gid"), "n", "p", F.explode("prefix").alias("token"))
+    for _ in range(2):
+        # a list needs two members, and a member must be in as many lists as it shares n-grams with its nearest partner:
+        # of a partner's extra n-grams at least percent/100 as many as of its own
+        met = lists.join(lists.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "token")
+        met = durable(met, "ngram-met")
+        rich = met.groupBy("gid").agg(F.count("*").alias("met"), F.min("n").alias("n")).where(F.col("met") >= 1 + F.floor(F.floor(F.col("n") * percent / 100) / 20))
+        lists = met.join(rich.select("gid", "met"), "gid").select("token", "gid", "n", (F.col("p") - F.col("met")).alias("alone"), "p")
+    lists = durable(lists, "ngram-lists")
+    members_all = classes.join(groups.select("gh", "n", "gid", "size"), ["gh", "n"]).select("gid", "cid", "size")
+    members = durable(members_all.join(lists.select("gid").distinct().withColumn("listed", F.lit(True)), "gid", "left").where("listed or size > 1").select("gid", "cid", "size"), "ngram-members")
+    sets = durable(_sets_of(docs, k, members.select("cid")), "ngram-sets")
+
+    def near(a: str, b: str):
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+    # each class of a group against the group's first, and each member of a list against the list's hub: the one with the
+    # fewest n-grams in its prefix that no other group has there, as a text has that others are copies of
+    hubs = lists.groupBy("token").agg(F.min(F.struct("alone", "gid", "n")).alias("hub")).select("token", F.col("hub.gid").alias("ga"), F.col("hub.n").alias("na"))
+    met = durable(hubs.join(lists.select("token", F.col("gid").alias("gb"), F.col("n").alias("nb")), "token").where("ga <> gb"), "ngram-hubs")
+    pairs = met.where(near("na", "nb")).select("ga", "gb").distinct()
+    ids = members.select("gid", "cid")
+    first = members.where("size > 1 and cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
+    tried = _expand(pairs, ids).union(first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = durable(_verified(tried, sets, percent), "ngram-links")
+
+    def component(df: DataFrame, node: str, links: DataFrame) -> DataFrame:
+        labels = durable(connected(links.toDF("u", "v")), "ngram-labels")
+        return df.join(labels.toDF(node, "comp"), node, "left").withColumn("comp", F.coalesce("comp", node))
+
+    # lists whose members are together are done; the others' members, gathered by hub, are families, and so are groups
+    family = met.select(F.col("ga").alias("hub"), F.col("gb").alias("gid")).union(met.select("ga", F.col("ga").alias("gid"))).distinct()
+    family = family.join(ids, "gid").select("hub", "cid").union(members.where("size > 1").select("gid", "cid")).distinct()
+    links = durable(links.union(_within(component(family, "cid", links).select("hub", "cid", "comp"), sets, percent)), "ngram-links")
+    drop(lists, met, members, sets)
+    placed = component(classes.select("n", "s1", "s2", "cid"), "cid", links).select("n", "s1", "s2", F.col("comp").alias("component_id"))
     rows = described.select("id", "n", "s1", "s2")
     # empty sets are their own components; all others look up that of their class
     full = rows.where("n > 0").join(placed, ["n", "s1", "s2"], "left").select("id", "n", "component_id")
