@@ -157,3 +157,144 @@ SELECT doc_id, scope, latest AS year, ord, card, CASE WHEN fmt = 'percent' THEN
        coalesce(cur IS NOT NULL AND n_points >= 3 AND y1 = latest AND y1 - y0 + 1 = n_points AND one, FALSE) AS can_trend
 FROM g""",
 )
+
+from ..functions import text as T  # noqa: E402
+from ..operators import aliases, pages as page_ops  # noqa: E402
+
+
+def _pick(items: list[str], by: str):
+    """Column of the item that a number selects; items stand for printed cells, labels or headers."""
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (F.expr(by) + 1).cast("int"))
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+CELLS = ["{n}", "({n})", "-{n}", "{n}%", "¥{n}/股", "$ {n}", "$({n})", "($1)", "—", "N/A", "..", "--5", "１２３,４５６．５", "100 90", "1.234,5", "hello", "{n} 元/股", "(5)%", "1_000", "5d", ""]
+
+
+def _cells(spark, sf_dir: str):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2).alias("n"))
+    raw = F.replace(_pick(CELLS, f"(l_orderkey + l_linenumber) % {len(CELLS)}"), F.lit("{n}"), F.col("n"))
+    return line.select("l_orderkey", "l_linenumber", raw.alias("raw"))
+
+
+def _parse_number(spark, sf_dir: str):
+    value, kind = T.parse_number(F.col("raw"))
+    return _cells(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(value, 6).alias("value"), kind.alias("value_type"))
+
+
+_add(
+    "parse_number",
+    _parse_number,
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber, replace(({_sql_list(CELLS)})[((l_orderkey + l_linenumber) % {len(CELLS)} + 1)::INTEGER], '{{n}}', format('{{:,.2f}}', l_extendedprice::DECIMAL(12,2)::DOUBLE)) AS raw FROM lineitem),
+b AS (SELECT *, regexp_replace(trim(raw), '^[$¥￥€£]\\s*', '') AS x FROM c),
+p AS (SELECT *, regexp_matches(x, '[%％]\\s*$') AS pct, trim(regexp_replace(x, '[%％]\\s*$', '')) AS y FROM b),
+s AS (SELECT *, regexp_matches(y, '/\\s*(股|shares?)') AS shr, CASE WHEN regexp_matches(y, '/\\s*(股|shares?)') THEN trim(regexp_replace(regexp_replace(y, '[¥￥$€£元]', '', 'g'), '/\\s*(股|shares?)', '', 'g')) ELSE y END AS z FROM p),
+t AS (SELECT *, regexp_replace(regexp_replace(translate(z, '０１２３４５６７８９，．', '0123456789,.'), '(\\d)[,\\s](\\d)', '\\1\\2', 'g'), '(\\d)[,\\s](\\d)', '\\1\\2', 'g') AS w FROM s),
+u AS (SELECT *, w LIKE '(%' AND w LIKE '%)' AS par, CASE WHEN w LIKE '(%' AND w LIKE '%)' THEN trim(substr(w, 2, length(w) - 2)) ELSE w END AS v FROM t),
+m AS (SELECT *, v LIKE '-%' AS neg, CASE WHEN v LIKE '-%' THEN trim(substr(v, 2)) ELSE v END AS q FROM u),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(trim(raw), '^(—|–|-{{1,3}}|\\.{{2,}}|N/?A|n/?a|)$') AND regexp_matches(q, '^[+-]?(\\d+(_\\d+)*\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN CASE WHEN par OR neg THEN -1 ELSE 1 END * try_cast(replace(q, '_', '') AS DOUBLE) END AS value FROM m)
+SELECT l_orderkey, l_linenumber, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'unknown' WHEN shr THEN 'per_share' WHEN pct THEN 'percentage' ELSE 'unknown' END AS value_type FROM r""",
+)
+
+CONTEXTS = ["单位：人民币百万元", "(In millions of USD, except per share)", "人民币千元", "港币万元", "RMB thousand", "单位：元", "US$ billion", "EUR million, SGD million", "人民币 百万元 千元", "每股收益（元），人民币亿元", "no unit", "美元"]
+_UNITS = [("CNY", 1e6), ("USD", 1e6), ("CNY", 1e3), ("HKD", 1e4), ("CNY", 1e3), ("", 1.0), ("USD", 1e9), ("", 1e6), ("CNY", None), ("CNY", 1e8), ("", None), ("USD", 1.0)]
+
+
+def _detect_unit(spark, sf_dir: str):
+    currency, scale = T.detect_unit(_pick(CONTEXTS, f"s_suppkey % {len(CONTEXTS)}"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", currency.alias("currency"), scale.alias("multiplier"))
+
+
+_add("detect_unit", _detect_unit, f"SELECT s_suppkey, ({_sql_list([c for c, _ in _UNITS])})[(s_suppkey % {len(CONTEXTS)} + 1)::INTEGER] AS currency, ([{', '.join('NULL' if v is None else str(v) for _, v in _UNITS)}])[(s_suppkey % {len(CONTEXTS)} + 1)::INTEGER]::DOUBLE AS multiplier FROM supplier")
+
+HEADERS = ["2025年度", "December 31, 2024", "2025年13月40日", "2024 and 2025", "Three months 2025", "Restated 2024", "unrestated 2024", "半年度 2023", "附注", "2024/6/30", "12025", "FY2022 重述"]
+_PERIODS = [(2025, "annual", None, False), (2024, "annual", "2024-12-31", False), None, None, (2025, "quarter", None, False), (2024, "annual", None, True), (2024, "annual", None, False), (2023, "half_year", None, False), None, (2024, "annual", "2024-06-30", False), None, (2022, "annual", None, True)]
+
+
+def _detect_period(spark, sf_dir: str):
+    got = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", T.detect_period(_pick(HEADERS, f"s_suppkey % {len(HEADERS)}"), F.lit("income_statement")).alias("p"))
+    return got.select("s_suppkey", "p.year", "p.period_type", "p.end_date", "p.is_restated")
+
+
+_q = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+_add("detect_period", _detect_period, "SELECT s_suppkey, p.year, p.period_type, p.end_date, p.is_restated FROM (SELECT s_suppkey, CASE s_suppkey % 12 " + " ".join(f"WHEN {i} THEN {{'year': {_q(p[0])}, 'period_type': {_q(p[1])}, 'end_date': {_q(p[2])}::VARCHAR, 'is_restated': {_q(p[3])}}}" for i, p in enumerate(_PERIODS) if p) + " END AS p FROM supplier)")
+
+_documents = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _detect_language(spark, sf_dir: str):
+    language, confidence = T.detect_language(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", language.alias("language"), confidence.alias("confidence"))
+
+
+_add(
+    "detect_language",
+    _detect_language,
+    "SELECT doc_id, CASE WHEN n < 10 OR c + a = 0 THEN 'unknown' WHEN c / (c + a) > 0.3 THEN 'zh' ELSE 'en' END AS language, CASE WHEN n < 10 OR c + a = 0 THEN 0.0 WHEN c / (c + a) > 0.3 THEN round(c / (c + a), 3) ELSE round(1 - c / (c + a), 3) END AS confidence FROM "
+    "(SELECT doc_id, length(trim(text, ' \t\n\r')) AS n, length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]', '', 'g'))::DOUBLE AS c, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE AS a FROM documents)",
+)
+
+
+def _text_quality(spark, sf_dir: str):
+    per_page, scanned, warning = T.text_quality(F.col("text"), 1 + F.col("doc_id") % 7)
+    return _documents(spark, sf_dir).select("doc_id", per_page.alias("chars_per_page"), scanned.alias("scanned"), warning.alias("warning"))
+
+
+_add("text_quality", _text_quality, "SELECT doc_id, round(n / p, 1) AS chars_per_page, n / p < 80 AS scanned, CASE WHEN n / p < 80 THEN 'SCANNED' ELSE '' END AS warning FROM (SELECT doc_id, length(trim(text, ' \t\n\r'))::DOUBLE AS n, 1 + doc_id % 7 AS p FROM documents)")
+_add(
+    "year_mentions",
+    lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", T.years_in(F.col("text")).alias("years")).where(F.size("years") > 0).select("doc_id", F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years")),
+    "SELECT doc_id, array_to_string([y FOR y, i IN ys IF list_position(ys, y) = i], ',') AS years FROM (SELECT doc_id, regexp_extract_all(text, '(20[12]\\d|19\\d\\d)') AS ys FROM documents) WHERE len(ys) > 0",
+)
+_add(
+    "numeric_density",
+    lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(T.NUMBER_RUN)).cast("long").alias("n_numbers")),
+    "SELECT doc_id, len(regexp_extract_all(text, '\\b\\d[\\d,.\\s]*\\d\\b|\\b\\d\\b'))::BIGINT AS n_numbers FROM documents",
+)
+
+LABELS = ["营业收入", "Total Revenue", "net  income", "毛利", "Revenue growth", "Total assets", "其中：销售毛利 小计", "Basic EPS", "something else", "Net cash flows from operating activities", "Trade Receivables, net", "货币资金", "Long-term Borrowings", "FCF"]
+_RESOLVED = [("revenue", "high"), ("revenue", "high"), ("net_income", "high"), ("gross_profit", "high"), ("revenue", "medium"), ("total_assets", "high"), ("gross_profit", "medium"), ("eps_basic", "high"), (None, "low"), ("operating_cash_flow", "high"), ("accounts_receivable", "medium"), ("cash_and_cash_equivalents", "high"), ("long_term_debt", "high"), ("free_cash_flow", "high")]
+_add(
+    "resolve_metric",
+    lambda spark, sf_dir: aliases.resolve(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", _pick(LABELS, f"p_partkey % {len(LABELS)}").alias("label"))),
+    f"SELECT p_partkey, l AS label, m AS metric, c AS confidence FROM (SELECT p_partkey, ({_sql_list(LABELS)})[i] AS l, ([{', '.join(_q(m) for m, _ in _RESOLVED)}])[i] AS m, ({_sql_list([c for _, c in _RESOLVED])})[i] AS c FROM (SELECT p_partkey, (p_partkey % {len(LABELS)} + 1)::INTEGER AS i FROM part))",
+)
+_add(
+    "resolve_part_names",
+    lambda spark, sf_dir: aliases.resolve(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("label"))).select("p_partkey", "metric", "confidence"),
+)
+
+TITLES = ["合并利润表", "Consolidated Balance Sheet 2025", "合并现金流量表（续）", "plain page", "这些财务报表包括资产负债表", "目录\n合并利润表 ........ 12\n合并资产负债表 ........ 14\n合并现金流量表 ...... 16", "母公司资产负债表", "  利润表", "续表"]
+BODY = "\n单位：人民币百万元\n项目 2025年 2024年\n营业收入 1,234 1,111\n营业成本 900 800\n毛利 334 311\n营业利润 120 110\n净利润 100 90\n基本每股收益 0.36 0.30\n资产总计 5,000 4,800\n负债合计 2,000 1,900\n权益合计 3,000 2,900\n"
+
+
+def _report_pages(spark, sf_dir: str):
+    """Conversations read as reports: a turn is a page, its title and body follow from the numbers."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    title = _pick(TITLES, f"(conv_id * 3 + turn * (1 + conv_id % 2)) % {len(TITLES)}")
+    body = F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, F.concat(F.lit("\n"), "text")).otherwise(F.lit(BODY))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.concat(title, body).alias("text"))
+
+
+_add("heading_score", lambda spark, sf_dir: page_ops.headings(_report_pages(spark, sf_dir)).drop("text"))
+_add("content_score", lambda spark, sf_dir: _report_pages(spark, sf_dir).select("doc_id", "page_number", page_ops.content_score(F.col("text")).alias("score")))
+_add("statement_ranges", lambda spark, sf_dir: page_ops.statement_ranges(_report_pages(spark, sf_dir)).withColumn("continuation_pages", F.array_join(F.transform("continuation_pages", lambda p: p.cast("string")), ",")))
+
+SELECTIONS = ["3-5,4，7", "1", "", "2-1", "x", "30-60", "1-21", "9 8", "0-3", "4–6"]
+_PICKED = [("3,4,5,7", ""), ("1", ""), ("", ""), (None, "BOUNDS"), (None, "FORMAT"), (None, "TOO_MANY"), (None, "TOO_MANY"), ("8,9", ""), (None, "BOUNDS"), ("4,5,6", "")]
+
+
+def _page_selection(spark, sf_dir: str):
+    pages, reason = T.page_selection(_pick(SELECTIONS, f"s_suppkey % {len(SELECTIONS)}"), F.lit(100))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.array_join(F.transform(pages, lambda p: p.cast("string")), ",").alias("pages"), reason.alias("reason"))
+
+
+_add("page_selection", _page_selection, f"SELECT s_suppkey, ([{', '.join(_q(p) for p, _ in _PICKED)}])[(s_suppkey % {len(SELECTIONS)} + 1)::INTEGER] AS pages, ({_sql_list([r for _, r in _PICKED])})[(s_suppkey % {len(SELECTIONS)} + 1)::INTEGER] AS reason FROM supplier")
+_add(
+    "metric_issue",
+    lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir)).groupBy("metric", "reason", T.metric_issue(F.col("reason")).alias("action")).agg(F.count("*").alias("n")),
+    f"{_BASE},\n{metrics.METRICS_SQL.strip()}\nSELECT metric, reason, CASE WHEN reason = '' THEN '' WHEN regexp_matches(reason, 'MISSING|NULL_VALUE') THEN 'CHECK_STATEMENT' WHEN regexp_matches(reason, 'UNIT|CURRENCY') THEN 'CHECK_UNIT' WHEN regexp_matches(reason, 'CONFLICT|UNIQUE') THEN 'CHECK_DUPLICATES' WHEN regexp_matches(reason, 'NONPOSITIVE') THEN 'NOT_APPLICABLE' ELSE 'CHECK_SOURCES' END AS action, count(*) AS n FROM metrics GROUP BY ALL",
+)
