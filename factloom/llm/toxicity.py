@@ -6,7 +6,7 @@ would have as negatives; where that estimate falls under zero, the step goes the
 from fitting the unlabelled set.  The prior is the share of toxic rows among labelled rows.
 
 Fitting uses bounded samples, drawn by a hash of the id: at most ``max_positive`` toxic and ``max_unlabelled`` unlabelled
-documents (4,000 and 12,000).  Scoring streams over all whole texts with one broadcast weight table of fixed size.
+documents (3,000 and 8,000).  Scoring streams over all whole texts with one broadcast weight table of fixed size.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; labels that are null are ignored,
 several labels of one document count as their maximum; without toxic examples every score is the prior (0 if unknown);
@@ -134,7 +134,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> dict[int, np.ndarr
     return {i: values[a:b] for i, a, b in zip(offsets, bounds[:-1], bounds[1:], strict=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4_000, max_unlabelled: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3_000, max_unlabelled: int = 8_000) -> Model:
     """Train from the rows that are not held out."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic"))
     counts = marks.agg(F.count("*").alias("n"), F.sum(F.col("_toxic").cast("long")).alias("p")).first()

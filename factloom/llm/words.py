@@ -105,7 +105,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def sequence_hash(words: np.ndarray) -> np.ndarray:
     """Hash of a whole word sequence of under 60 words, apart from those of full windows."""
-    return mix(np.array([(words * _FOLD[: len(words)]).sum(dtype=U) ^ U(len(words) * 0x5851F42D4C957F2D)], U))
+    return mix(np.array([(words * _FOLD[: len(words)]).sum(dtype=U) ^ U(len(words) * 0x5851F42D4C957F2D % 2**64)], U))
 
 
 def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:

@@ -36,9 +36,11 @@ METRICS: tuple[tuple[str, str, str], ...] = (
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
-    """(metric, statement_type, alias_ord, alias, key, length): a fixed dimension of under 200 rows."""
-    rows = [(m, s, i, a) for m, s, names in METRICS for i, a in enumerate(names.split("|"))]
-    return spark.createDataFrame(rows, "metric string, statement_type string, alias_ord int, alias string").withColumn("key", label_key(F.col("alias"))).withColumn("length", F.length("key"))
+    """(metric, statement_type, alias_ord, key, length): a fixed dimension of under 200 rows."""
+    quote = lambda x: "'" + x.replace("'", "\\'") + "'"
+    rows = [(m, s, i, "".join(a.split()).lower()) for m, s, names in METRICS for i, a in enumerate(names.split("|"))]
+    values = ", ".join(f"({quote(m)}, {quote(s)}, {i}, {quote(k)}, {len(k)})" for m, s, i, k in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(metric, statement_type, alias_ord, key, length)")
 
 
 def resolve(labels: DataFrame, label_col: str = "label", statement: str | None = None) -> DataFrame:
@@ -46,21 +48,17 @@ def resolve(labels: DataFrame, label_col: str = "label", statement: str | None =
     table = alias_table(labels.sparkSession)
     if statement:
         table = table.where(F.col("statement_type") == statement)
-    keyed = labels.select(F.col(label_col)).distinct().withColumn("_key", label_key(F.col(label_col)))
-    whole = table.groupBy("key").agg(F.min_by("metric", F.struct("statement_type", "metric", "alias_ord")).alias("whole"))
-    first = keyed.join(F.broadcast(whole), F.col("_key") == F.col("key"), "left").drop("key")
-    # aliases inside a label, as a filter over the fixed list: no row per pair is made
-    inside = F.filter(F.array(*[F.struct(F.lit(len(k)).alias("n"), F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k in _keys(statement)]), lambda a: F.col("_key").contains(a["k"]))
-    longest = F.array_max(F.transform(inside, lambda a: a["n"]))
-    best = F.filter(inside, lambda a: a["n"] == longest)
-    medium = F.when(F.col("whole").isNull() & (F.size(best) == 1), best[0]["m"])
-    done = first.withColumn("_medium", medium).select(
-        F.col(label_col), F.coalesce("whole", "_medium").alias("metric"), F.when(F.col("whole").isNotNull(), "high").when(F.col("_medium").isNotNull(), "medium").otherwise("low").alias("confidence")
-    )
-    return labels.join(done, label_col, "left")
+    keyed = labels.select(F.col(label_col).alias("_label")).distinct().withColumn("_key", label_key(F.col("_label")))
+    # distinct labels meet the fixed dimension, which is broadcast
+    inside = keyed.join(F.broadcast(table), F.col("_key").contains(F.col("key")))
+    by_length = inside.groupBy("_label", "length", (F.length("_key") == F.col("length")).alias("whole")).agg(F.count("*").alias("n"), F.min_by("metric", F.struct("statement_type", "metric", "alias_ord")).alias("metric"))
+    best = by_length.groupBy("_label").agg(F.max_by(F.struct("n", "metric", "whole"), "length").alias("b"))
+    done = best.select("_label", F.when(F.col("b.whole") | (F.col("b.n") == 1), F.col("b.metric")).alias("metric"), F.when(F.col("b.whole"), "high").when(F.col("b.n") == 1, "medium").otherwise("low").alias("confidence"))
+    return labels.join(done, F.col(label_col) == F.col("_label"), "left").drop("_label").withColumn("confidence", F.coalesce("confidence", F.lit("low")))
 
 
 def _keys(statement: str | None) -> list[tuple[str, str]]:
+    """(metric, alias without white space in lower case)."""
     return [(m, "".join(a.split()).lower()) for m, s, names in METRICS if statement in (None, s) for a in names.split("|")]
 
 
