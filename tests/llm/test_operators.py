@@ -161,7 +161,7 @@ def test_quality_counts(documents, rows):
 
 
 def test_quality_rules(spark):
-    docs = spark.createDataFrame([(i, ("%%% " if i % 4 == 0 else "") + " ".join(f"word{i}x{j}" for j in range(40)) + (" $$$" * 20 if i % 4 == 0 else ""), "c") for i in range(400)] + [(999, None, "c"), (998, "", "c")], "doc_id long, text string, n_words string")
+    docs = spark.createDataFrame([(i, ("%%% " if i % 4 == 0 else "") + " ".join(f"word{i}x{j}" for j in range(40)) + ("".join(f" $$${j}" for j in range(20)) if i % 4 == 0 else ""), "c") for i in range(400)] + [(999, None, "c"), (998, "", "c")], "doc_id long, text string, n_words string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(300)] + [(5, None)], "doc_id long, quality int")
     kept = quality_rules.keep_good(docs, labels)
     assert kept.columns == docs.columns
