@@ -40,6 +40,8 @@ _RECORDS = T.StructType([
 ])
 #: One read takes at most this many bytes, and spans gaps of at most so many.
 READ_BYTES, READ_GAP = 4 << 20, 64 << 10
+#: A task reads about this many bytes of archives.
+TASK_BYTES = 128 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -138,7 +140,10 @@ def _reads(entries: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int,
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that index rows select: headers, and payloads if wanted (revisits have none)."""
     ranged = index.select("file", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("span"))
-    ordered = ranged.repartition("file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # as many tasks as the archives' bytes ask for: index rows alone are so small that all would be put into one task
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    ordered = ranged.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def run(batches):
         opened: dict[str, tuple] = {}
