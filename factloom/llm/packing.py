@@ -16,12 +16,14 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,19 +58,17 @@ class WordTokenizer:
         """Parts between white space; str.split() also splits at \\x1c-\\x1f, which are no white space to the pattern."""
         return [w for w in self.split.split(text) if w] if self.odd.search(text) else text.split()
 
-    def ids(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit numbers."""
-        known, parts = self.known, self.words(text)
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            pass
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are met at once."""
+        known, parts = self.known, [self.words(text) for text in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = [w for w in dict.fromkeys(parts) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in parts])
+        new = list(set().union(*parts).difference(known))
+        if new:
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
 
 @lru_cache(1)
@@ -77,6 +77,17 @@ def tokenizer(vocabulary: str) -> WordTokenizer:
     return WordTokenizer(vocabulary)
 
 
+def text_runs(column: pa.Array, limit: int = 1 << 18):
+    """(first row, end row) of runs of whole texts with about ``limit`` bytes."""
+    total = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(total):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
 _PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "piece", "start", "length", "ids_crc32")])
 
 
@@ -88,11 +99,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
         words = tokenizer(vocabulary)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + end
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
+            for lo, hi in text_runs(batch.column(1)):
+                docs_of, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
+                for doc, ids in zip(docs_of, words.ids([text or "" for text in texts]), strict=True):
+                    ids += end
+                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, names=_PIECES.names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PIECES)
