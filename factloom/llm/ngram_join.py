@@ -8,15 +8,21 @@ expanded to classes and verified exactly.
 Order.  Rare n-grams come first.  Rarity is read from a table of 2**22 counters that all n-grams of the corpus are hashed
 into (fixed size, one pass); an order by any function of the n-gram is right, a good one is fast.
 
-Skew.  A posting list is never expanded into its pairs.  First every list names a hub - the member with the fewest
-n-grams of its own, which near copies of one text have most in common with - and only (hub, member) pairs are verified.
-Lists whose members have come together are done.  The members of the others, gathered by hub, are families: they are
-dealt into blocks, every two blocks meet in one group of bounded size, and all their similarities are counted there at
-once; only links between different components leave it.  Nothing of the size of the corpus reaches the driver.
+Skew.  A posting list is never expanded into its pairs.  Every list names a hub - the member with the fewest n-grams of
+its own, which near copies of one text have most in common with - and lists of one hub are gathered into a family, so
+that near copies meet once and not once per shared n-gram.  Families are dealt into blocks, every two blocks meet in one
+group of bounded size, and all their similarities are counted there at once.  Two classes may meet in several families;
+their link counts in the one of the smallest hub.  What leaves a group is one row per linked member: how many documents
+it is linked with there, and the component it belongs to there.  Nothing of the size of the corpus reaches the driver.
+
+Links.  n_links of a document is the number of other documents whose sets are similar enough to its own, those with an
+equal set included; all of them are verified and counted, not only those that components need.  Pairs are counted, not
+returned, as their number is the square of a group's size.
 
 Defined results: a null or empty text has no n-gram, links with nothing and is its own component; a text shorter than an
 n-gram is one n-gram; repeated rows (equal ids) are returned once each and share a component; ties are broken by the
-smallest id; empty tables give an empty result; extra columns are ignored.
+smallest id; empty tables give an empty result; extra columns are ignored.  Repeated rows count as one document; a row
+without an id is not counted and has no number of links.
 """
 
 from __future__ import annotations
@@ -171,30 +177,14 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough: 100 * intersection >= percent * union."""
-    b = pairs.join(sets.toDF("b", "gb"), "b")
-    both = b.join(sets.toDF("a", "ga"), "a")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
-
-
 #: Members of a family that meet at once in a task are two blocks of about this size.
 BLOCK = 192
 
 
-def _block_links(cids: np.ndarray, comps: np.ndarray, side: np.ndarray, grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between different components of the members of block 0 and those of block 1 (all of them if there is one block)."""
-    a = np.flatnonzero(side == 0)
-    b = np.flatnonzero(side == 1)
-    alone = not len(b) or not len(a)
-    if alone:
-        a = b = np.arange(len(cids))
-    if len(set(comps.tolist())) < 2:
-        return []
-    sizes = np.array([len(g) for g in grams])
-    owner = np.repeat(np.arange(len(grams)), sizes)
-    _, element, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+def _overlap(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets at places a and those at places b have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(count > 1) - 1
     shared = count[element] > 1
     element, owner = number[element[shared]], owner[shared]
@@ -204,73 +194,95 @@ def _block_links(cids: np.ndarray, comps: np.ndarray, side: np.ndarray, grams: l
     element, owner = element[order], owner[order]
     for lo in range(0, int(element[-1]) + 1 if len(element) else 0, width):
         x, y = np.searchsorted(element, [lo, lo + width])
-        dense = np.zeros((len(cids), width), np.float32)
+        dense = np.zeros((len(sets), width), np.float32)
         dense[owner[x:y], element[x:y] - lo] = 1
         common += dense[a] @ dense[b].T
+    return common.astype(np.int64)
+
+
+def _block_links(hub: int, within: bool, side: np.ndarray, cids: np.ndarray, weights: np.ndarray, hubs: list[np.ndarray], grams: list[np.ndarray], percent: int) -> list[tuple[int, int, int]]:
+    """(cid, smallest cid it is connected to, documents it is linked with) of the members linked here.
+
+    Members of block 0 meet those of block 1, or all meet each other (within).  Pairs that also meet in the family of a
+    smaller hub are left to that.
+    """
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if within:
+        a = b = np.arange(len(cids))
+    if not len(a) or not len(b):
+        return []
+    common = _overlap(grams, a, b)
+    sizes = np.array([len(g) for g in grams])
     linked = 100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common)
-    linked &= comps[a][:, None] != comps[b][None, :]
-    out, seen = [], set()
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        pair = (int(comps[a[i]]), int(comps[b[j]]))
-        if pair not in seen and pair[::-1] not in seen:  # one link joins two components
-            seen.add(pair)
-            out.append((int(cids[a[i]]), int(cids[b[j]])))
-    return out
+    if within:
+        np.fill_diagonal(linked, False)
+    if linked.any():
+        linked &= _overlap([h[h < hub] for h in hubs], a, b) == 0
+    if not linked.any():
+        return []
+    count, label, none = np.zeros(len(cids), np.int64), cids.copy(), np.iinfo(np.int64).max
+    count[a] += linked @ weights[b]
+    if not within:
+        count[b] += linked.T @ weights[a]
+    while True:
+        before = label.copy()
+        label[a] = np.minimum(label[a], np.where(linked, label[b][None, :], none).min(axis=1))
+        label[b] = np.minimum(label[b], np.where(linked, label[a][:, None], none).min(axis=0))
+        if (label == before).all():
+            break
+    return [(int(cids[i]), int(label[i]), int(count[i])) for i in np.flatnonzero(count)]
 
 
-def _within(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of a family (hub, cid, comp) that are in different components.
+def _linked(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, links) of the classes of families (hub, cid, weight): a is connected to b, and linked with so many documents.
 
-    Families are dealt into blocks, and every two blocks meet in a group of bounded size, where all similarities are
-    counted at once; only links leave it.
+    A class may have several rows; its links are their sum.  Families are dealt into blocks, and every two blocks meet in
+    a group of bounded size, where all similarities are counted at once.
     """
-    size = family.groupBy("hub").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    dealt = family.join(size.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub")
+    hubs = family.groupBy("cid").agg(F.collect_list("hub").alias("hubs"))
+    large = family.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")  # at most a row per BLOCK members
+    dealt = family.join(F.broadcast(large), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "comp")
-    rows = dealt.join(sets, "cid").select("hub", "i", "j", "side", "cid", "comp", "grams")
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "weight")
+    rows = dealt.join(hubs, "cid").join(sets, "cid").select("hub", "i", "j", "side", "cid", "weight", "hubs", "grams")
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
     def run(batches):
         key, held = None, []
 
         def done():
-            side, cids, comps = (np.array([r[c] for r in held], np.int64) for c in range(3))
-            return _block_links(cids, comps, side, [r[3] for r in held], percent)
+            side, cids, weights = (np.array([r[c] for r in held], np.int64) for c in range(3))
+            return _block_links(key[0], key[1] == key[2], side, cids, weights, [r[3] for r in held], [r[4] for r in held], percent)
+
+        def packed(out):
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
-        out = []
         for batch in batches:
+            out = []
             head = [c.to_pylist() for c in batch.columns[:6]]
-            grams = batch.column(6)
-            flat, offsets = np.asarray(grams.values), np.asarray(grams.offsets)
-            for r, (hub, i, j, side, cid, comp) in enumerate(zip(*head, strict=True)):
+            lists = [(np.asarray(c.values), np.asarray(c.offsets)) for c in batch.columns[6:]]
+            for r, (hub, i, j, side, cid, weight) in enumerate(zip(*head, strict=True)):
                 if (hub, i, j) != key:
                     if len(held) > 1:
                         out += done()
                     key, held = (hub, i, j), []
-                held.append((side, cid, comp, flat[offsets[r] : offsets[r + 1]]))
-        if len(held) > 1:
-            out += done()
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
+                held.append((side, cid, weight, *(flat[offsets[r] : offsets[r + 1]] for flat, offsets in lists)))
+            yield packed(out)
+        yield packed(done() if len(held) > 1 else [])
 
-def _expand(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of groups (ga, gb) as pairs of their classes."""
-    return group_pairs.join(members.toDF("ga", "a"), "ga").join(members.toDF("gb", "b"), "gb").select("a", "b")
+    return rows.mapInArrow(run, "a long, b long, links long")
 
 
 def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of docs."""
+    """(id, n_shingles, component_id, n_links) of every row of docs."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     levels = sc.broadcast(_levels(docs, k))
     described = durable(_described(docs, k, percent, levels), "ngram-docs")
     # identical sets are one class, named by its smallest id; classes with identical prefix and size are one group
     keyed = described.where("n > 0 and id is not null")
-    classes = durable(keyed.groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.min("gh").alias("gh")), "ngram-classes")
+    classes = durable(keyed.groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.min("gh").alias("gh"), F.count_distinct("id").alias("weight")), "ngram-classes")
     groups = classes.groupBy("gh", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
     heads = groups.select("gid", F.col("n").alias("hn"))
     postings = keyed.select("id", "n", F.size("prefix").alias("p"), "prefix").join(heads, (F.col("id") == F.col("gid")) & (F.col("n") == F.col("hn")), "left_semi").dropDuplicates(["id"])
@@ -283,37 +295,29 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
         rich = met.groupBy("gid").agg(F.count("*").alias("met"), F.min("n").alias("n")).where(F.col("met") >= 1 + F.floor(F.floor(F.col("n") * percent / 100) / 20))
         lists = met.join(rich.select("gid", "met"), "gid").select("token", "gid", "n", (F.col("p") - F.col("met")).alias("alone"), "p")
     lists = durable(lists, "ngram-lists")
-    members_all = classes.join(groups.select("gh", "n", "gid", "size"), ["gh", "n"]).select("gid", "cid", "size")
-    members = durable(members_all.join(lists.select("gid").distinct().withColumn("listed", F.lit(True)), "gid", "left").where("listed or size > 1").select("gid", "cid", "size"), "ngram-members")
+    members_all = classes.join(groups.select("gh", "n", "gid", "size"), ["gh", "n"]).select("gid", "cid", "size", "weight")
+    members = durable(members_all.join(lists.select("gid").distinct().withColumn("listed", F.lit(True)), "gid", "left").where("listed or size > 1").select("gid", "cid", "size", "weight"), "ngram-members")
     sets = durable(_sets_of(docs, k, members.select("cid")), "ngram-sets")
 
-    def near(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    # each class of a group against the group's first, and each member of a list against the list's hub: the one with the
-    # fewest n-grams in its prefix that no other group has there, as a text has that others are copies of
-    hubs = lists.groupBy("token").agg(F.min(F.struct("alone", "gid", "n")).alias("hub")).select("token", F.col("hub.gid").alias("ga"), F.col("hub.n").alias("na"))
-    met = durable(hubs.join(lists.select("token", F.col("gid").alias("gb"), F.col("n").alias("nb")), "token").where("ga <> gb"), "ngram-hubs")
-    pairs = met.where(near("na", "nb")).select("ga", "gb").distinct()
-    ids = members.select("gid", "cid")
-    first = members.where("size > 1 and cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    tried = _expand(pairs, ids).union(first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = durable(_verified(tried, sets, percent), "ngram-links")
-
-    def component(df: DataFrame, node: str, links: DataFrame) -> DataFrame:
-        labels = durable(connected(links.toDF("u", "v")), "ngram-labels")
-        return df.join(labels.toDF(node, "comp"), node, "left").withColumn("comp", F.coalesce("comp", node))
-
-    # lists whose members are together are done; the others' members, gathered by hub, are families, and so are groups
-    family = met.select(F.col("ga").alias("hub"), F.col("gb").alias("gid")).union(met.select("ga", F.col("ga").alias("gid"))).distinct()
-    family = family.join(ids, "gid").select("hub", "cid").union(members.where("size > 1").select("gid", "cid")).distinct()
-    links = durable(links.union(_within(component(family, "cid", links).select("hub", "cid", "comp"), sets, percent)), "ngram-links")
-    drop(lists, met, members, sets)
-    placed = component(classes.select("n", "s1", "s2", "cid"), "cid", links).select("n", "s1", "s2", F.col("comp").alias("component_id"))
+    # a list's hub: the member with the fewest n-grams in its prefix that no other group has there, as a text has that
+    # others are copies of; the members of all lists of a hub are a family, and so are the classes of a group
+    hubs = lists.groupBy("token").agg(F.min(F.struct("alone", "gid")).alias("hub")).select("token", F.col("hub.gid").alias("hub"))
+    met = durable(hubs.join(lists.select("token", "gid"), "token").where("hub <> gid").select("hub", "gid").distinct(), "ngram-hubs")
+    family = met.union(met.select("hub", F.col("hub").alias("gid")).distinct())
+    family = family.join(members.select("gid", "cid", "weight"), "gid").select("hub", "cid", "weight").union(members.where("size > 1").select("gid", "cid", "weight")).distinct()
+    family = durable(family, "ngram-family")
+    links = durable(_linked(family, sets, percent), "ngram-links")
+    labels = durable(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
+    counts = links.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    drop(lists, met, members, sets, family)
+    placed = classes.join(labels.toDF("cid", "comp"), "cid", "left").join(counts, "cid", "left")
+    placed = placed.select("n", "s1", "s2", F.coalesce("comp", "cid").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows = described.select("id", "n", "s1", "s2")
     # empty sets are their own components; all others look up that of their class
-    full = rows.where("n > 0").join(placed, ["n", "s1", "s2"], "left").select("id", "n", "component_id")
-    return full.union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).toDF(id_col, "n_shingles", "component_id")
+    n_links = F.when(F.col("id").isNotNull(), F.col("n_links")).alias("n_links")
+    full = rows.where("n > 0").join(placed, ["n", "s1", "s2"], "left").select("id", "n", "component_id", n_links)
+    empty = rows.where("n = 0").withColumn("n_links", F.lit(0).cast("long")).select("id", "n", F.col("id").alias("component_id"), n_links)
+    return full.union(empty).toDF(id_col, "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,5 +331,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    """Components of 3-word n-gram sets at a Jaccard similarity of 0.9."""
+    """Components of 3-word n-gram sets at a Jaccard similarity of 0.9, and the number of links of each document."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -76,6 +76,36 @@ def test_ngram_join_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
 
 
+def brute_links(rows, k, percent):
+    """Of each id, the other ids with a similar set; plain pairs over an inverted index."""
+    sets, holders = {}, collections.defaultdict(set)
+    for i, x in rows:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in x or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+        for g in sets[i]:
+            holders[g].add(i)
+    return {i: sum(100 * len(s & sets[j]) >= percent * len(s | sets[j]) for j in set().union(*(holders[g] for g in s)) - {i}) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_ngram_join_links(spark, documents, rows, k, percent):
+    """Every link counts: among the documents, and among more near copies than one block holds, with exact copies."""
+    random.seed(5)
+    base = [f"w{i}" for i in range(120)]
+    copies = []
+    for i in range(20_000, 20_450):
+        w = list(base)
+        for _ in range(i % 4):
+            w[random.randrange(120)] = f"x{i % 300}"
+        copies.append((i, " ".join(w)))
+    more = spark.createDataFrame([*copies, copies[7], (None, copies[7][1])], "doc_id long, text string")
+    expected = brute_links([*rows, *copies], k, percent)
+    assert max(expected.values()) > 200
+    got = ngram_join.components(documents.select("doc_id", "text").unionByName(more), k, percent).collect()
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == expected
+    assert [r.n_links for r in got if r.doc_id is None] == [None]
+
+
 def test_ngram_join_empty(spark, documents):
     assert ngram_join.components(documents.where("false")).count() == 0
     kept = ngram_join.keep_one(spark.createDataFrame([(1, "a b c d e", 7), (2, "a b c d e", 8), (2, "a b c d e", 8), (None, "q", 9)], "doc_id long, text string, n long"))
