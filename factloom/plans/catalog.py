@@ -267,7 +267,7 @@ _add(
     lambda spark, sf_dir: aliases.resolve(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("label"))).select("p_partkey", "metric", "confidence"),
 )
 
-TITLES = ["合并利润表", "Consolidated Balance Sheet 2025", "合并现金流量表（续）", "plain page", "这些财务报表包括资产负债表", "目录\n合并利润表 ........ 12\n合并资产负债表 ........ 14\n合并现金流量表 ...... 16", "母公司资产负债表", "  利润表", "续表"]
+TITLES = ["合并利润表", "Consolidated Balance Sheet 2025", "合并现金流量表（续）", "plain page", "这些财务报表包括资产负债表", "目录\n合并利润表 ........ 12\n合并资产负债表 ........ 14\n合并现金流量表 ...... 16", "母公司资产负债表", "  利润表", "续表", "2024年度合并及母公司利润表"]
 BODY = "\n单位：人民币百万元\n项目 2025年 2024年\n营业收入 1,234 1,111\n营业成本 900 800\n毛利 334 311\n营业利润 120 110\n净利润 100 90\n基本每股收益 0.36 0.30\n资产总计 5,000 4,800\n负债合计 2,000 1,900\n权益合计 3,000 2,900\n"
 
 
