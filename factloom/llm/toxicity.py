@@ -67,12 +67,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_share: float = 0.015, least_z: float = 6.0) -> Model:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_count: int = 5, least_z: float = 6.0) -> Model:
     """Minimise the non-negative PU risk with logistic loss by Adam over all examples.
 
     Copies count once among the examples.  Only features whose rates among positives and unlabelled text differ by least_z
-    standard errors, and which the commoner side has in least_share of its examples (and 5 at least), take part: others
-    cannot be told from chance.
+    standard errors, and which the commoner side has in least_count of its examples, take part: others cannot be told from
+    chance.  A share of the examples is not asked for, so a wide vocabulary of rare words is learned too.
     """
     positive, unlabelled = ([x for _, x in sorted({x.tobytes(): x for x in part}.items())] for part in (positive, unlabelled))
     n_p, n_u = len(positive), len(unlabelled)
@@ -85,7 +85,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     both = (a + b) / (n_p + n_u)
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (a / n_p - b / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    enough = np.where(z > 0, a >= max(5, least_share * n_p), b >= max(5, least_share * n_u))
+    enough = np.where(z > 0, a, b) >= least_count
     keep = np.flatnonzero((np.abs(np.nan_to_num(z)) >= least_z) & enough)
     column = np.full(1 << BITS, -1, np.int64)
     column[keep] = np.arange(len(keep))

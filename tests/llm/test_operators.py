@@ -133,6 +133,20 @@ def test_toxicity(spark):
     assert none.score["value"] < 0.7
 
 
+def test_toxicity_wide_vocabulary():
+    """240 toxic words, each in about 1.2 % of the toxic examples, are learned."""
+    rng = np.random.RandomState(6)
+
+    def example(toxic):
+        words = rng.choice(np.arange(1000, 3000), 40, replace=False)
+        return np.unique(np.concatenate([words, rng.choice(240, 3, replace=False)]) if toxic else words).astype(np.int32)
+
+    model = toxicity.fit_nnpu([example(True) for _ in range(3000)], [example(i % 10 == 0) for i in range(8000)], 0.1)
+    table = model.table()
+    caught, harmed = (np.mean([table[example(toxic)].sum() + model.intercept >= np.log(0.7 / 0.3) for _ in range(500)]) for toxic in (True, False))
+    assert caught >= 0.5 and harmed <= 0.01
+
+
 def test_spotsigs_edits(documents, rows):
     order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
     got = {(r.doc_id, r.n_chars): r for r in spotsigs.with_edits(documents).collect()}
