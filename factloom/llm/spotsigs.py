@@ -9,7 +9,8 @@ A fingerprint travels as text: base64 of the sorted 32-bit signatures.
 
 Defined results: a null text is empty; a text without any word has the empty fingerprint, and two empty fingerprints are
 equal (1.0); a text with words but no signature is fingerprinted by its words; repeated rows have equal fingerprints;
-extra columns are ignored.
+rows without an id come after all others, rows with equal ids (or none) are ordered by text; a single row follows itself;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +93,11 @@ def parsed(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
+def length_class(size: np.ndarray, least: float) -> np.ndarray:
+    """Partition of sets by length: class k holds sizes from least**-k up to the next, so partners are at most a class apart."""
+    return np.floor(np.log(np.maximum(size, 1)) / -np.log(least) + 1e-9).astype(np.int64)
+
+
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     """Jaccard similarity of two sorted sets; 0 at once if their sizes alone keep it under ``least``."""
     small, large = sorted((len(a), len(b)))
@@ -103,6 +109,33 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
+def pruned_likeness(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
+    """Jaccard similarity of each pair of sets, 0.0 where it is under ``least``.
+
+    Pairs whose length classes are no neighbours, or whose sizes alone keep them under least, are dropped first.  Of the
+    rest only the first few elements are compared, as two sets that are alike enough share one of their prefixes; what is
+    left is counted in full, all pairs at once.
+    """
+    n, m = (np.fromiter(map(len, part), np.int64, len(part)) for part in (left, right))
+    out = np.where((n == 0) & (m == 0), 1.0, 0.0)
+    near = (np.abs(length_class(n, least) - length_class(m, least)) <= 1) & (np.minimum(n, m) >= least * np.maximum(n, m)) & (n > 0) & (m > 0)
+
+    def shared(pairs: np.ndarray, cut) -> np.ndarray:
+        keys = []
+        for part, size in ((left, n), (right, m)):
+            sets = [part[i][: cut(int(size[i]))] for i in pairs]
+            owner = np.repeat(np.arange(len(pairs)), [len(x) for x in sets]).astype(np.uint64)
+            keys.append((owner << np.uint64(32)) | (np.concatenate(sets).astype(np.uint64) if sets else np.zeros(0, np.uint64)))
+        return np.bincount((np.intersect1d(*keys, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=len(pairs))
+
+    pairs = np.flatnonzero(near)
+    pairs = pairs[shared(pairs, lambda size: size - int(np.ceil(size * least - 1e-9)) + 1) > 0]
+    both = shared(pairs, lambda size: size)
+    value = both / (n[pairs] + m[pairs] - both)
+    out[pairs] = np.where(value >= least, value, 0.0)
+    return out
+
+
 def _fingerprints(texts: list[str]) -> list[np.ndarray]:
     return [s for _, s in signatures(pa.array(texts, pa.string()))]
 
@@ -159,6 +192,9 @@ def near_pairs(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") ->
     return both.select("a", "b", "fa", "fb").mapInArrow(compare, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
+#: Likeness under this counts as none.
+LEAST = 0.05
+
 _EDITED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
     T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
@@ -172,14 +208,16 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     it, so one shuffle brings each document next to its follower and ranges are worked through as streams.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc = F.col(id_col).cast("long")
+    # rows without an id are placed by the smallest number, after all others
+    rows = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+    cuts = sorted(set(rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
     bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     # ranges count downwards from the largest ids
-    part = F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))
+    part = F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c <= F.col("place")))
     parted = rows.withColumn("part", part.cast("int"))
-    heads = {r.part: r.head for r in parted.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # one row per range
+    heads = {r.part: r.head for r in parted.groupBy("part").agg(F.max("place").alias("head")).collect()}  # one row per range
     if not heads:
         return spark.createDataFrame([], _EDITED)
     present = sorted(heads)
@@ -187,19 +225,19 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     follows = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
     head = F.element_at(F.create_map(*[F.lit(x) for kv in heads.items() for x in kv]), F.col("part"))
     # only the first document of a range is copied, to the end of the range before it
-    homes = F.when(F.col("doc_id") == head, F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(follows.alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))))
-    dealt = parted.withColumn("home", F.explode(homes)).select("home.part", "home.guest", "doc_id", "text")
-    ordered = dealt.repartition(max(1, ranges // 4), "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
+    homes = F.when(F.col("place") == head, F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(follows.alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))))
+    dealt = parted.withColumn("home", F.explode(homes)).select("home.part", "home.guest", "doc_id", "text", "place")
+    ordered = dealt.repartition(max(1, ranges // 4), "part").sortWithinPartitions("part", "guest", F.desc("place"), "text").drop("place")
 
     def run(batches):
         def pairs():
             part, held = None, None
             for batch in batches:
                 for p, guest, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                    if held is not None and p == part and held[0] is not None:
+                    if held is not None and p == part:
                         yield (*held, text.as_py())
                     # of a range's guests (more than one only if ids repeat) the first is the follower
-                    part, held = p, (None, None) if guest else (doc, text.as_py())
+                    part, held = p, None if guest else (doc, text.as_py())
 
         out, size = [], 0
         for item in pairs():
@@ -222,7 +260,7 @@ def _edited_batch(items: list[tuple[int, str, str]]) -> pa.RecordBatch:
     own, changed, after = _fingerprints([x[1] for x in items]), _fingerprints(edited), _fingerprints([x[2] for x in items])
     columns = [
         pa.array([x[0] for x in items], pa.int64()), pa.array([len(x[1]) for x in items], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        pa.array(map(spelled, own), pa.string()), pa.array(map(spelled, changed), pa.string()), pa.array(map(likeness, own, changed), pa.float64()), pa.array(map(likeness, own, after), pa.float64()),
+        pa.array(map(spelled, own), pa.string()), pa.array(map(spelled, changed), pa.string()), pa.array(pruned_likeness(own, changed, LEAST)), pa.array(pruned_likeness(own, after, LEAST)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=_EDITED.names)
 
