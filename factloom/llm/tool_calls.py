@@ -4,16 +4,16 @@ Calls and results meet in one full outer hash join on (conversation, identifier)
 each comes after the calls it depends on; arguments are checked against the tool's schema; the linked call is written as
 canonical JSON (keys sorted, no white space).
 
-Order: where all dependencies of a conversation point back to earlier turns, the turns are such an order already.  Only
-the other conversations are peeled in layers (calls whose dependencies are all placed come next), one join per layer;
-what never becomes free depends on a cycle and has no level.  Positions are counted in small cells of turns, so that one
-huge conversation is not sorted in one task.
+Order: a call's level is the length of the longest chain of dependencies below it (0: none), found by path doubling in
+about two times log2 of that length joins; what depends on a cycle has no level and comes last.  Positions are counted in
+small cells of turns, so that one huge conversation is not sorted in one task.
 
 Defined results: null or broken argument JSON is an error ("json"), as are an unknown tool ("tool"), missing, unknown or
 mistyped arguments; of several results of one call the earliest counts; a call without result is "unanswered", a result
-without call "orphan"; dependencies on unknown calls are ignored; repeated calls are each kept and share their result;
-rows with a null conversation or identifier link with nothing; empty tables give an empty result; extra columns are
-ignored.
+without call "orphan"; dependencies on unknown calls are ignored; repeated calls are each kept and share their result
+(and depend on what any of them depends on); rows with a null conversation or identifier link with nothing and are each
+kept, such a call without a level; empty tables give an empty result; extra columns are ignored.  Turns that are neither
+call nor result (those of the system) are no input of the linking.
 """
 
 from __future__ import annotations
@@ -52,30 +52,39 @@ def argument_errors(name: Column, arguments: Column, schemas=SCHEMAS) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 throughout in conversations whose turns are an order, else the layer; null on cycles."""
-    nodes = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
-    wants = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
-    ends = nodes.select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"))
-    edges = durable(wants.join(ends, ["conv_id", "dep"]).join(nodes, ["conv_id", "call_id"]), "call-edges")
-    tangled = durable(edges.where("dep_turn >= turn").select("conv_id").distinct(), "call-tangled")
-    straight = nodes.join(tangled, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    left = durable(nodes.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id"), "call-left")
-    inner = durable(edges.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id", "dep"), "call-tangle")
-    placed: list[DataFrame] = []
-    total = left.count()
-    while total:
-        held = inner.join(left.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select("conv_id", "call_id").distinct()
-        rest = durable(left.join(held, ["conv_id", "call_id"], "left_semi"), "call-left")
-        remain = rest.count()
-        if remain == total:
+    """(conv_id, call_id, level): calls on the longest chain of dependencies below a call; null if it ends in a cycle.
+
+    ``steps[k]`` holds which calls lie exactly 2**k dependencies below a call.  A chain of n calls needs about log2(n)
+    tables, each the last one joined with itself.  Then the length of the longest chain is found bit by bit from the top:
+    a bit is set if some call lies that far below.  Chains that go on beyond the number of calls run in a circle.
+    """
+    nodes = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).select("conv_id", "call_id").distinct()
+    wants = calls.select("conv_id", F.col("call_id").alias("top"), F.explode("depends_on").alias("call_id")).where(F.col("top").isNotNull()).distinct()
+    edges = durable(wants.join(nodes, ["conv_id", "call_id"], "left_semi").select("conv_id", "top", F.col("call_id").alias("low")), "call-steps")
+    calls_in = nodes.join(edges.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("calls"))
+    most = calls_in.agg(F.max("calls")).first()[0]
+    if not most:
+        drop(edges)
+        return nodes.withColumn("level", F.lit(0))
+    steps = [edges]
+    while 2 ** len(steps) <= most:
+        below = steps[-1].select("conv_id", F.col("top").alias("low"), F.col("low").alias("lower"))
+        wider = durable(steps[-1].join(below.hint("shuffle_hash"), ["conv_id", "low"]).select("conv_id", "top", F.col("lower").alias("low")).distinct(), "call-steps")
+        if wider.isEmpty():
+            drop(wider)
             break
-        placed.append(durable(left.join(rest, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(len(placed)).alias("level")), "call-level"))
-        left, total = rest, remain
-    drop(edges, inner)
-    out = straight
-    for part in placed:
-        out = out.unionByName(part)
-    return out.unionByName(left.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
+        steps.append(wider)
+    at = edges.select("conv_id", "top", F.col("top").alias("low"), F.lit(0).alias("level")).distinct()
+    for k in reversed(range(len(steps))):
+        reach = steps[k].select("conv_id", F.col("top").alias("low"), F.col("low").alias("lower"))
+        moved = durable(at.join(reach.hint("shuffle_hash"), ["conv_id", "low"]).select("conv_id", "top", F.col("lower").alias("low"), (F.col("level") + 2**k).alias("level")).distinct(), "call-reach")
+        rest = at.join(moved.select("conv_id", "top"), ["conv_id", "top"], "left_anti")
+        at = durable(moved.unionByName(rest), "call-reach")
+        drop(moved)
+    deep = at.select("conv_id", F.col("top").alias("call_id"), "level").distinct().join(calls_in, "conv_id")
+    found = durable(deep.select("conv_id", "call_id", F.when(F.col("level") < F.col("calls"), F.col("level")).alias("level"), F.lit(True).alias("found")), "call-levels")
+    drop(*steps, at)
+    return nodes.join(found, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("found"), F.col("level")).otherwise(F.lit(0)).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
@@ -85,9 +94,12 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     results: conv_id, call_id, turn, content.
     """
     calls = durable(calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on"), "calls")
-    first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
-    placed = calls.join(levels(calls), ["conv_id", "call_id"], "left").withColumn("is_call", F.lit(True))
-    linked = placed.join(first, ["conv_id", "call_id"], "full_outer").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
+    result = F.struct("turn", "content").alias("result")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first = results.where(named).groupBy("conv_id", "call_id").agg(F.min(result).alias("result"))
+    first = first.unionByName(results.where(~named).select("conv_id", "call_id", result))
+    placed = calls.join(levels(calls).hint("shuffle_hash"), ["conv_id", "call_id"], "left").withColumn("is_call", F.lit(True))
+    linked = placed.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
     status = F.when(~F.col("is_call"), F.lit("orphan")).when(F.col("result").isNull(), F.lit("unanswered")).otherwise(F.lit("answered"))
     errors = F.when(F.col("is_call"), argument_errors(F.col("name"), F.col("arguments"), schemas))
     arguments = F.to_json(F.try_parse_json("arguments"))
@@ -141,10 +153,6 @@ WITH RECURSIVE calls AS (
     SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS turn, arg_min(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL
 ), shaped AS (
     SELECT *, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'summarise' END AS name,
-        CASE n % 3
-            WHEN 0 THEN CASE WHEN n % 7 = 0 THEN 'missing:query' WHEN n % 11 = 0 THEN 'type:limit' ELSE '' END
-            WHEN 1 THEN CASE WHEN n % 7 = 0 THEN 'type:key' ELSE '' END
-            ELSE CASE WHEN n % 7 = 0 THEN 'unknown:extra' ELSE '' END END AS errors,
         CASE n % 3
             WHEN 0 THEN CASE WHEN n % 7 = 0 THEN '{"limit":' || (n % 10) || '}'
                              WHEN n % 11 = 0 THEN '{"limit":"' || (n % 10) || '","query":' || to_json(text) || '}'
@@ -154,22 +162,32 @@ WITH RECURSIVE calls AS (
                       ELSE '{"ratio":' || (n % 4) || ',"text":' || to_json(text) || '}' END END AS arguments
     FROM calls
 ), edges AS (
-    SELECT a.conv_id, a.call_id, a.turn, b.call_id AS dep, b.turn AS dep_turn FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND a.dep = b.call_id
-), tangled AS (SELECT DISTINCT conv_id FROM edges WHERE dep_turn >= turn),
-walk AS (
-    SELECT conv_id, call_id, 0 AS depth FROM calls WHERE conv_id IN (SELECT conv_id FROM tangled)
+    SELECT a.conv_id, a.call_id, b.call_id AS dep, (SELECT count(*) FROM calls c WHERE c.conv_id = a.conv_id) AS n_calls FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND a.dep = b.call_id
+), walk AS (
+    SELECT conv_id, call_id, 0 AS depth FROM calls
     UNION
-    SELECT e.conv_id, e.call_id, w.depth + 1 FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.dep = w.call_id WHERE w.depth < 12
+    SELECT e.conv_id, e.call_id, w.depth + 1 FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.dep = w.call_id WHERE w.depth < e.n_calls
 ), deep AS (SELECT conv_id, call_id, max(depth) AS depth FROM walk GROUP BY ALL),
-linked AS (
+judged AS (
+    SELECT *, CASE name
+        WHEN 'search' THEN concat_ws(',', CASE WHEN list_contains(keys, 'limit') AND NOT regexp_matches(json_type(arguments, '$.limit'), '^U?BIGINT$') THEN 'type:limit' END,
+                                     CASE WHEN NOT list_contains(keys, 'query') THEN 'missing:query' WHEN json_type(arguments, '$.query') <> 'VARCHAR' THEN 'type:query' END)
+        WHEN 'lookup' THEN concat_ws(',', CASE WHEN NOT list_contains(keys, 'key') THEN 'missing:key' WHEN NOT regexp_matches(json_type(arguments, '$.key'), '^U?BIGINT$') THEN 'type:key' END)
+        ELSE concat_ws(',', CASE WHEN list_contains(keys, 'ratio') AND NOT regexp_matches(json_type(arguments, '$.ratio'), '^(U?BIGINT|DOUBLE)$') THEN 'type:ratio' END,
+                       CASE WHEN NOT list_contains(keys, 'text') THEN 'missing:text' WHEN json_type(arguments, '$.text') <> 'VARCHAR' THEN 'type:text' END,
+                       array_to_string(list_transform(list_sort(list_filter(keys, lambda k: k NOT IN ('ratio', 'text'))), lambda k: 'unknown:' || k), ','))
+        END AS errors
+    FROM (SELECT *, json_keys(arguments) AS keys FROM shaped)
+), linked AS (
     SELECT coalesce(s.conv_id, r.conv_id) AS conv_id, coalesce(s.call_id, r.call_id) AS call_id, coalesce(s.turn, r.turn) AS turn, s.name,
            CASE WHEN s.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
-           s.errors, CASE WHEN s.call_id IS NULL OR d.depth >= 12 THEN NULL ELSE coalesce(d.depth, 0) END AS level,
-           s.call_id IS NOT NULL AND coalesce(d.depth, 0) >= 12 AS in_cycle,
+           s.errors, CASE WHEN d.depth < k.n_calls THEN d.depth END AS level,
+           s.call_id IS NOT NULL AND d.depth >= k.n_calls AS in_cycle,
            '{"arguments":' || coalesce(s.arguments, 'null') || ',"call_id":"' || coalesce(s.call_id, r.call_id) || '","name":' || coalesce('"' || s.name || '"', 'null')
                || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS record
-    FROM shaped s FULL JOIN results r ON s.conv_id = r.conv_id AND s.call_id = r.call_id
+    FROM judged s FULL JOIN results r ON s.conv_id = r.conv_id AND s.call_id = r.call_id
     LEFT JOIN deep d ON d.conv_id = s.conv_id AND d.call_id = s.call_id
+    LEFT JOIN (SELECT conv_id, count(*) AS n_calls FROM calls GROUP BY ALL) k ON k.conv_id = s.conv_id
 )
 SELECT conv_id, call_id, turn, name, status, errors, level::INTEGER AS level, in_cycle,
        row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, call_id, record) - 1 AS position, record
