@@ -10,7 +10,8 @@ response's HTTP header but no payload.  Which record comes first is settled on (
 A lost task writes again under a new name; an archive counts only if the index names it.
 
 Defined results: a null payload is empty; payloads under ``least_bytes`` are all responses; repeated ids with equal
-payloads are all responses if they have the smallest id; an empty table writes no archive; extra columns are ignored.
+payloads are all responses if they have the smallest id; a row without an id is a response and keeps its empty id; an
+empty table writes no archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ _RECORDS = T.StructType([
 READ_BYTES, READ_GAP = 4 << 20, 64 << 10
 #: A task reads about this many bytes of archives.
 TASK_BYTES = 128 << 20
+#: Rows of one payload meet its first record in so many tasks.
+SALTS = 32
 
 
 def sha1_base32(data: bytes) -> str:
@@ -53,11 +56,20 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _named(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def _id(name: str | None) -> int | None:
+    """The page id in a record's name; none if there is no name or no id in it."""
+    return int(bare) if name and (bare := name[len("<urn:page:") : -1]) else None
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit of refers_to without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_EPOCH}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_named(page_id)}", f"WARC-Date: {_EPOCH}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if url is not None:
@@ -65,7 +77,7 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     if refers_to is None:
         http += payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_named(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http + b"\r\n\r\n"
 
@@ -93,8 +105,9 @@ def write_archives(pages: DataFrame, target: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     hashed = durable(rows.select("page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("bytes")), "warc-digests")
     firsts = hashed.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where(F.col("copies") > 1).drop("copies")
-    # only payloads that occur twice or more have revisits; copies of one payload are small rows here
-    revisits = hashed.where(F.col("bytes") >= least_bytes).join(firsts, "sha1").where(F.col("page_id") > F.col("first_id")).select("page_id", "sha1", "first_id").distinct()
+    # only payloads that occur twice or more have revisits; copies of one payload are small rows here, spread over SALTS tasks
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = hashed.where(F.col("bytes") >= least_bytes).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha1", "salt"]).where(F.col("page_id") > F.col("first_id")).select("page_id", "sha1", "first_id").distinct()
     chosen = rows.withColumn("sha1", F.sha1("payload")).join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "first_id")
     folder = target.rstrip("/")
 
@@ -169,8 +182,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 if kind == "response" and sha1_base32(body) != digest:
                     raise ValueError(f"damaged record at {file}:{offset}")
                 out.append((
-                    int(warc["WARC-Record-ID"][len("<urn:page:") : -1]), warc.get("WARC-Target-URI"), int(http["Content-Length"]), digest, kind,
-                    int(refers[len("<urn:page:") : -1]) if refers else None, body if with_payload and kind == "response" else None,
+                    _id(warc["WARC-Record-ID"]), warc.get("WARC-Target-URI"), int(http["Content-Length"]), digest, kind,
+                    _id(refers), body if with_payload and kind == "response" else None,
                 ))
                 held += len(raw)
             if held > READ_BYTES or len(out) >= 5000:
