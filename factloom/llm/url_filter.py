@@ -5,12 +5,14 @@ encodes the listed keys, level 2 the unlisted keys that level 1 lets through, le
 through, and so on until no false positive is left.  A key is listed if the first level that denies it has an even
 number (counted from 1), or if all pass and the number of levels is odd.
 
-Levels are built from bit positions with bitmap aggregates and kept as one array of 64-bit words; they reach the scan as
-a scalar subquery, so probing is a projection.  A level takes ``bits_per_key`` bits for each key that it encodes, so its
-size follows the list and the (small) number of false positives, never the number of rows.
+A level is a blocked Bloom filter: a table of blocks of 32,768 bits, made by a bitmap aggregate per block.  A key has all
+its bits in one block, so a row looks up one block a level; the list itself is never joined.  A level takes
+``bits_per_key`` bits for each key that it encodes, so its size follows the list and the (small) number of false
+positives, never the number of rows, and building it takes time in proportion to the list.
 
 Defined results: a null url or one without "://" has an empty host and path; an empty host is a key like any other;
-an empty list lists nothing; repeated rows are judged alike; extra columns are ignored.
+an empty list lists nothing; repeated rows are judged alike; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 
 from .scratch import drop, durable
 
+BLOCK_BITS = 32_768
+#: Levels of at most so many blocks (of 4 KB) are broadcast.
+BROADCAST_BLOCKS = 16_384
+
 #: (host, path prefix, verdict); a rule fits its host and all subdomains.
 RULES = (
     ("com", "/", "allow"),
@@ -50,48 +56,60 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def _position(key: Column, level: int, i: int, bits: int) -> Column:
-    """Bit i of a key in a level of so many bits, by double hashing."""
-    a, b = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
-    return F.pmod(a.bitwiseAND(F.lit((1 << 47) - 1)) + F.lit(i) * b.bitwiseAND(F.lit((1 << 47) - 1)), F.lit(bits).cast("long"))
+def _block(key: Column, level: int, blocks: int) -> Column:
+    """The block of a level that holds all bits of a key."""
+    return F.pmod(F.xxhash64(F.lit(2 * level), key), F.lit(blocks).cast("long"))
+
+
+def _bit(key: Column, level: int, i: int) -> Column:
+    """Bit i of a key inside its block, by double hashing with an odd step."""
+    h = F.xxhash64(F.lit(2 * level + 1), key)
+    step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long"))
+    return F.pmod(h.bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(i) * step, F.lit(BLOCK_BITS).cast("long"))
 
 
 class Cascade:
-    """Levels as one-row tables of 64-bit words, with their numbers of bits."""
+    """Levels as (table of blocks, number of blocks); a block is 32,768 bits in an array of 512 words."""
 
     def __init__(self, levels: list[tuple[DataFrame, int]], hashes: int):
         self.levels, self.hashes = levels, hashes
 
-    def passes(self, key: Column, level: int) -> Column:
-        """Whether a level's filter lets the key through."""
-        table, bits = self.levels[level]
-        words = table.scalar()
-        hit = None
+    def passes(self, df: DataFrame, key: str, level: int, name: str) -> DataFrame:
+        """df with a boolean column: whether a level's filter lets the key through.
+
+        Each row looks up the one block of its key.  Blocks are broadcast as rows of 4 KB up to BROADCAST_BLOCKS of them
+        (64 MB); larger levels are met by an equi join on the block's number.
+        """
+        table, blocks = self.levels[level]
+        table = table.withColumnsRenamed({"block": "_block", "words": "_words"})
+        met = df.join(F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table, _block(F.col(key), level, blocks) == F.col("_block"), "left")
+        hit = F.col("_words").isNotNull()
         for i in range(self.hashes):
-            at = _position(key, level, i, bits)
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            one = F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
-            hit = one if hit is None else hit & one
-        return F.coalesce(hit, F.lit(False))
-
-    def listed(self, key: Column) -> Column:
-        """Exact membership for keys of the universe that the cascade was built over."""
+            at = _bit(F.col(key), level, i)
+            # bits are counted from the lowest of each byte, bytes from the highest of each word
+            shift = (7 - F.shiftright(at, 3).bitwiseAND(F.lit(7))) * 8 + at.bitwiseAND(F.lit(7))
+            hit = hit & (F.getbit(F.get("_words", F.shiftright(at, 6).cast("int")), shift.cast("int")) == 1)
+        return met.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_block", "_words")
+
+    def listed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with a boolean column: exact membership for keys of the universe that the cascade was built over."""
         n = len(self.levels)
+        for level in range(n):
+            df = self.passes(df, key, level, f"_passes{level}")
         out = F.lit(n % 2 == 1)
         for level in reversed(range(n)):
-            out = F.when(~self.passes(key, level), F.lit(level % 2 == 1)).otherwise(out)
-        return out
+            out = F.when(~F.col(f"_passes{level}"), F.lit(level % 2 == 1)).otherwise(out)
+        return df.withColumn(name, out).drop(*[f"_passes{level}" for level in range(n)])
 
 
 def _filter(keys: DataFrame, level: int, count: int, hashes: int, bits_per_key: int) -> tuple[DataFrame, int]:
-    """A one-row table with the words of a Bloom filter over column ``key``."""
-    bits = max(64, -(-count * bits_per_key // 64) * 64)
-    at = keys.select(F.explode(F.array(*[_position(F.col("key"), level, i, bits) for i in range(hashes)])).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("value"))
-    filled = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias("m"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long"))
-    made = filled.select(F.transform(every, lambda w: F.coalesce(F.element_at(F.col("m"), w), F.lit(0).cast("long"))).alias("words"))
-    return durable(made, "cascade-level"), bits
+    """The blocks (block, words) of a Bloom filter over column ``key``, and how many there can be."""
+    blocks = max(1, -(-count * bits_per_key // BLOCK_BITS))
+    bits = keys.select(_block(F.col("key"), level, blocks).alias("block"), F.explode(F.array(*[_bit(F.col("key"), level, i) for i in range(hashes)])).alias("bit"))
+    # every block is put together by one task from a bounded number of bits, so no task holds more than a few blocks
+    made = bits.repartition("block").groupBy("block").agg(F.hex(F.bitmap_construct_agg("bit")).alias("hex"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.conv(F.substring("hex", w * 16 + 1, F.lit(16)), 16, -10).cast("long"))
+    return durable(made.select("block", words.alias("words")), "cascade-level"), blocks
 
 
 def build_cascade(universe: DataFrame, hashes: int = 4, bits_per_key: int = 10) -> Cascade:
@@ -100,13 +118,9 @@ def build_cascade(universe: DataFrame, hashes: int = 4, bits_per_key: int = 10)
     encode, other = universe.where("listed").select("key"), universe.where("not listed").select("key")
     levels: list[tuple[DataFrame, int]] = []
     used = []
-    while True:
-        count = encode.count()
-        if not count:
-            break
-        cascade = Cascade([*levels, _filter(encode, len(levels), count, hashes, bits_per_key)], hashes)
-        levels = cascade.levels
-        wrong = durable(other.where(cascade.passes(F.col("key"), len(levels) - 1)), "cascade-wrong")
+    while count := encode.count():
+        levels = [*levels, _filter(encode, len(levels), count, hashes, bits_per_key)]
+        wrong = durable(Cascade(levels, hashes).passes(other, "key", len(levels) - 1, "_passes").where("_passes").select("key"), "cascade-wrong")
         used.append(wrong)
         encode, other = wrong, encode
     drop(universe, *used)
@@ -122,8 +136,8 @@ def judge(pages: DataFrame, cascade: Cascade, id_col: str = "page_id", url_col:
     """(id, host, path, rule, verdict): the longest rule's verdict, else block for listed hosts and allow for others."""
     base = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    listed = F.when(cascade.listed(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
-    return base.select(id_col, "host", "path", name.alias("rule"), F.coalesce(verdict, listed).alias("verdict"))
+    ruled = cascade.listed(base.select(F.col(id_col), "host", "path", name.alias("rule"), verdict.alias("verdict")), "host", "_listed")
+    return ruled.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
