@@ -8,7 +8,9 @@ drops those that cannot go on and emits the tokens that all of them share.  A pa
 token, which bounds the lookahead.  States and steps are made when first met and remembered up to a bound.
 
 ``Utf8Decoder`` turns token bytes into characters as they arrive, byte by byte through a small state machine, and keeps
-an incomplete character until its last byte comes.
+an incomplete character until its last byte comes.  Texts are worked through in chunks that begin and end between matches
+of the split pattern; equal chunks of a batch are encoded once, their ids are fed to the decoder one by one, and what comes
+out is kept with the chunk.  As a chunk ends where a character ends, the decoder starts each one in its first state.
 
 Defined results: a null text is empty and has no tokens; bytes that are no UTF-8 decode to U+FFFD in streaming text
 output, while decoded bytes are always exact; repeated rows are encoded alike; extra columns are ignored.
@@ -18,19 +20,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of what one Python worker remembers: states of the transducer, pair checks, encoded chunks of text.
-MAX_STATES, MAX_PAIRS, MAX_CHUNKS = 250_000, 400_000, 200_000
+from . import words as W
+from .arrow import give_back
+
+#: Bounds of what one Python worker remembers: states of the transducer, pair checks, chunks of text and their bytes.
+MAX_STATES, MAX_PAIRS, MAX_CHUNKS, MAX_BYTES = 250_000, 400_000, 600_000, 24 << 20
+
+#: White space by Unicode outside ASCII.
+WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-#: White space by Unicode other than space and line feed, and the separators 1C-1F.
-ODD_SPACES = "\t\r\x0b\x0c\x1c-\x1f" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank (which is the id)."""
@@ -217,6 +224,8 @@ class Utf8Decoder:
         self.state, self.held = 0, bytearray()
 
     def feed(self, data: bytes) -> str:
+        if not self.state and data.isascii():
+            return data.decode()
         out, table = [], self.table
         for b in data:
             nxt = table[self.state][b]
@@ -250,57 +259,117 @@ def decode_stream(ids, bytes_of: dict[int, bytes]):
         yield text
 
 
-class Encoder:
-    """Whole texts to ids, with a memory of chunks.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+#: White space of two and three bytes in UTF-8, as numbers.
+_WIDE = {n: np.sort([int.from_bytes(chr(c).encode()) for c in WIDE_SPACES if len(chr(c).encode()) == n]) for n in (2, 3)}
+
+
+def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where texts may be cut without changing any match of the pattern: where they begin, and before each space that
+    stands alone between characters that are no white space (such a space begins a match)."""
+    n = len(buf)
+    blank_at, blank_before = np.ones(n + 1, bool), np.ones(n + 1, bool)  # a text's ends count as white space
+    blank_at[:n] = blank_before[1:] = _BLANK[buf]
+    blank_before[0] = True
+    for size, lead, codes in ((2, buf == 0xC2, _WIDE[2]), (3, (buf >= 0xE1) & (buf <= 0xE3), _WIDE[3])):
+        at = np.flatnonzero(lead[: max(0, n - size + 1)])
+        code = sum(buf[at + i].astype(np.int64) << (8 * (size - 1 - i)) for i in range(size))
+        at = at[np.isin(code, codes)]
+        blank_at[at] = True
+        blank_before[at + size] = True
+    blank_before[offs] = True
+    begins = np.unique(offs[:-1][np.diff(offs) > 0])
+    ends_here = np.zeros(n + 1, bool)
+    ends_here[offs[1:]] = True
+    alone = np.flatnonzero(buf == 32)
+    alone = alone[~blank_before[alone] & ~blank_at[alone + 1] & ~ends_here[alone + 1]]
+    return np.union1d(begins, alone)
+
 
-    Where spaces stand alone between other characters, a text can be cut before each of them without changing any match
-    of the pattern; the ids of such chunks are remembered.  Other texts are matched whole.
-    """
+class Encoder:
+    """Whole texts to ids and back, with a memory of the chunks between cuts and of the matches in them."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.transducer = Transducer(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        #: white space next to a space, at an end, or other than space and line feed
-        self.odd = re.compile("  |\n | \n|^ | $|[" + ODD_SPACES + "]")
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
-        self.spelled = [str(i) for i in range(max(self.transducer.bytes_of) + 1)]
-        self.pieces = lru_cache(100_000)(lambda piece: tuple(self.transducer.encode(piece.encode())))
+        self.spelled = [b" %d" % i for i in range(max(self.transducer.bytes_of) + 1)]
+        self.decoder = Utf8Decoder()
+        self._forget()
+
+    def _forget(self) -> None:
+        #: of each chunk met: its number; by number: how many ids, the ids in decimal, the bytes decoded from them
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
+        self.size, self.decimal, self.decoded = [], [], []
 
     def ids(self, text: str) -> list[int]:
         """Token ids of a text."""
-        return [i for m in self.pattern.findall(text) for i in self.pieces(m)]
-
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
-        """Ids in decimal and decoded bytes of a chunk; two generations of memory keep what was met lately."""
-        made = self.known.get(chunk)
-        if made is None:
-            made = self.older.get(chunk)
-            if made is None:
-                # a space and ASCII letters are one match of the pattern
-                ids = self.transducer.encode(chunk.encode()) if chunk[1:].isalpha() and chunk.isascii() and (chunk[0] == " " or chunk[0].isalpha()) else self.ids(chunk)
-                bytes_of = self.transducer.bytes_of
-                made = " ".join([self.spelled[i] for i in ids]), b"".join([bytes_of[i] for i in ids])
-            if len(self.known) >= MAX_CHUNKS:
-                self.known, self.older = {}, self.known
-            self.known[chunk] = made
-        return made
+        return [i for m in self.pattern.findall(text) for i in self.transducer.encode(m.encode())]
+
+    def _kept(self, chunk: bytes, size: int, decimal: bytes, decoded: bytes) -> int:
+        at = self.known[chunk] = len(self.size)
+        self.bytes += len(chunk)
+        self.size.append(size)
+        self.decimal.append(decimal)
+        self.decoded.append(chunk if decoded == chunk else decoded)
+        return at
+
+    def _match(self, chunk: bytes) -> int:
+        """Number of one match of the pattern; a new one is encoded, and its ids are decoded one by one."""
+        at = self.known.get(chunk)
+        if at is None:
+            ids = self.transducer.encode(chunk)
+            feed, bytes_of, spelled = self.decoder.feed, self.transducer.bytes_of, self.spelled
+            text = "".join([feed(bytes_of[x]) for x in ids]) + self.decoder.finish()
+            at = self._kept(chunk, len(ids), b"".join([spelled[x] for x in ids]), text.encode())
+        return at
+
+    def _chunk(self, chunk: bytes) -> int:
+        """Number of a chunk that is not in memory: its matches one after another."""
+        text = chunk.decode()
+        # a space and letters are one match
+        matches = [chunk] if text.isalpha() or (text[0] == " " and text[1:].isalpha()) else [m.encode() for m in self.pattern.findall(text)]
+        if len(matches) == 1:
+            return self._match(chunk)
+        parts = [self._match(m) for m in matches]
+        return self._kept(chunk, sum(self.size[i] for i in parts), *(b"".join([kind[i] for i in parts]) for kind in (self.decimal, self.decoded)))
+
+    def _numbers(self, chunks: list[bytes]) -> np.ndarray:
+        """Number of each chunk in memory."""
+        if len(self.known) > MAX_CHUNKS or self.bytes > MAX_BYTES:
+            self._forget()
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        for i in np.flatnonzero(at < 0).tolist():
+            found = self.known.get(chunks[i])  # met as a part meanwhile
+            at[i] = self._chunk(chunks[i]) if found is None else found
+        return at
+
+    def digests(self, column: pa.Array):
+        """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the bytes decoded from them) of each text."""
+        for lo, hi, buf, offs in W.chunks(column, 1 << 20):
+            starts = cuts(buf, offs)
+            codes, chunks = W.coded(buf, np.diff(starts, append=len(buf)), pa.binary())
+            at = self._numbers(chunks.to_pylist())
+            total = np.zeros(len(codes) + 1, np.int64)
+            size = self.size
+            np.cumsum(np.array([size[i] for i in at.tolist()], np.int64)[codes], out=total[1:])
+            first = np.searchsorted(starts, offs)
+            count = np.diff(total[first]).tolist()
+            hashes = []
+            for kind, skip in ((self.decimal, 1), (self.decoded, 0)):
+                joined = pa.array([kind[i] for i in at.tolist()], pa.large_binary()).take(pa.array(codes))
+                _, ends, data = joined.buffers()
+                bounds = np.frombuffer(ends, np.int64)[first].tolist() if len(codes) else [0] * len(first)
+                data = memoryview(data) if data is not None else memoryview(b"")
+                hashes.append([hashlib.sha256(data[a + skip if b > a else a : b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            yield from zip(count, *hashes, strict=True)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes)."""
-        if not text:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        if self.odd.search(text):
-            ids, bytes_of = self.ids(text), self.transducer.bytes_of
-            spelled, data = " ".join(map(str, ids)), b"".join([bytes_of[i] for i in ids])
-        else:
-            head, *rest = text.split(" ")
-            made = [self._chunk(head), *map(self._chunk, [" " + x for x in rest])]
-            spelled, data = " ".join([m[0] for m in made]), b"".join([m[1] for m in made])
-        spelled = spelled.encode()
-        return spelled.count(b" ") + 1, hashlib.sha256(spelled).hexdigest(), hashlib.sha256(data).hexdigest()
+        """digests() of one text."""
+        return next(self.digests(pa.array([text], pa.string())))
 
 
 @lru_cache(1)
@@ -332,9 +401,10 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches):
         enc = encoder(path, pattern)
         for batch in batches:
-            rows = [enc.digest(x.as_py() or "") for x in batch.column(1)]
+            rows = list(enc.digests(batch.column(1)))
             n, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=_DIGESTS.names)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _DIGESTS)
 
