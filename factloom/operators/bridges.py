@@ -129,8 +129,9 @@ def cards(facts: DataFrame) -> DataFrame:
     balance = facts.where("statement_type = 'balance_sheet' and period_type = 'point_in_time'").select(*by).distinct()
     per_year = annual.withColumn("point", F.lit(False)).unionByName(balance.withColumn("point", F.lit(True)))
     unique = per_year.groupBy(*REPORT, "point", "year").agg(F.count("*").alias("periods"), F.first(F.struct(*PERIOD[1:])).alias("p")).where("periods = 1").select(*REPORT, "point", "year", "p.*")
-    money = select_values(facts).where(F.concat_ws("/", "statement_type", "canonical_name").isin([f"{s}/{n}" for n, s, _ in CARDS if s])).select(*by, F.col("canonical_name").alias("card"), F.col("amount").cast("double").alias("value"), "currency", "reason")
-    derived = compute_metrics(facts).where(F.col("metric").isin([n for n, s, _ in CARDS if not s])).select(*by, F.col("metric").alias("card"), "value", F.col("unit").alias("currency"), "reason")
+    selected = select_values(facts)
+    money = selected.where(F.concat_ws("/", "statement_type", "canonical_name").isin([f"{s}/{n}" for n, s, _ in CARDS if s])).select(*by, F.col("canonical_name").alias("card"), F.col("amount").cast("double").alias("value"), "currency", "reason")
+    derived = compute_metrics(facts, tuple(n for n, s, _ in CARDS if not s), selected).select(*by, F.col("metric").alias("card"), "value", F.col("unit").alias("currency"), "reason")
     points = latest.withColumn("c", F.explode(spec)).select(*REPORT, "latest", "c.*").join(unique, [*REPORT, "point"]).join(money.unionByName(derived), [*by, "card"]).where("reason = '' and value is not null")
     # other currencies than the latest year's are left out, not converted
     own = Window.partitionBy(*REPORT, "card")

@@ -14,8 +14,8 @@ REPORT = ["doc_id", "scope"]
 
 
 def amount(value: Column, multiplier: Column) -> Column:
-    """value * multiplier as an exact decimal; null if either is missing."""
-    return (value.cast("decimal(28,6)") * multiplier.cast("decimal(9,0)")).cast("decimal(38,6)")
+    """value * multiplier as an exact decimal; null if either is missing or the product is out of range."""
+    return F.try_multiply(value.try_cast("decimal(24,6)"), multiplier.try_cast("decimal(13,0)")).try_cast("decimal(38,6)")
 
 
 def money_unit(currency: Column, scale: str | Column = "亿") -> Column:
@@ -35,7 +35,9 @@ def first_reason(*inputs: Column) -> Column:
 def select_values(facts: DataFrame) -> DataFrame:
     """One row per (report, statement, metric, period): amount, currency, reason, and how many sources it has."""
     own = facts.where(F.col("canonical_name").isNotNull()).withColumn("amount", amount(F.col("value"), F.col("multiplier")))
-    quantum = F.col("multiplier").cast("double") * F.pow(F.lit(0.1), F.length(F.regexp_extract(F.translate("raw_value", "０１２３４５６７８９．", "0123456789."), r"\.(\d+)", 1)))
+    # the step of the last printed digit, as an exact decimal
+    decimals = F.length(F.regexp_extract(F.translate("raw_value", "０１２３４５６７８９．", "0123456789."), r"\.(\d+)", 1))
+    quantum = (F.col("multiplier").cast("decimal(13,0)") * F.concat(F.lit("1e-"), decimals).try_cast("decimal(20,12)")).cast("double")
     got = own.withColumn("quantum", quantum).groupBy(*REPORT, "statement_type", "canonical_name", *PERIOD).agg(
         F.count("*").alias("n_sources"),
         F.bool_or((F.coalesce("currency", F.lit("")) == "") | F.col("multiplier").isNull() | (F.col("multiplier") <= 0)).alias("no_unit"),
@@ -71,13 +73,13 @@ def wide(selected: DataFrame, names: list[str], by: list[str]) -> DataFrame:
 #: select_values in DuckDB, over ``facts``.
 SELECTED_SQL = """
 selected AS (
-    SELECT doc_id, scope, statement_type, canonical_name, year, period_type, start_date, end_date, is_restated, n_sources, quantum, scale, ocr, reason,
+    SELECT doc_id, scope, statement_type, canonical_name, year, period_type, start_date, end_date, is_restated, n_sources, quantum, scale, ocr, reason, p_lo, p_hi,
            CASE WHEN reason = '' THEN lo END AS amount, CASE WHEN reason = '' THEN c_lo ELSE '' END AS currency
     FROM (SELECT *, CASE WHEN scope = 'unknown' THEN 'UNKNOWN_SCOPE' WHEN no_unit THEN 'UNKNOWN_UNIT' WHEN no_value THEN 'NULL_VALUE' WHEN not_money THEN 'NOT_MONETARY'
                  WHEN lo <> hi OR c_lo <> c_hi THEN 'CONFLICT' ELSE '' END AS reason
           FROM (SELECT doc_id, scope, statement_type, canonical_name, year, period_type, start_date, end_date, is_restated, count(*) AS n_sources,
                        bool_or(currency = '' OR multiplier <= 0) AS no_unit, bool_or(value IS NULL) AS no_value, bool_or(value_type <> 'monetary') AS not_money,
                        min(value * multiplier) AS lo, max(value * multiplier) AS hi, min(currency) AS c_lo, max(currency) AS c_hi,
-                       max(CASE WHEN contains(raw_value, '.') THEN multiplier * 0.01 ELSE multiplier END)::DOUBLE AS quantum, max(multiplier) AS scale, bool_or(extraction_method = 'local_ocr') AS ocr
+                       max(multiplier::DOUBLE / pow(10, CASE WHEN contains(raw_value, '.') THEN length(raw_value) - instr(raw_value, '.') ELSE 0 END)) AS quantum, max(multiplier) AS scale, bool_or(extraction_method = 'local_ocr') AS ocr, min(source_page) AS p_lo, max(source_page) AS p_hi
                 FROM facts WHERE canonical_name IS NOT NULL GROUP BY ALL))
 )"""

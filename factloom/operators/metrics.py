@@ -36,10 +36,14 @@ def _growth(name: str, now: Column, before: Column) -> Column:
     return _metric(name, [now, before], before["amount"] <= 0, "NONPOSITIVE_BASE", F.try_divide(_d(now) - _d(before), _d(before)) * 100)
 
 
-def compute_metrics(facts: DataFrame) -> DataFrame:
-    """(doc_id, scope, period, metric, value, unit, reason, n_sources) for every annual or point-in-time period."""
+def compute_metrics(facts: DataFrame, names: tuple[str, ...] | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """(doc_id, scope, period, metric, value, unit, reason, n_sources) for every annual or point-in-time period.
+
+    names: only these metrics are computed; selected: select_values(facts), if it is at hand.
+    """
     by = [*REPORT, *PERIOD]
-    selected = select_values(facts)
+    wanted = lambda name: names is None or name in names
+    selected = select_values(facts) if selected is None else selected
     periods = lambda s: facts.where(F.col("statement_type") == s).select(*by).distinct()
     income = periods("income_statement").join(wide(selected.where("statement_type = 'income_statement'"), _INCOME, by), by, "left").where("period_type = 'annual'")
     income = _filled(income, _INCOME)
@@ -55,17 +59,25 @@ def compute_metrics(facts: DataFrame) -> DataFrame:
     prior = lambda n: F.when(F.col("bases") == 1, slim(F.col(f"base.{n}"))).otherwise(none)
     revenue, cost, gross, ocf = (F.col(c) for c in ("revenue", "cost_of_revenue", "gross_profit", "operating_cash_flow"))
     derived = _metric("gross_margin", [revenue, cost], (revenue["amount"] <= 0) | (cost["amount"] < 0), "BAD_GROSS_INPUT", F.try_divide(_d(revenue) - _d(cost), _d(revenue)) * 100)
-    yearly = joined.select(*by, F.explode(F.array(
-        _ratio("net_margin", F.col("net_income"), revenue), _ratio("operating_margin", F.col("operating_profit"), revenue),
-        _growth("revenue_growth", revenue, prior("revenue")), _growth("net_income_growth", F.col("net_income"), prior("net_income")),
-        F.when(gross["n_sources"] > 0, _ratio("gross_margin", gross, revenue)).otherwise(derived), _ratio("ocf_margin", ocf, revenue),
-    )).alias("m"))
-    balance = wide(selected.where("statement_type = 'balance_sheet' and period_type = 'point_in_time'"), _BALANCE, by)
-    debts = balance.select(*by, _ratio("debt_to_assets", F.col("total_liabilities"), F.col("total_assets")).alias("m"))
-    o, c = F.col("operating_cash_flow"), F.col("capital_expenditure")
-    unit = F.coalesce(F.nullif(o["currency"], F.lit("")), F.nullif(c["currency"], F.lit("")), F.lit("unknown"))
-    free = cash_rows.where("period_type = 'annual'").select(*by, _metric("free_cash_flow", [o, c], F.lit(False), "", (o["amount"] - F.abs(c["amount"])).cast("double"), unit).alias("m"))
-    return yearly.unionByName(debts).unionByName(free).select(*by, "m.metric", F.round("m.value", 6).alias("value"), "m.unit", "m.reason", "m.n_sources")
+    of_year = {
+        "net_margin": _ratio("net_margin", F.col("net_income"), revenue), "operating_margin": _ratio("operating_margin", F.col("operating_profit"), revenue),
+        "revenue_growth": _growth("revenue_growth", revenue, prior("revenue")), "net_income_growth": _growth("net_income_growth", F.col("net_income"), prior("net_income")),
+        "gross_margin": F.when(gross["n_sources"] > 0, _ratio("gross_margin", gross, revenue)).otherwise(derived), "ocf_margin": _ratio("ocf_margin", ocf, revenue),
+    }
+    parts = []
+    if made := [m for n, m in of_year.items() if wanted(n)]:
+        parts.append(joined.select(*by, F.explode(F.array(*made)).alias("m")))
+    if wanted("debt_to_assets"):
+        balance = wide(selected.where("statement_type = 'balance_sheet' and period_type = 'point_in_time'"), _BALANCE, by)
+        parts.append(balance.select(*by, _ratio("debt_to_assets", F.col("total_liabilities"), F.col("total_assets")).alias("m")))
+    if wanted("free_cash_flow"):
+        o, c = F.col("operating_cash_flow"), F.col("capital_expenditure")
+        unit = F.coalesce(F.nullif(o["currency"], F.lit("")), F.nullif(c["currency"], F.lit("")), F.lit("unknown"))
+        parts.append(cash_rows.where("period_type = 'annual'").select(*by, _metric("free_cash_flow", [o, c], F.lit(False), "", (o["amount"] - F.abs(c["amount"])).cast("double"), unit).alias("m")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*by, "m.metric", F.round("m.value", 6).alias("value"), "m.unit", "m.reason", "m.n_sources")
 
 
 def _filled(df: DataFrame, names: list[str]) -> DataFrame:

@@ -13,7 +13,10 @@ ORACLES: dict[str, str] = {}
 
 
 def facts(spark, sf_dir: str):
-    """The facts table; it is a few rows per nation and year, and every operator reads it several times, so it is kept."""
+    """The facts table; it is a few rows per supplier and year, and every operator reads it several times, so it is kept.
+
+    Equal plans share one cached table, so a session holds one per folder at most.
+    """
     return _facts(spark, sf_dir).cache()
 
 
@@ -28,7 +31,7 @@ _KEY = "doc_id, scope, year, period_type, start_date, end_date, is_restated"
 
 
 def _metric_query(name: str):
-    return lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir)).where(F.col("metric") == name)
+    return lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir), (name,))
 
 
 for _name in ("revenue_growth", "net_income_growth", "net_margin", "operating_margin", "gross_margin", "debt_to_assets", "ocf_margin", "free_cash_flow"):
@@ -117,7 +120,7 @@ _add(
     f"""{_BASE},
 {bridges.PAIR_SQL.strip()},
 t AS (
-    SELECT p.*, r0.amount AS t0, r1.amount AS t1, r0.currency AS cur, CASE WHEN n_now <> 1 OR n_before <> 1 THEN 'SEG_NOT_UNIQUE' WHEN coalesce(r0.reason, 'x') <> '' OR coalesce(r1.reason, 'x') <> '' OR r0.currency <> r1.currency THEN 'SEG_TOTAL' ELSE '' END AS gate
+    SELECT p.*, r0.amount AS t0, r1.amount AS t1, r0.currency AS cur, CASE WHEN n_now <> 1 OR n_before <> 1 THEN 'SEG_NOT_UNIQUE' WHEN coalesce(r0.reason, 'x') <> '' OR coalesce(r1.reason, 'x') <> '' OR r0.currency <> r1.currency THEN 'SEG_TOTAL' WHEN least(r0.p_lo, r1.p_lo) <> greatest(r0.p_hi, r1.p_hi) THEN 'SEG_PAGE' ELSE '' END AS gate
     FROM pair p
     LEFT JOIN selected r0 ON r0.doc_id = p.doc_id AND r0.scope = p.scope AND r0.canonical_name = 'revenue' AND r0.year = p.latest - 1
     LEFT JOIN selected r1 ON r1.doc_id = p.doc_id AND r1.scope = p.scope AND r1.canonical_name = 'revenue' AND r1.year = p.latest
