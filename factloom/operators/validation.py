@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .inputs import PERIOD, REPORT, first_reason, select_values, wide
@@ -47,13 +47,30 @@ def input_quality(facts: DataFrame) -> DataFrame:
     return got.select(*REPORT, "statement_type", "canonical_name", *PERIOD, F.lit("input_quality").alias("rule"), status.alias("status"), "reason", "n_sources")
 
 
+#: How a label names restated and original columns: fixed values.
+RESTATED, ORIGINAL = "重述", "原列"
+
+
+def period_label(year: Column, kind: Column, end: Column, restated: Column) -> Column:
+    """Year, kind, end date if there is one, and whether the column is restated; empty without a year."""
+    label = F.concat_ws(" / ", year.cast("string"), kind, F.nullif(F.coalesce(end, F.lit("")), F.lit("")), F.when(restated, RESTATED).otherwise(ORIGINAL))
+    return F.when(year.isNull(), "").otherwise(label)
+
+
+def fixed_tolerance(multiplier: Column) -> Column:
+    """Tolerance for three amounts rounded on their own, half a unit each, where no printed figures are at hand."""
+    return 1.5 * multiplier.cast("double")
+
+
 def run_all(facts: DataFrame) -> DataFrame:
-    """All checks in one table of (doc_id, scope, rule, status, reason) with counts."""
-    parts = [balance_checks(facts), statement_coverage(facts), input_quality(facts)]
-    rows = parts[0].select(*REPORT, "rule", "status", "reason")
-    for p in parts[1:]:
-        rows = rows.unionByName(p.select(*REPORT, "rule", "status", "reason"))
-    return rows.groupBy(*REPORT, "rule", "status", "reason").agg(F.count("*").alias("n"))
+    """All checks: (doc_id, scope, rule, item, period, period_label, status, reason); item is a statement or a metric."""
+    none = {"year": "int", "period_type": "string", "start_date": "string", "end_date": "string", "is_restated": "boolean"}
+    rows = balance_checks(facts).withColumn("item", F.lit("balance_sheet"))
+    gaps = statement_coverage(facts).withColumnRenamed("statement_type", "item").withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
+    keys = input_quality(facts).withColumnRenamed("canonical_name", "item")
+    columns = [*REPORT, "rule", "item", *PERIOD, "status", "reason"]
+    every = rows.select(*columns).unionByName(gaps.select(*columns)).unionByName(keys.select(*columns))
+    return every.withColumn("period_label", period_label(*(F.col(c) for c in ("year", "period_type", "end_date", "is_restated"))))
 
 
 BALANCE_SQL = """

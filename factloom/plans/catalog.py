@@ -301,3 +301,5 @@ _add(
     lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir)).groupBy("metric", "reason", T.metric_issue(F.col("reason")).alias("action")).agg(F.count("*").alias("n")),
     f"{_BASE},\n{metrics.METRICS_SQL.strip()}\nSELECT metric, reason, CASE WHEN reason = '' THEN '' WHEN regexp_matches(reason, 'MISSING|NULL_VALUE') THEN 'CHECK_STATEMENT' WHEN regexp_matches(reason, 'UNIT|CURRENCY') THEN 'CHECK_UNIT' WHEN regexp_matches(reason, 'CONFLICT|UNIQUE') THEN 'CHECK_DUPLICATES' WHEN regexp_matches(reason, 'NONPOSITIVE') THEN 'NOT_APPLICABLE' ELSE 'CHECK_SOURCES' END AS action, count(*) AS n FROM metrics GROUP BY ALL",
 )
+
+from . import reports  # noqa: E402, F401
