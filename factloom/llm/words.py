@@ -122,3 +122,17 @@ def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple
                 yield lo + i, sequence_hash(words[a:b])
             else:
                 yield lo + i, np.zeros(0, U)
+
+
+def coded(data: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, pa.Array]:
+    """Number of each span among the distinct spans, and those; spans of these lengths follow each other in data."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    made = pa.Array.from_buffers(kind, len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return made.indices.to_numpy(), made.dictionary
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + length] one after another."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
