@@ -283,7 +283,7 @@ def _report_pages(spark, sf_dir: str):
 
 
 _add("heading_score", lambda spark, sf_dir: page_ops.headings(_report_pages(spark, sf_dir)).drop("text"))
-_add("content_score", lambda spark, sf_dir: _report_pages(spark, sf_dir).select("doc_id", "page_number", page_ops.content_score(F.col("text")).alias("score")))
+_add("content_score", lambda spark, sf_dir: page_ops.content_scores(_report_pages(spark, sf_dir)))
 _add("statement_ranges", lambda spark, sf_dir: page_ops.statement_ranges(_report_pages(spark, sf_dir)).withColumn("continuation_pages", F.array_join(F.transform("continuation_pages", lambda p: p.cast("string")), ",")))
 
 SELECTIONS = ["3-5,4，7", "1", "", "2-1", "x", "30-60", "1-21", "9 8", "0-3", "4–6"]
