@@ -10,7 +10,7 @@ token, which bounds the lookahead.  States and steps are made when first met and
 ``Utf8Decoder`` turns token bytes into characters as they arrive, byte by byte through a small state machine, and keeps
 an incomplete character until its last byte comes.  Texts are worked through in chunks that begin and end between matches
 of the split pattern; equal chunks of a batch are encoded once, their ids are fed to the decoder one by one, and what comes
-out is kept with the chunk.  As a chunk ends where a character ends, the decoder starts each one in its first state.
+out must be the chunk.  As a chunk ends where a character ends, the decoder starts each one in its first state.
 
 Defined results: a null text is empty and has no tokens; bytes that are no UTF-8 decode to U+FFFD in streaming text
 output, while decoded bytes are always exact; repeated rows are encoded alike; extra columns are ignored.
@@ -19,9 +19,9 @@ output, while decoded bytes are always exact; repeated rows are encoded alike; e
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from . import words as W
 from .arrow import give_back
 
 #: Bounds of what one Python worker remembers: states of the transducer, pair checks, chunks of text and their bytes.
-MAX_STATES, MAX_PAIRS, MAX_CHUNKS, MAX_BYTES = 250_000, 400_000, 600_000, 24 << 20
+MAX_STATES, MAX_PAIRS, MAX_CHUNKS, MAX_BYTES = 300_000, 600_000, 1_200_000, 32 << 20
 
 #: White space by Unicode outside ASCII.
 WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -65,6 +65,8 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: whether merging makes a token at all, once known
+        self.made: list[bool | None] = [None] * (max(self.bytes_of) + 1)
         self.half: dict[int, tuple[bytes, bytes] | None] = {}
         self.edges: dict[tuple[int, bool], list[bytes]] = {}
         self._reset()
@@ -110,13 +112,11 @@ class Transducer:
         return self.edges[key]
 
     def fits(self, last: int, token: int) -> bool:
-        """Whether merging leaves these two tokens side by side (last -1: whether it makes the token at all).
+        """Whether merging leaves these two tokens side by side.
 
         The ends that meet grow in the order of their ranks; the tokens part if at some moment the ends themselves merge
         before either of them grows (of equal ranks the leftmost goes first).
         """
-        if last < 0:
-            return self.halves(token) is not None
         found = self.pairs.get((last, token))
         if found is None:
             if len(self.pairs) >= MAX_PAIRS:
@@ -143,7 +143,7 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         alive, ended = [], []
-        children, token_at = self.children, self.token_at
+        children, token_at, pairs, made = self.children, self.token_at, self.pairs, self.made
         for last, node, owed in self.states[state]:
             nxt = children[node].get(byte)
             if nxt is None:
@@ -151,7 +151,16 @@ class Transducer:
             if children[nxt]:
                 alive.append((last, nxt, owed))
             token = token_at[nxt]
-            if token >= 0 and self.fits(-1, token) and (last < 0 or self.fits(last, token)):
+            if token < 0:
+                continue
+            fits = made[token]
+            if fits is None:
+                fits = made[token] = self.halves(token) is not None
+            if fits and last >= 0:
+                fits = pairs.get((last, token))
+                if fits is None:
+                    fits = self.fits(last, token)
+            if fits:
                 ended.append((token, 0, (*owed, token)))
         alive += ended  # oldest start first, what has just ended last: equal sets of paths come in equal order
         if not alive:
@@ -297,70 +306,77 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.spelled = [b" %d" % i for i in range(max(self.transducer.bytes_of) + 1)]
         self.decoder = Utf8Decoder()
-        self._forget()
+        self.known = {}
+        self._age()
+        gc.freeze()  # tables that live as long as the worker
 
-    def _forget(self) -> None:
-        #: of each chunk met: its number; by number: how many ids, the ids in decimal, the bytes decoded from them
-        self.known: dict[bytes, int] = {}
-        self.bytes = 0
-        self.size, self.decimal, self.decoded = [], [], []
+    def _age(self) -> None:
+        """Begin a new generation of memory; what is met again moves over from the last one, the rest is forgotten."""
+        #: of each chunk and match met, the ids in decimal, each after a space; its bytes are the key itself
+        self.known: dict[bytes, bytes]
+        self.known, self.older, self.bytes = {}, self.known, 0
 
     def ids(self, text: str) -> list[int]:
         """Token ids of a text."""
         return [i for m in self.pattern.findall(text) for i in self.transducer.encode(m.encode())]
 
-    def _kept(self, chunk: bytes, size: int, decimal: bytes, decoded: bytes) -> int:
-        at = self.known[chunk] = len(self.size)
+    def _kept(self, chunk: bytes, decimal: bytes) -> bytes:
+        self.known[chunk] = decimal
         self.bytes += len(chunk)
-        self.size.append(size)
-        self.decimal.append(decimal)
-        self.decoded.append(chunk if decoded == chunk else decoded)
-        return at
-
-    def _match(self, chunk: bytes) -> int:
-        """Number of one match of the pattern; a new one is encoded, and its ids are decoded one by one."""
-        at = self.known.get(chunk)
-        if at is None:
+        return decimal
+
+    def _match(self, chunk: bytes) -> bytes:
+        """One match of the pattern; a new one is encoded, and its ids are decoded one by one."""
+        found = self.known.get(chunk)
+        if found is not None:
+            return found
+        found = self.older.get(chunk)
+        if found is None:
             ids = self.transducer.encode(chunk)
             feed, bytes_of, spelled = self.decoder.feed, self.transducer.bytes_of, self.spelled
             text = "".join([feed(bytes_of[x]) for x in ids]) + self.decoder.finish()
-            at = self._kept(chunk, len(ids), b"".join([spelled[x] for x in ids]), text.encode())
-        return at
-
-    def _chunk(self, chunk: bytes) -> int:
-        """Number of a chunk that is not in memory: its matches one after another."""
-        text = chunk.decode()
-        # a space and letters are one match
-        matches = [chunk] if text.isalpha() or (text[0] == " " and text[1:].isalpha()) else [m.encode() for m in self.pattern.findall(text)]
-        if len(matches) == 1:
-            return self._match(chunk)
-        parts = [self._match(m) for m in matches]
-        return self._kept(chunk, sum(self.size[i] for i in parts), *(b"".join([kind[i] for i in parts]) for kind in (self.decimal, self.decoded)))
-
-    def _numbers(self, chunks: list[bytes]) -> np.ndarray:
-        """Number of each chunk in memory."""
-        if len(self.known) > MAX_CHUNKS or self.bytes > MAX_BYTES:
-            self._forget()
-        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        for i in np.flatnonzero(at < 0).tolist():
-            found = self.known.get(chunks[i])  # met as a part meanwhile
-            at[i] = self._chunk(chunks[i]) if found is None else found
-        return at
+            if text.encode() != chunk:
+                raise ValueError("a match that does not decode to itself")
+            found = b"".join([spelled[x] for x in ids])
+        return self._kept(chunk, found)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        """A chunk that this generation does not know: its matches one after another."""
+        found = self.known.get(chunk)  # met as a part meanwhile
+        if found is not None:
+            return found
+        found = self.older.get(chunk)
+        if found is None:
+            text = chunk.decode()
+            # a space and letters are one match
+            if text.isalpha() or (text[0] == " " and text[1:].isalpha()):
+                return self._match(chunk)
+            parts = [self._match(m.encode()) for m in self.pattern.findall(text)]
+            if len(parts) == 1:
+                return parts[0]
+            found = b"".join(parts)
+        return self._kept(chunk, found)
+
+    def _entries(self, chunks: list[bytes]) -> list[bytes]:
+        if len(self.known) > MAX_CHUNKS // 2 or self.bytes > MAX_BYTES // 2:
+            self._age()
+        found = list(map(self.known.get, chunks))
+        return [self._chunk(c) if e is None else e for c, e in zip(chunks, found, strict=True)]
 
     def digests(self, column: pa.Array):
         """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the bytes decoded from them) of each text."""
         for lo, hi, buf, offs in W.chunks(column, 1 << 20):
             starts = cuts(buf, offs)
             codes, chunks = W.coded(buf, np.diff(starts, append=len(buf)), pa.binary())
-            at = self._numbers(chunks.to_pylist())
+            entries = self._entries(chunks.to_pylist())
             total = np.zeros(len(codes) + 1, np.int64)
-            size = self.size
-            np.cumsum(np.array([size[i] for i in at.tolist()], np.int64)[codes], out=total[1:])
+            np.cumsum(np.array([e.count(b" ") for e in entries], np.int64)[codes], out=total[1:])
             first = np.searchsorted(starts, offs)
             count = np.diff(total[first]).tolist()
             hashes = []
-            for kind, skip in ((self.decimal, 1), (self.decoded, 0)):
-                joined = pa.array([kind[i] for i in at.tolist()], pa.large_binary()).take(pa.array(codes))
+            # the decimal ids lose their first space; what was decoded from the ids of a chunk equals the chunk
+            for made, skip in ((pa.array(entries, pa.large_binary()), 1), (chunks.cast(pa.large_binary()), 0)):
+                joined = made.take(pa.array(codes))
                 _, ends, data = joined.buffers()
                 bounds = np.frombuffer(ends, np.int64)[first].tolist() if len(codes) else [0] * len(first)
                 data = memoryview(data) if data is not None else memoryview(b"")
@@ -400,10 +416,12 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         enc = encoder(path, pattern)
+        gc.disable()  # there are no cycles to find among millions of long-lived objects
         for batch in batches:
             rows = list(enc.digests(batch.column(1)))
             n, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=_DIGESTS.names)
+        gc.enable()
         give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _DIGESTS)
