@@ -1,8 +1,8 @@
 """Durable intermediate tables.
 
 Lineage is cut with Parquet tables in the folder that the cluster names in ``spark.checkpoint.dir``; it is shared by
-the driver and all executors, so a lost executor loses nothing.  Only where that setting is missing (tests, notebooks
-in local mode) a folder of our own is made.
+the driver and all executors, so a lost executor loses nothing.  Only in local mode, where driver and executors are one
+process, a missing setting is made up for by a folder of our own; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")

@@ -79,8 +79,8 @@ def levels(calls: DataFrame) -> DataFrame:
         reach = steps[k].select("conv_id", F.col("top").alias("low"), F.col("low").alias("lower"))
         moved = durable(at.join(reach.hint("shuffle_hash"), ["conv_id", "low"]).select("conv_id", "top", F.col("lower").alias("low"), (F.col("level") + 2**k).alias("level")).distinct(), "call-reach")
         rest = at.join(moved.select("conv_id", "top"), ["conv_id", "top"], "left_anti")
-        at = durable(moved.unionByName(rest), "call-reach")
-        drop(moved)
+        old, at = at, durable(moved.unionByName(rest), "call-reach")
+        drop(moved, *([old] if k + 1 < len(steps) else []))  # the first is no table of its own
     deep = at.select("conv_id", F.col("top").alias("call_id"), "level").distinct().join(calls_in, "conv_id")
     found = durable(deep.select("conv_id", "call_id", F.when(F.col("level") < F.col("calls"), F.col("level")).alias("level"), F.lit(True).alias("found")), "call-levels")
     drop(*steps, at)
