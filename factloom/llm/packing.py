@@ -16,59 +16,128 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import durable
+from . import words as W
+from .arrow import give_back
+from .scratch import drop, durable
 
-#: White space by the Unicode property, as the tokenizer's pattern sees it: it separates words and never enters a token.
-SPACES = "\t\n\x0b\x0c\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Words remembered by one Python worker; when full, the memory starts anew.
-REMEMBERED = 800_000
+#: What one Python worker remembers: so many words, of so many bytes; when full, the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 24 << 20
+#: A special token of the vocabulary.
+BETWEEN = "<|startoftext|>"
+
+
+#: Letters, digits and other signs of ASCII; bytes with the last bit stay with their neighbours (apostrophes, and all else).
+_WHOLE = 8
+_KIND = np.full(256, _WHOLE, np.uint8)
+_KIND[:128] = 4
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = _WHOLE
 
 
 class WordTokenizer:
     """Token ids of whole texts by a word-level vocabulary file; words met before come from memory.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after another.
+    The tokenizer drops white space and never joins across it, and no special token holds any.  So a text's ids are those
+    of its parts between ASCII white space one after another, whatever else the parts hold (other white space too).  It
+    never joins letters, digits and other signs either, so parts are cut between those of ASCII (but not at apostrophes,
+    which begin endings like 's), and it lowers letters, so parts are remembered in lower case.  Words that may hold a
+    special token are taken as they are.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile("[\x1c-\x1f]")
-        self.split = re.compile("[" + SPACES + "]+")
-
-    def words(self, text: str) -> list[str]:
-        """Parts between white space; str.split() also splits at \\x1c-\\x1f, which are no white space to the pattern."""
-        return [w for w in self.split.split(text) if w] if self.odd.search(text) else text.split()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are met at once."""
-        known, parts = self.known, [self.words(text) for text in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*parts).difference(known))
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
+        self.between = self.tokenizer.token_to_id(BETWEEN)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.bytes = 0
+        #: ids of all known words one after another, and where those of each word are
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Number of each word in memory; new ones are tokenised at once."""
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+            self._forget()
+        known = self.known
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing]
+            flat, lengths = self._encoded(new)
+            first, size = len(known), len(self.flat)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.bytes += sum(map(len, new))
+            self.flat = np.concatenate([self.flat, flat])
+            self.starts = np.concatenate([self.starts, size + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            at[missing] = np.arange(first, first + len(new))
+        return at
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has.
+
+        Many words go through the tokenizer as one text, with a special token between them that none of them holds.
+        """
+        held = [i for i, w in enumerate(words) if "<|" in w]
+        if held:
+            rest = sorted(set(range(len(words))) - set(held))
+            made = dict(zip(held, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[i] for i in held], add_special_tokens=False)), strict=True))
+            flat, lengths = self._encoded([words[i] for i in rest])
+            made |= dict(zip(rest, np.split(flat, np.cumsum(lengths)[:-1]), strict=True)) if rest else {}
+            return np.concatenate([made[i] for i in range(len(words))]), np.array([len(made[i]) for i in range(len(words))], np.int64)
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = ["".join([w + BETWEEN for w in words[i : i + 1000]]) for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.between)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def runs(self, column: pa.Array, end_id: int):
+        """(first row, ids, offsets) of runs of whole texts; each text's ids end with end_id."""
+        for lo, hi, buf, offs in W.chunks(column, 2 << 20):
+            starts, ends, first = W.word_bounds(buf, offs)
+            data = buf[W._IS_WORD[buf]]
+            lower = W._LOWER[data]
+            size = ends - starts
+            kind = _KIND[data]
+            cut = (kind[1:] != kind[:-1]) & ((kind[1:] | kind[:-1]) < _WHOLE)
+            opens = np.flatnonzero(data == ord("<"))
+            if len(opens):
+                special = np.zeros(len(size), bool)
+                special[np.searchsorted(np.cumsum(size), opens, "right")] = True
+                keep = np.repeat(special, size)
+                lower[keep] = data[keep]
+                cut &= ~keep[1:]
+            begins = np.cumsum(size) - size
+            places = np.zeros(len(data) + 1, bool)
+            places[begins] = True
+            places[1:-1] |= cut
+            parts = np.flatnonzero(places[:-1])
+            first = np.searchsorted(parts, np.append(begins, len(data))[first])
+            codes, words = W.coded(lower, np.diff(parts, append=len(data)), pa.string())
+            at = self._numbers(words.to_pylist())[codes]
+            lengths = self.lengths[at]
+            total = np.zeros(len(at) + 1, np.int64)
+            np.cumsum(lengths, out=total[1:])
+            own = total[first]  # ids before each text, without ends
+            ids = np.insert(W.gathered(self.flat, self.starts[at], lengths), own[1:], np.uint32(end_id))
+            yield lo, ids, own + np.arange(hi - lo + 1)
 
 
 @lru_cache(1)
@@ -77,36 +146,27 @@ def tokenizer(vocabulary: str) -> WordTokenizer:
     return WordTokenizer(vocabulary)
 
 
-def text_runs(column: pa.Array, limit: int = 1 << 18):
-    """(first row, end row) of runs of whole texts with about ``limit`` bytes."""
-    total = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    lo = 0
-    while lo < len(total):
-        before = total[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(total, before + limit, "right")))
-        yield lo, hi
-        lo = hi
-
-
 _PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "piece", "start", "length", "ids_crc32")])
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document: (doc_id, piece, start, length, ids_crc32)."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         words = tokenizer(vocabulary)
         for batch in batches:
-            out: list[tuple] = []
-            for lo, hi in text_runs(batch.column(1)):
-                docs_of, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
-                for doc, ids in zip(docs_of, words.ids([text or "" for text in texts]), strict=True):
-                    ids += end
-                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, names=_PIECES.names)
+            for lo, ids, offsets in words.runs(batch.column(1), end_id):
+                size = np.diff(offsets)
+                pieces = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                begin = 4 * (offsets[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc))], names=_PIECES.names)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PIECES)
 
