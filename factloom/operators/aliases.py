@@ -43,18 +43,26 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(metric, statement_type, alias_ord, key, length)")
 
 
-def resolve(labels: DataFrame, label_col: str = "label", statement: str | None = None) -> DataFrame:
-    """labels with ``metric`` and ``confidence`` (high: whole label; medium: the one longest alias inside; low: none or a tie)."""
+def resolve(labels: DataFrame, label_col: str = "label", statement: str | None = None, patterns: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """labels with ``metric`` and ``confidence``.
+
+    high: the whole label is an alias of one metric; medium: one alias is the longest inside it; low: only one of
+    ``patterns`` (metric, regular expression) fits, or a tie left no metric; unknown: nothing fits.
+    """
     table = alias_table(labels.sparkSession)
     if statement:
         table = table.where(F.col("statement_type") == statement)
     keyed = labels.select(F.col(label_col).alias("_label")).distinct().withColumn("_key", label_key(F.col("_label")))
     # distinct labels meet the fixed dimension, which is broadcast
     inside = keyed.join(F.broadcast(table), F.col("_key").contains(F.col("key")))
-    by_length = inside.groupBy("_label", "length", (F.length("_key") == F.col("length")).alias("whole")).agg(F.count("*").alias("n"), F.min_by("metric", F.struct("statement_type", "metric", "alias_ord")).alias("metric"))
-    best = by_length.groupBy("_label").agg(F.max_by(F.struct("n", "metric", "whole"), "length").alias("b"))
-    done = best.select("_label", F.when(F.col("b.whole") | (F.col("b.n") == 1), F.col("b.metric")).alias("metric"), F.when(F.col("b.whole"), "high").when(F.col("b.n") == 1, "medium").otherwise("low").alias("confidence"))
-    return labels.join(done, F.col(label_col) == F.col("_label"), "left").drop("_label").withColumn("confidence", F.coalesce("confidence", F.lit("low")))
+    by_length = inside.groupBy("_label", "length", (F.length("_key") == F.col("length")).alias("whole")).agg(F.count("*").alias("n"), F.count_distinct("metric").alias("metrics"), F.min("metric").alias("metric"))
+    best = by_length.groupBy("_label").agg(F.max_by(F.struct(F.when(F.col("whole"), F.col("metrics")).otherwise(F.col("n")).alias("n"), "metric", "whole"), "length").alias("b"))
+    one = F.col("b.n") == 1
+    done = best.select("_label", F.when(one, F.col("b.metric")).alias("metric"), F.when(~one, "low").when(F.col("b.whole"), "high").otherwise("medium").alias("confidence"))
+    out = labels.join(done, F.col(label_col) == F.col("_label"), "left").drop("_label")
+    fits = F.filter(F.array(*[F.when(F.col(label_col).rlike(x), F.lit(m)) for m, x in patterns]).cast("array<string>"), lambda m: m.isNotNull())
+    last = F.col("confidence").isNull() & (F.size(fits) > 0)
+    return out.withColumns({"metric": F.when(last & (F.size(fits) == 1), F.get(fits, F.lit(0))).otherwise(F.col("metric")), "confidence": F.when(last, "low").otherwise(F.coalesce("confidence", F.lit("unknown")))})
 
 
 def _keys(statement: str | None) -> list[tuple[str, str]]:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_label, column_scope, detect_period, detect_unit, parse_number, strip, value_type
+from ..functions.text import clean_label, column_scope, detect_period, detect_unit, number_of, strip, value_type, with_number
+from ..sources.scratch import kept
 from .aliases import resolve
 
 TABLE = ["doc_id", "table_no"]
@@ -102,30 +103,30 @@ def recovered_totals(rows: DataFrame) -> DataFrame:
 
 def assemble(cells: DataFrame, statement: str, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, warnings) of table grids of one kind of statement."""
-    columns, refused = period_columns(cells, statement, scope)
-    columns, skipped = with_inheritance(cells, columns.cache(), refused)
-    columns = columns.cache()  # small next to the cells, and read by every later step
-    units = table_units(cells)
+    # tables of columns, units and rows are read by several later steps, so each is written once
+    columns, refused = (kept(x, "grid-columns") for x in period_columns(cells, statement, scope))
+    columns, skipped = with_inheritance(cells, columns, refused)
+    columns, units = kept(columns, "grid-columns"), kept(table_units(cells), "grid-units")
     unclear = units.where("currency = '' or multiplier is null").join(columns.select(*TABLE).distinct(), TABLE, "left_semi").select(*TABLE, F.lit("UNKNOWN_UNIT").alias("warning"))
     grid = cells.groupBy(*TABLE, "row_no").agg(
         F.map_from_entries(F.collect_list(F.struct("col_no", "cell"))).alias("m"), F.max("source_page").alias("source_page"), F.max("method").alias("method"), F.count("*").alias("n_cells")
     )
     head = columns.groupBy(*TABLE, "width", "header_end").agg(F.array_sort(F.collect_list(F.struct("col_no", "period"))).alias("cols"))
     rows = grid.join(head, TABLE).where("row_no > header_end").withColumn("label", F.coalesce(F.element_at("m", F.lit(0)), F.lit("")))
-    rows = rows.withColumn("clean", clean_label(F.col("label"))).cache()
+    rows = kept(rows.withColumn("clean", clean_label(F.col("label"))), "grid-rows")
     exact = lambda kind: resolve(rows.select(F.col("clean").alias("label")).distinct(), statement=kind)
     mine = exact(statement).select(F.col("label").alias("clean"), F.when(F.col("confidence") == "high", F.col("metric")).alias("canonical_name"))
-    rows = rows.join(mine, "clean", "left").cache()
+    rows = kept(rows.join(mine, "clean", "left"), "grid-rows")
     if statement == "income_statement":
         any_ = exact(None).select(F.col("label").alias("clean"), F.col("metric").alias("any_metric"), F.col("confidence").alias("any_confidence"))
         blank = ~F.exists("cols", lambda c: strip(F.coalesce(F.element_at("m", c["col_no"]), F.lit(""))) != "")
         complete = ~F.exists("cols", lambda c: F.element_at("m", c["col_no"]).isNull())
         state = rows.join(any_, "clean", "left").select(
             *TABLE, "row_no", "label", complete.alias("complete"), F.col("any_metric").isNotNull().alias("named"),
-            F.transform("cols", lambda c: parse_number(F.coalesce(F.element_at("m", c["col_no"]), F.lit("")))[0]).alias("numbers"),
+            F.transform("cols", lambda c: number_of(F.coalesce(F.element_at("m", c["col_no"]), F.lit("")))).alias("numbers"),
             F.coalesce(complete & blank & (F.col("any_metric") == "revenue") & (F.col("any_confidence") == "high"), F.lit(False)).alias("heading"),
         )
-        back = recovered_totals(state).where("recovered is not null").select(*TABLE, "row_no", "recovered")
+        back = kept(recovered_totals(kept(state, "grid-state")).where("recovered is not null").select(*TABLE, "row_no", "recovered"), "grid-totals")
         rows = rows.join(back, [*TABLE, "row_no"], "left").withColumn("label", F.coalesce("recovered", "label"))
         rows = rows.withColumn("canonical_name", F.when(F.col("recovered").isNotNull(), "revenue").otherwise(F.col("canonical_name"))).drop("recovered")
     named = rows.where(strip(F.col("label")) != "")
@@ -136,8 +137,7 @@ def assemble(cells: DataFrame, statement: str, scope: str | None = None) -> tupl
     filled = F.exists("cols", lambda c: strip(F.coalesce(F.element_at("m", c["col_no"]), F.lit(""))) != "")
     good = named.where("n_cells = width").where(filled).withColumn("canonical_name", renamed)
     cell = good.select(*TABLE, "row_no", "label", "canonical_name", "source_page", "method", "m", F.explode("cols").alias("c")).withColumn("raw_value", F.element_at("m", F.col("c.col_no"))).where("raw_value is not null")
-    value, kind = parse_number(F.col("raw_value"))
-    parsed = cell.select("*", value.alias("value"), kind.alias("kind")).where(F.col("value").isNotNull() | F.col("raw_value").rlike(_BLANK)).join(units, TABLE)
+    parsed = with_number(cell, "raw_value", "value", "kind").where(F.col("value").isNotNull() | F.col("raw_value").rlike(_BLANK)).join(units, TABLE)
     type_ = value_type(F.col("label"), F.col("canonical_name"), F.col("kind"))
     scale = F.when(type_ != "monetary", F.lit(1.0)).otherwise(F.when(F.col("currency") != "", F.col("multiplier")))
     sure = F.col("canonical_name").isNotNull() & (F.col("currency") != "") & scale.isNotNull() & (F.col("method") != "local_ocr")
@@ -206,3 +206,33 @@ def positional_cells(words: DataFrame) -> DataFrame:
     footer = cells.where("col_no = 0 and cell rlike '(?i)^Annual Report\\\\b'").select("doc_id", "page_number", "line")
     body = cells.join(footer, ["doc_id", "page_number", "line"], "left_anti")
     return body.unionByName(bands.select("doc_id", "page_number", F.col("head").alias("line"), "col_no", F.col("title").alias("cell")))
+
+
+def _dated_pages(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Pages with a table whose first rows hold a usable year column."""
+    dated = cells.where(f"row_no < 15 and col_no > 0 and not cell rlike '{_NO_PERIOD}'").withColumn("period", detect_period(F.col("cell"), F.lit("income_statement")))
+    return dated.where("period is not null").select(*by).distinct()
+
+
+def choose_scan(native: DataFrame, positional: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, page_number, method): which of three scans of a page to use.
+
+    Native tables with year columns count, unless labels are merged into one cell or most of four figure rows or more have
+    none; then positions do, if they show year columns.  Without year columns positions come first, then native tables
+    (they may continue a table before), then lines of text.  Each scan has doc_id, page_number, table_no, row_no, col_no, cell.
+    """
+    page = ["doc_id", "page_number"]
+    blank = F.trim(F.coalesce("cell", F.lit(""))) == ""
+    rows = native.groupBy(*page, "table_no", "row_no").agg(F.max(F.when(F.col("col_no") == 0, F.col("cell"))).alias("label"), F.bool_or((F.col("col_no") > 0) & ~blank).alias("figures"))
+    marked = rows.groupBy(*page).agg(
+        F.bool_or(F.col("figures") & F.col("label").rlike(r"(?s)\S.*\R.*\S|\R.*\S")).alias("merged"), F.count_if((F.col("row_no") > 0) & F.col("figures")).alias("n"), F.count_if((F.col("row_no") > 0) & F.col("figures") & (F.trim(F.coalesce("label", F.lit(""))) == "")).alias("bare")
+    )
+    flag = lambda df, name: df.select(*page).distinct().withColumn(name, F.lit(True))
+    every = native.select(*page).union(positional.select(*page)).union(lines.select(*page)).distinct()
+    met = every.join(marked, page, "left").join(flag(_dated_pages(native, page), "native_dated"), page, "left").join(flag(_dated_pages(positional, page), "place_dated"), page, "left").join(flag(positional.where("col_no > 0"), "placed"), page, "left")
+    poor = F.col("merged") | ((F.col("n") >= 4) & (F.col("bare") * 2 > F.col("n")))
+    method = (
+        F.when(F.col("native_dated") & ~poor, "native").when(F.col("native_dated") & F.col("place_dated"), "positional").when(F.col("native_dated"), "native").when(F.col("placed"), "positional")
+        .when(F.col("merged").isNotNull(), "native").otherwise("text")
+    )
+    return met.select(*page, method.alias("method"))

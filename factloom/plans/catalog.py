@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import comparison, inputs, metrics, validation
@@ -184,8 +186,7 @@ def _cells(spark, sf_dir: str):
 
 
 def _parse_number(spark, sf_dir: str):
-    value, kind = T.parse_number(F.col("raw"))
-    return _cells(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(value, 6).alias("value"), kind.alias("value_type"))
+    return T.with_number(_cells(spark, sf_dir), "raw", "value", "value_type").select("l_orderkey", "l_linenumber", F.round("value", 6).alias("value"), "value_type")
 
 
 _add(
@@ -202,28 +203,61 @@ r AS (SELECT *, CASE WHEN NOT regexp_matches(trim(raw), '^(—|–|-{{1,3}}|\\.{
 SELECT l_orderkey, l_linenumber, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'unknown' WHEN shr THEN 'per_share' WHEN pct THEN 'percentage' ELSE 'unknown' END AS value_type FROM r""",
 )
 
-CONTEXTS = ["单位：人民币百万元", "(In millions of USD, except per share)", "人民币千元", "港币万元", "RMB thousand", "单位：元", "US$ billion", "EUR million, SGD million", "人民币 百万元 千元", "每股收益（元），人民币亿元", "no unit", "美元"]
-_UNITS = [("CNY", 1e6), ("USD", 1e6), ("CNY", 1e3), ("HKD", 1e4), ("CNY", 1e3), ("", 1.0), ("USD", 1e9), ("", 1e6), ("CNY", None), ("CNY", 1e8), ("", None), ("USD", 1.0)]
+def _parts(lists: list[list[str]], key: str):
+    """A text made of one item of each list, picked by a key's digits in their bases; and the same in SQL."""
+    bases = [math.prod(len(x) for x in lists[:i]) for i in range(len(lists))]
+    sql = " || ".join(f"({_sql_list(items)})[({key} // {base} % {len(items)} + 1)::INTEGER]" for items, base in zip(lists, bases, strict=True))
+    return lambda: F.concat(*[_pick(items, f"{key} div {base} % {len(items)}") for items, base in zip(lists, bases, strict=True)]), sql
+
+
+UNIT_TEXTS = [
+    ["", "人民币", "RMB", "USD", "US$", "$", "HK$", "S$", "EUR", "港币", "人民币 USD", "in CNY and"], [" "],
+    ["", "元", "千元", "万元", "千万元", "百万元", "亿元", "thousand", "Millions", "billion", "万元 千元", "million 百万元", "thousandth"],
+    ["", "，每股收益（元）", " (except per share data in USD thousand)", "；每股 港元", " EXCEPT shares\nmillion"],
+]
+_unit_text, _unit_sql = _parts(UNIT_TEXTS, "c_custkey")
 
 
 def _detect_unit(spark, sf_dir: str):
-    currency, scale = T.detect_unit(_pick(CONTEXTS, f"s_suppkey % {len(CONTEXTS)}"))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", currency.alias("currency"), scale.alias("multiplier"))
+    currency, scale = T.detect_unit(F.col("t"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", _unit_text().alias("t")).select("c_custkey", currency.alias("currency"), scale.alias("multiplier"))
 
 
-_add("detect_unit", _detect_unit, f"SELECT s_suppkey, ({_sql_list([c for c, _ in _UNITS])})[(s_suppkey % {len(CONTEXTS)} + 1)::INTEGER] AS currency, ([{', '.join('NULL' if v is None else str(v) for _, v in _UNITS)}])[(s_suppkey % {len(CONTEXTS)} + 1)::INTEGER]::DOUBLE AS multiplier FROM supplier")
+_add(
+    "detect_unit",
+    _detect_unit,
+    rf"""WITH t AS (SELECT c_custkey, regexp_replace(regexp_replace({_unit_sql}, '(?i)每股[^，,;；\n]*|except[^;\n]*per.share[^;\n]*', '', 'g'), '(?i)\bexcept\b[^\n]*', '', 'g') AS t FROM customer),
+f AS (SELECT c_custkey, [c FOR c IN [CASE WHEN regexp_matches(t, '(?i)人民币|人民幣|\bRMB\b|\bCNY\b') THEN 'CNY' END, CASE WHEN regexp_matches(t, '(?i)美元|US\$|\bUSD\b|(^|[^A-Za-z])\$($|[^A-Za-z])') THEN 'USD' END,
+    CASE WHEN regexp_matches(t, '(?i)港元|港币|HK\$|\bHKD\b') THEN 'HKD' END, CASE WHEN regexp_matches(t, '(?i)新加坡元|(^|[^A-Za-z])S\$|\bSGD\b') THEN 'SGD' END, CASE WHEN regexp_matches(t, '(?i)欧元|\bEUR\b') THEN 'EUR' END] IF c IS NOT NULL] AS cs,
+    list_distinct([CASE WHEN w = '百万元' THEN 1e6 WHEN w = '千万元' THEN 1e7 WHEN w = '亿元' THEN 1e8 WHEN w = '万元' THEN 1e4 WHEN w = '千元' THEN 1e3 WHEN w = '元' THEN 1.0 WHEN w LIKE 'b%' THEN 1e9 WHEN w LIKE 'm%' THEN 1e6 ELSE 1e3 END
+        FOR w IN regexp_extract_all(lower(t), '百万元|千万元|亿元|万元|千元|元|\bbillions?\b|\bmillions?\b|\bthousands?\b')]) AS ms FROM t)
+SELECT c_custkey, CASE WHEN len(cs) = 1 THEN cs[1] ELSE '' END AS currency, CASE WHEN len(ms) = 1 THEN ms[1]::DOUBLE END AS multiplier FROM f""",
+)
 
-HEADERS = ["2025年度", "December 31, 2024", "2025年13月40日", "2024 and 2025", "Three months 2025", "Restated 2024", "unrestated 2024", "半年度 2023", "附注", "2024/6/30", "12025", "FY2022 重述"]
-_PERIODS = [(2025, "annual", None, False), (2024, "annual", "2024-12-31", False), None, None, (2025, "quarter", None, False), (2024, "annual", None, True), (2024, "annual", None, False), (2023, "half_year", None, False), None, (2024, "annual", "2024-06-30", False), None, (2022, "annual", None, True)]
+PERIOD_TEXTS = [
+    ["2025", "2024年", "FY2023", "12024", "2024 and 2025", "2024/2024", "", "１９９９ 1999"], ["", "年度", " December 31,", "/6/30", "年12月31日", "年13月40日", "-2-30", "-2-28", " 31 december"],
+    ["", " restated", " unrestated", " 重述", " Three months", "半年度", " 季度", " half-year"],
+]
+_period_text, _period_sql = _parts(PERIOD_TEXTS, "c_custkey")
 
 
 def _detect_period(spark, sf_dir: str):
-    got = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", T.detect_period(_pick(HEADERS, f"s_suppkey % {len(HEADERS)}"), F.lit("income_statement")).alias("p"))
-    return got.select("s_suppkey", "p.year", "p.period_type", "p.end_date", "p.is_restated")
+    statement = F.when(F.col("c_custkey") % 5 == 0, "balance_sheet").otherwise("income_statement")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", T.detect_period(_period_text(), statement).alias("p")).select("c_custkey", "p.year", "p.period_type", "p.end_date", "p.is_restated")
 
 
-_q = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-_add("detect_period", _detect_period, "SELECT s_suppkey, p.year, p.period_type, p.end_date, p.is_restated FROM (SELECT s_suppkey, CASE s_suppkey % 12 " + " ".join(f"WHEN {i} THEN {{'year': {_q(p[0])}, 'period_type': {_q(p[1])}, 'end_date': {_q(p[2])}::VARCHAR, 'is_restated': {_q(p[3])}}}" for i, p in enumerate(_PERIODS) if p) + " END AS p FROM supplier)")
+_DATE = r"(?:19|20)\d\d\s*[年/-]\s*(\d{1,2})\s*[月/-]\s*(\d{1,2})"
+_add(
+    "detect_period",
+    _detect_period,
+    rf"""WITH h AS (SELECT c_custkey, {_period_sql} AS h FROM customer),
+y AS (SELECT *, list_distinct([x FOR x IN regexp_extract_all(h, '[0-9]+') IF length(x) = 4 AND (x LIKE '19%' OR x LIKE '20%')]) AS ys, regexp_matches(h, '{_DATE}') AS printed FROM h),
+e AS (SELECT *, CASE WHEN printed THEN try_cast(ys[1] || '-' || lpad(regexp_extract(h, '{_DATE}', 1), 2, '0') || '-' || lpad(regexp_extract(h, '{_DATE}', 2), 2, '0') AS DATE)::VARCHAR
+      WHEN regexp_matches(h, '(?i)December\s+31|31\s+December') THEN ys[1] || '-12-31' END AS e FROM y),
+o AS (SELECT *, len(ys) = 1 AND NOT (printed AND e IS NULL) AS ok FROM e)
+SELECT c_custkey, CASE WHEN ok THEN ys[1]::INTEGER END AS year, CASE WHEN ok THEN CASE WHEN c_custkey % 5 = 0 THEN 'point_in_time' WHEN regexp_matches(lower(h), 'quarter|three months|季度|三个月') THEN 'quarter' WHEN regexp_matches(lower(h), 'half.year|six months|半年度|六个月') THEN 'half_year' ELSE 'annual' END END AS period_type,
+       CASE WHEN ok THEN e END AS end_date, CASE WHEN ok THEN regexp_matches(lower(h), '(^|[^n]|(^|[^u])n)restated|重述|调整后|重列') END AS is_restated FROM o""",
+)
 
 _documents = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -258,44 +292,87 @@ _add(
     "SELECT doc_id, len(regexp_extract_all(text, '\\b\\d[\\d,.\\s]*\\d\\b|\\b\\d\\b'))::BIGINT AS n_numbers FROM documents",
 )
 
-LABELS = ["营业收入", "Total Revenue", "net  income", "毛利", "Revenue growth", "Total assets", "其中：销售毛利 小计", "Basic EPS", "something else", "Net cash flows from operating activities", "Trade Receivables, net", "货币资金", "Long-term Borrowings", "FCF"]
-_RESOLVED = [("revenue", "high"), ("revenue", "high"), ("net_income", "high"), ("gross_profit", "high"), ("revenue", "medium"), ("total_assets", "high"), ("gross_profit", "medium"), ("eps_basic", "high"), (None, "low"), ("operating_cash_flow", "high"), ("accounts_receivable", "medium"), ("cash_and_cash_equivalents", "high"), ("long_term_debt", "high"), ("free_cash_flow", "high")]
-_add(
-    "resolve_metric",
-    lambda spark, sf_dir: aliases.resolve(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", _pick(LABELS, f"p_partkey % {len(LABELS)}").alias("label"))),
-    f"SELECT p_partkey, l AS label, m AS metric, c AS confidence FROM (SELECT p_partkey, ({_sql_list(LABELS)})[i] AS l, ([{', '.join(_q(m) for m, _ in _RESOLVED)}])[i] AS m, ({_sql_list([c for _, c in _RESOLVED])})[i] AS c FROM (SELECT p_partkey, (p_partkey % {len(LABELS)} + 1)::INTEGER AS i FROM part))",
-)
+#: Labels as aliases with something around them, or two together.
+_NAMES = [a for _, _, names in aliases.METRICS for a in names]
+_AROUND = ["{x}", "  {x} ", "{x} growth", "其中：{x}小计", "net of {x}, total", "{x} {y}", "Item {z}", "{y}"]
+REGEXES = (("revenue", r"(?i)^item \d*[05]$"), ("inventory", r"(?i)^item \d*0$"))
+
+
+def _labels(spark, sf_dir: str):
+    n = len(_NAMES)
+    around = _pick(_AROUND, f"p_partkey % {len(_AROUND)}")
+    for mark, by in (("{x}", f"p_partkey * 11 % {n}"), ("{y}", f"p_partkey * 7 div 3 % {n}")):
+        around = F.replace(around, F.lit(mark), _pick(_NAMES, by))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.replace(around, F.lit("{z}"), F.col("p_partkey").cast("string")).alias("label"))
+
+
+_LABELS_SQL = f"replace(replace(replace(({_sql_list(_AROUND)})[(p_partkey % {len(_AROUND)} + 1)::INTEGER], '{{x}}', ({_sql_list(_NAMES)})[(p_partkey * 11 % {len(_NAMES)} + 1)::INTEGER]), '{{y}}', ({_sql_list(_NAMES)})[(p_partkey * 7 // 3 % {len(_NAMES)} + 1)::INTEGER]), '{{z}}', p_partkey::VARCHAR)"
+_ALIAS_ROWS = ", ".join("('%s', '%s', '%s')" % (m, st, a.replace("'", "''")) for m, st, names in aliases.METRICS for a in names)
+
+
+def _resolved_sql(label: str, regexes=()) -> str:
+    fits = "[x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(label, '{x}') THEN '{m}' END" for m, x in regexes) + "] IF x IS NOT NULL]" if regexes else "[]::VARCHAR[]"
+    return rf"""WITH al AS (SELECT metric, st, lower(replace(a, ' ', '')) AS k FROM (VALUES {_ALIAS_ROWS}) v(metric, st, a)), l AS (SELECT p_partkey, {label} AS label FROM part),
+m AS (SELECT p_partkey, metric, lower(regexp_replace(label, '\s+', '', 'g')) = k AS whole, length(k) AS n FROM l JOIN al ON contains(lower(regexp_replace(label, '\s+', '', 'g')), k)),
+g AS (SELECT p_partkey, bool_or(whole) AS whole, CASE WHEN bool_or(whole) THEN count(DISTINCT metric) ELSE count(*) END AS c, min(metric) AS metric FROM (SELECT * FROM m QUALIFY n = max(n) OVER (PARTITION BY p_partkey)) GROUP BY p_partkey),
+r AS (SELECT l.*, g.whole, g.c, g.metric, {fits} AS fits FROM l LEFT JOIN g USING (p_partkey))
+SELECT p_partkey, label, CASE WHEN c = 1 THEN metric WHEN c IS NULL AND len(fits) = 1 THEN fits[1] END AS metric, CASE WHEN c = 1 AND whole THEN 'high' WHEN c = 1 THEN 'medium' WHEN c > 1 OR len(fits) > 0 THEN 'low' ELSE 'unknown' END AS confidence FROM r"""
+
+
+_add("resolve_metric", lambda spark, sf_dir: aliases.resolve(_labels(spark, sf_dir), patterns=REGEXES), _resolved_sql(_LABELS_SQL, REGEXES))
 _add(
     "resolve_part_names",
     lambda spark, sf_dir: aliases.resolve(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("label"))).select("p_partkey", "metric", "confidence"),
+    f"SELECT p_partkey, metric, confidence FROM ({_resolved_sql('p_name')})",
 )
 
 TITLES = ["合并利润表", "Consolidated Balance Sheet 2025", "合并现金流量表（续）", "plain page", "这些财务报表包括资产负债表", "目录\n合并利润表 ........ 12\n合并资产负债表 ........ 14\n合并现金流量表 ...... 16", "母公司资产负债表", "  利润表", "续表", "2024年度合并及母公司利润表"]
 BODY = "\n单位：人民币百万元\n项目 2025年 2024年\n营业收入 1,234 1,111\n营业成本 900 800\n毛利 334 311\n营业利润 120 110\n净利润 100 90\n基本每股收益 0.36 0.30\n资产总计 5,000 4,800\n负债合计 2,000 1,900\n权益合计 3,000 2,900\n"
 
+#: Bodies of pages, from full statements to running text.
+BODIES = [
+    BODY, "\nRMB million\nItem 2025 2024\nRevenue 1,234 1,111\nCost of revenue 900 800\nGross profit 334 311\nNet income 100 90\n", "\nCash flows from operating activities 12 10\nOperating cash flow 2025 1 2\ncontinued\n",
+    "\n货币资金 12,000 11,000\n应收账款 8 9\n存货 7 6\n资产总计 5,000 4,800\n负债合计 2,000 1,900\n股东权益合计 3,000 2,900\n2025年12月31日\n", "\nGeneral remarks without any figures.\n", "\nRevenue .... 1\nInventory .... 2\nCapEx ..... 3\nFCF ------ 4\n2024\n",
+    "\n(Continued)\n2025 2024 Total assets 10 11 Total liabilities 4 5 Inventory 1 2 Shareholders' Equity 6 6 Current Debt 1 1\n",
+]
 
 def _report_pages(spark, sf_dir: str):
     """Conversations read as reports: a turn is a page, its title and body follow from the numbers."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     title = _pick(TITLES, f"(conv_id * 3 + turn * (1 + conv_id % 2)) % {len(TITLES)}")
-    body = F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, F.concat(F.lit("\n"), "text")).otherwise(F.lit(BODY))
+    body = F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, F.concat(F.lit("\n"), "text")).otherwise(_pick(BODIES, f"(conv_id * 5 + turn) % {len(BODIES)}"))
     return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.concat(title, body).alias("text"))
 
 
 _add("heading_score", lambda spark, sf_dir: page_ops.headings(_report_pages(spark, sf_dir)).drop("text"))
-_add("content_score", lambda spark, sf_dir: page_ops.content_scores(_report_pages(spark, sf_dir)))
+_PAGES_SQL = f"""WITH pages_of AS (SELECT conv_id AS doc_id, turn::INTEGER AS page_number, ({_sql_list(TITLES)})[((conv_id * 3 + turn * (1 + conv_id % 2)) % {len(TITLES)} + 1)::INTEGER] || CASE WHEN (conv_id + turn) % 5 = 4 THEN chr(10) || text ELSE ({_sql_list(BODIES)})[((conv_id * 5 + turn) % {len(BODIES)} + 1)::INTEGER] END AS text FROM conversations)"""
+_STATEMENTS_SQL = ", ".join(f"(SELECT count(DISTINCT metric) FROM al WHERE st = '{s}' AND contains(flat, k)) AS {s}" for s in page_ops.HEADINGS)
+_add("content_score", lambda spark, sf_dir: page_ops.content_scores(_report_pages(spark, sf_dir)), _PAGES_SQL + f""", al AS (SELECT metric, st, lower(replace(a, ' ', '')) AS k FROM (VALUES {_ALIAS_ROWS}) v(metric, st, a)),
+f AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat, replace(replace(regexp_replace(text, '[^\\p{{N}}\\P{{L}}年度]|[\\p{{M}}]', 'x', 'g'), '年', 'y'), '度', 'z') AS bare FROM pages_of),
+h AS (SELECT *, (SELECT count(DISTINCT metric) FROM al WHERE contains(flat, k)) AS hits, len(regexp_extract_all(bare, '\\b\\d[\\d,.\\s]*\\d\\b|\\b\\d\\b')) AS n, regexp_matches(bare, '\\b(20[12]\\d|19\\d\\d)\\s*(?:yz|y)?\\b') AS dated,
+      regexp_matches(lower(text), '人民币|美元|港元|新加坡元|rmb|cny|usd|hkd|sgd|千元|百万元|万元|亿元|thousands?|millions?|billions?') AS unit, len(regexp_extract_all(text, '\\.{{4,}}|-{{4,}}')) > 3 OR len(regexp_extract_all(text, '\\.+\\s*\\d{{1,4}}\\s*$')) > 5 AS listed FROM f),
+s AS (SELECT *, CASE WHEN hits >= 5 THEN 0.35 WHEN hits >= 3 THEN 0.2 WHEN hits >= 1 THEN 0.1 ELSE 0 END + CASE WHEN n >= 20 THEN 0.3 WHEN n >= 10 THEN 0.2 WHEN n >= 5 THEN 0.1 ELSE 0 END + CASE WHEN dated THEN 0.15 ELSE 0 END + CASE WHEN unit THEN 0.1 ELSE 0 END AS score FROM h)
+SELECT doc_id, page_number, round(least(CASE WHEN listed THEN score * 0.3 ELSE score END, 1)::DOUBLE, 4) AS score FROM s""")
 _add("statement_ranges", lambda spark, sf_dir: page_ops.statement_ranges(_report_pages(spark, sf_dir)).withColumn("continuation_pages", F.array_join(F.transform("continuation_pages", lambda p: p.cast("string")), ",")))
 
-SELECTIONS = ["3-5,4，7", "1", "", "2-1", "x", "30-60", "1-21", "9 8", "0-3", "4–6"]
-_PICKED = [("3,4,5,7", ""), ("1", ""), ("", ""), (None, "BOUNDS"), (None, "FORMAT"), (None, "TOO_MANY"), (None, "TOO_MANY"), ("8,9", ""), (None, "BOUNDS"), ("4,5,6", "")]
+SELECTIONS = ["{a}", "{a}-{b}", "{a},{b}", "{a}–{b}，{c}", " {c} {a}  {b} ", "x{a}", "{a}-", "", "0-{a}", "{a}-{z}", "{b}-{a}", "{a}-{b},{c}-{z}"]
 
 
 def _page_selection(spark, sf_dir: str):
-    pages, reason = T.page_selection(_pick(SELECTIONS, f"s_suppkey % {len(SELECTIONS)}"), F.lit(100))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.array_join(F.transform(pages, lambda p: p.cast("string")), ",").alias("pages"), reason.alias("reason"))
-
-
-_add("page_selection", _page_selection, f"SELECT s_suppkey, ([{', '.join(_q(p) for p, _ in _PICKED)}])[(s_suppkey % {len(SELECTIONS)} + 1)::INTEGER] AS pages, ({_sql_list([r for _, r in _PICKED])})[(s_suppkey % {len(SELECTIONS)} + 1)::INTEGER] AS reason FROM supplier")
+    spec = _pick(SELECTIONS, f"c_custkey % {len(SELECTIONS)}")
+    for mark, by in (("{a}", "c_custkey * 7 % 40"), ("{b}", "c_custkey * 7 % 40 + c_custkey % 25"), ("{c}", "c_custkey % 9 + 1"), ("{z}", "c_custkey % 9 + c_custkey % 31 * 5")):
+        spec = F.replace(spec, F.lit(mark), F.expr(f"cast({by} as string)"))
+    pages, reason = T.page_selection(F.col("spec"), F.lit(100))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", spec.alias("spec")).select("c_custkey", F.array_join(F.transform(pages, lambda p: p.cast("string")), ",").alias("pages"), reason.alias("reason"))
+
+
+_add("page_selection", _page_selection, rf"""WITH s AS (SELECT c_custkey, trim(replace(replace(replace(replace(({_sql_list(SELECTIONS)})[(c_custkey % {len(SELECTIONS)} + 1)::INTEGER], '{{a}}', (c_custkey * 7 % 40)::VARCHAR), '{{b}}', (c_custkey * 7 % 40 + c_custkey % 25)::VARCHAR), '{{c}}', (c_custkey % 9 + 1)::VARCHAR), '{{z}}', (c_custkey % 9 + c_custkey % 31 * 5)::VARCHAR)) AS s FROM customer),
+p AS (SELECT c_custkey, unnest(regexp_split_to_array(s, '[,，\s]+')) AS part FROM s WHERE s <> ''),
+b AS (SELECT *, regexp_full_match(part, '\d+([-–]\d+)?') AS form, try_cast(regexp_extract(part, '^(\d+)', 1) AS INTEGER) AS lo, coalesce(try_cast(nullif(regexp_extract(part, '[-–](\d+)$', 1), '') AS INTEGER), try_cast(regexp_extract(part, '^(\d+)', 1) AS INTEGER)) AS hi FROM p),
+g AS (SELECT c_custkey, bool_and(form) AS form, bool_or(lo < 1 OR hi < lo OR hi > 100) AS outside, bool_or(hi - lo + 1 > 20) AS wide FROM b GROUP BY ALL),
+n AS (SELECT c_custkey, list_sort(list_distinct(flatten(list(range(lo, hi + 1))))) AS pages FROM b WHERE form AND lo >= 1 AND hi BETWEEN lo AND 100 GROUP BY ALL),
+j AS (SELECT s.c_custkey, CASE WHEN g.c_custkey IS NULL THEN '' WHEN NOT form THEN 'FORMAT' WHEN outside THEN 'BOUNDS' WHEN wide OR len(pages) > 20 THEN 'TOO_MANY' ELSE '' END AS reason, pages FROM s LEFT JOIN g USING (c_custkey) LEFT JOIN n USING (c_custkey))
+SELECT c_custkey, reason, CASE WHEN reason = '' THEN coalesce(array_to_string(pages, ','), '') END AS pages FROM j""")
 _add(
     "metric_issue",
     lambda spark, sf_dir: metrics.compute_metrics(facts(spark, sf_dir)).groupBy("metric", "reason", T.metric_issue(F.col("reason")).alias("action")).agg(F.count("*").alias("n")),
@@ -303,3 +380,5 @@ _add(
 )
 
 from . import reports  # noqa: E402, F401
+from . import grids  # noqa: E402, F401
+from . import scans  # noqa: E402, F401
