@@ -603,3 +603,38 @@ def test_pipeline(spark):
     final = corpus_pipeline.run(spark, SF)
     left = corpus_pipeline.distinct(spark, corpus_pipeline.harmless(spark, good, SF), SF)
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in left.collect()}
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Rows without an id, repeated rows, null and empty texts, clashing names; then empty tables."""
+    import corpus_pipeline
+
+    prose = lambda i: " ".join(f"w{x}" for x in random.Random(i).choices(range(5000), k=60))
+    rows = [(i, prose(i), "own", 1) for i in range(200)] + [(3, prose(3), "own", 1), (500, prose(4), "own", 1), (None, prose(900), "own", 1), (None, None, "own", 1), (501, None, "own", 1), (502, "", "own", 1), (503, "one two", "own", 1), (504, "long " + prose(7) * 200, "own", 1)]
+    schema = "doc_id long, text string, component_id string, piece int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/a")
+        assert kept.columns == docs.columns
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    # short texts go, of equal texts the smallest id stays, a row without an id stays
+    assert ids == collections.Counter([*range(200), None]) or ids == collections.Counter([*range(200), None, 504])
+    final = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert collections.Counter(r.doc_id for r in final if r.piece == 0) == ids
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_empty_tables(spark):
+    """Every operator over no rows gives no rows."""
+    import public_tokenizers as P
+
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert byte_bpe.token_digests(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert quality_rules.judge(none, quality_rules.DecisionList()).count() == 0
+    assert sharding.shard_texts(none, 24).count() == 0
+    assert spotsigs.near_pairs(spotsigs.fingerprints(none)).count() == 0
