@@ -59,9 +59,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenths = F.col("doc_id") % 12 == 2
     cents_ = F.col("cents") + F.when(conflict, F.lit(100000)).otherwise(F.lit(0))
     exact = (cents_.cast("decimal(22,2)") * F.lit("0.01").cast("decimal(4,2)")).cast("decimal(28,6)")
-    value = F.when(thousands, F.expr("0.0") + F.floor(cents_.cast("double") / 100000).cast("decimal(28,6)")).otherwise(exact).cast("decimal(28,6)")
+    billions = F.col("doc_id") % 29 == 3
+    value = F.when(billions, F.floor(cents_.cast("double") / 100_000_000).cast("decimal(28,6)")).when(thousands, F.expr("0.0") + F.floor(cents_.cast("double") / 100000).cast("decimal(28,6)")).otherwise(exact).cast("decimal(28,6)")
     value = F.when((F.col("name") == "operating_profit") & (F.col("doc_id") % 7 == 3) & (F.col("year") == 2000), F.lit(None)).otherwise(value)
-    value = F.when(tenths, F.floor(value * 10).cast("decimal(28,6)") / 10).otherwise(value).cast("decimal(28,6)")
+    value = F.when(tenths & ~billions, F.floor(value * 10).cast("decimal(28,6)") / 10).otherwise(value).cast("decimal(28,6)")
     raw = F.when(thousands, value.cast("decimal(28,0)").cast("string")).when(tenths, value.cast("decimal(28,1)").cast("string")).otherwise(value.cast("decimal(28,2)").cast("string"))
     point = F.col("statement_type") == "balance_sheet"
     return rows.select(
@@ -72,7 +73,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("year").cast("string"), F.lit("-12-31")).alias("end_date"),
         ((F.col("doc_id") % 8 == 6) & (F.col("year") == 1999) & ~point & (F.col("copy") == 2)).alias("is_restated"),
         F.when((F.col("name") == "net_income") & (F.col("doc_id") % 7 == 2) & (F.col("year") == 1999), "").when((F.col("name") == "cost_of_revenue") & (F.col("doc_id") % 6 == 4) & (F.col("year") == 1996), "USD").otherwise("CNY").alias("currency"),
-        F.when(F.col("doc_id") % 29 == 3, 1_000_000_000).when(thousands, 1000).otherwise(1).cast("decimal(12,0)").alias("multiplier"), (F.lit(5) + F.when(point, 1).otherwise(0) + F.when((F.col("doc_id") % 13 == 4) & (F.col("name") == "revenue") & (F.col("year") == 2001), 3).otherwise(0)).alias("source_page"),
+        F.when(billions, 1_000_000_000).when(thousands, 1000).otherwise(1).cast("decimal(12,0)").alias("multiplier"), (F.lit(5) + F.when(point, 1).otherwise(0) + F.when((F.col("doc_id") % 13 == 4) & (F.col("name") == "revenue") & (F.col("year") == 2001), 3).otherwise(0)).alias("source_page"),
         F.when(F.col("doc_id") % 11 == 4, "local_ocr").otherwise("native").alias("extraction_method"),
     )
 
@@ -102,7 +103,7 @@ cents AS (
         WHEN doc_id % 8 = 6 AND year = 1999 AND statement_type = 'income_statement' THEN 2 ELSE 1 END)) AS copy FROM long
 ), valued AS (
     SELECT *, CASE WHEN name = 'operating_profit' AND doc_id % 7 = 3 AND year = 2000 THEN NULL
-        WHEN doc_id % 2 = 1 THEN floor(c::DOUBLE / 100000)::DECIMAL(28,6) WHEN doc_id % 12 = 2 THEN (floor(c::DOUBLE / 10)::DECIMAL(22,2) * 0.1::DECIMAL(4,2))::DECIMAL(28,6) ELSE (c::DECIMAL(22,2) * 0.01::DECIMAL(4,2))::DECIMAL(28,6) END AS value
+        WHEN doc_id % 29 = 3 THEN floor(c::DOUBLE / 100000000)::DECIMAL(28,6) WHEN doc_id % 2 = 1 THEN floor(c::DOUBLE / 100000)::DECIMAL(28,6) WHEN doc_id % 12 = 2 THEN (floor(c::DOUBLE / 10)::DECIMAL(22,2) * 0.1::DECIMAL(4,2))::DECIMAL(28,6) ELSE (c::DECIMAL(22,2) * 0.01::DECIMAL(4,2))::DECIMAL(28,6) END AS value
     FROM (SELECT *, cents + CASE WHEN name = 'revenue' AND doc_id % 5 = 0 AND year = 1997 AND copy = 2 THEN 100000 ELSE 0 END AS c FROM copied)
 ), facts AS (
     SELECT doc_id, s_name AS company_name, statement_type, scope, metric_ordinal, CASE WHEN name LIKE 'segment%' THEN NULL ELSE name END AS canonical_name, name AS original_label,
