@@ -32,7 +32,7 @@ from .arrow import give_back
 from .scratch import drop, durable
 
 #: What one Python worker remembers: so many words, of so many bytes; when full, the memory starts anew.
-REMEMBERED, REMEMBERED_BYTES = 800_000, 24 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
 #: A special token of the vocabulary.
 BETWEEN = "<|startoftext|>"
 
