@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, quality_rules, sharding, spotsigs, tool_calls, toxicity, url_filter, warc
+from . import alignment, byte_bpe, merkle, mixing, ngram_join, packing, quality_rules, sharding, spotsigs, tool_calls, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op4_tool_calls": tool_calls.OP4_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_mixing": mixing.OP12_SQL,
 }
