@@ -312,20 +312,21 @@ class Encoder:
 
     def _age(self) -> None:
         """Begin a new generation of memory; what is met again moves over from the last one, the rest is forgotten."""
-        #: of each chunk and match met, the ids in decimal, each after a space; its bytes are the key itself
-        self.known: dict[bytes, bytes]
+        #: of each chunk and match met, the ids in decimal, each after a space, and the bytes decoded from them
+        self.known: dict[bytes, tuple[bytes, bytes]]
         self.known, self.older, self.bytes = {}, self.known, 0
 
     def ids(self, text: str) -> list[int]:
         """Token ids of a text."""
         return [i for m in self.pattern.findall(text) for i in self.transducer.encode(m.encode())]
 
-    def _kept(self, chunk: bytes, decimal: bytes) -> bytes:
-        self.known[chunk] = decimal
+    def _kept(self, chunk: bytes, decimal: bytes, decoded: bytes) -> tuple[bytes, bytes]:
+        # what was decoded is mostly equal to the chunk; then one object serves for both
+        found = self.known[chunk] = decimal, chunk if decoded == chunk else decoded
         self.bytes += len(chunk)
-        return decimal
+        return found
 
-    def _match(self, chunk: bytes) -> bytes:
+    def _match(self, chunk: bytes) -> tuple[bytes, bytes]:
         """One match of the pattern; a new one is encoded, and its ids are decoded one by one."""
         found = self.known.get(chunk)
         if found is not None:
@@ -335,12 +336,10 @@ class Encoder:
             ids = self.transducer.encode(chunk)
             feed, bytes_of, spelled = self.decoder.feed, self.transducer.bytes_of, self.spelled
             text = "".join([feed(bytes_of[x]) for x in ids]) + self.decoder.finish()
-            if text.encode() != chunk:
-                raise ValueError("a match that does not decode to itself")
-            found = b"".join([spelled[x] for x in ids])
-        return self._kept(chunk, found)
+            found = b"".join([spelled[x] for x in ids]), text.encode()
+        return self._kept(chunk, *found)
 
-    def _chunk(self, chunk: bytes) -> bytes:
+    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
         """A chunk that this generation does not know: its matches one after another."""
         found = self.known.get(chunk)  # met as a part meanwhile
         if found is not None:
@@ -354,10 +353,10 @@ class Encoder:
             parts = [self._match(m.encode()) for m in self.pattern.findall(text)]
             if len(parts) == 1:
                 return parts[0]
-            found = b"".join(parts)
-        return self._kept(chunk, found)
+            found = tuple(map(b"".join, zip(*parts, strict=True)))
+        return self._kept(chunk, *found)
 
-    def _entries(self, chunks: list[bytes]) -> list[bytes]:
+    def _entries(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         if len(self.known) > MAX_CHUNKS // 2 or self.bytes > MAX_BYTES // 2:
             self._age()
         found = list(map(self.known.get, chunks))
@@ -368,15 +367,15 @@ class Encoder:
         for lo, hi, buf, offs in W.chunks(column, 1 << 20):
             starts = cuts(buf, offs)
             codes, chunks = W.coded(buf, np.diff(starts, append=len(buf)), pa.binary())
-            entries = self._entries(chunks.to_pylist())
+            entries, decoded = zip(*self._entries(chunks.to_pylist()), strict=True) if len(chunks) else ((), ())
             total = np.zeros(len(codes) + 1, np.int64)
             np.cumsum(np.array([e.count(b" ") for e in entries], np.int64)[codes], out=total[1:])
             first = np.searchsorted(starts, offs)
             count = np.diff(total[first]).tolist()
             hashes = []
-            # the decimal ids lose their first space; what was decoded from the ids of a chunk equals the chunk
-            for made, skip in ((pa.array(entries, pa.large_binary()), 1), (chunks.cast(pa.large_binary()), 0)):
-                joined = made.take(pa.array(codes))
+            # the decimal ids lose their first space
+            for made, skip in ((entries, 1), (decoded, 0)):
+                joined = pa.array(made, pa.large_binary()).take(pa.array(codes))
                 _, ends, data = joined.buffers()
                 bounds = np.frombuffer(ends, np.int64)[first].tolist() if len(codes) else [0] * len(first)
                 data = memoryview(data) if data is not None else memoryview(b"")
@@ -417,12 +416,14 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches):
         enc = encoder(path, pattern)
         gc.disable()  # there are no cycles to find among millions of long-lived objects
-        for batch in batches:
-            rows = list(enc.digests(batch.column(1)))
-            n, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=_DIGESTS.names)
-        gc.enable()
-        give_back()
+        try:
+            for batch in batches:
+                rows = list(enc.digests(batch.column(1)))
+                n, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=_DIGESTS.names)
+        finally:
+            gc.enable()
+            give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _DIGESTS)
 

@@ -20,9 +20,10 @@ equal set included; all of them are verified and counted, not only those that co
 returned, as their number is the square of a group's size.
 
 Defined results: a null or empty text has no n-gram, links with nothing and is its own component; a text shorter than an
-n-gram is one n-gram; repeated rows (equal ids) are returned once each and share a component; ties are broken by the
-smallest id; empty tables give an empty result; extra columns are ignored.  Repeated rows count as one document; a row
-without an id is not counted and has no number of links.
+n-gram is one n-gram; rows of one id are returned once each, those with equal sets count as one document, and those with
+different sets are documents of their own that happen to share a name; ties are broken by the smallest id; empty tables
+give an empty result; extra columns are ignored; texts of any length are read whole.  A row without an id is not counted
+and has no number of links.
 """
 
 from __future__ import annotations
@@ -33,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .arrow import unused
 from .scratch import drop, durable
 
 SKETCH_BITS, BLOCK_BITS = 22, 16
-_DOCS = "id long, n long, s1 long, s2 long, gh long, prefix array<long>"
+_DOCS = "id long, th long, n long, s1 long, s2 long, gh long, prefix array<long>"
+#: A set of n-grams: how many it has, and two hashes of it.
+SET = ["n", "s1", "s2"]
 
 
 def extra(n):
@@ -49,6 +53,11 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - (percent * n + 99) // 100 + 1 + extra(n))
 
 
+def _told(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and two hashes of a set."""
+    return len(s), int(W.mix(s).sum(dtype=W.U)), int(W.mix(s ^ W.U(0x1234567)).sum(dtype=W.U))
+
+
 def _levels(docs: DataFrame, k: int) -> np.ndarray:
     """Counters of all n-grams as levels of 0 to 255 (eighth powers of two), 4 MB whatever the corpus."""
 
@@ -93,7 +102,7 @@ def _levels(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """One row per document: set size, two hashes of the set, hash of the prefix, and the prefix as ordered keys."""
+    """One row per document: hash of the text, set size, two hashes of the set, hash of the prefix, and the prefix as ordered keys."""
 
     def run(batches):
         rare = levels.value
@@ -101,10 +110,10 @@ def _described(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
             ids = batch.column(0)
             n, s1, s2, gh, prefixes = [], [], [], [], []
             for _, s in W.shingle_sets(batch.column(1), k):
-                size = len(s)
+                size, one, two = _told(s)
                 n.append(size)
-                s1.append(int(W.mix(s).sum(dtype=W.U)))
-                s2.append(int(W.mix(s ^ W.U(0x1234567)).sum(dtype=W.U)))
+                s1.append(one)
+                s2.append(two)
                 if size:
                     keys = (rare[(s >> W.U(64 - SKETCH_BITS)).astype(np.int64)].astype(W.U) << W.U(55)) | (W.mix(s) >> W.U(9))
                     p = prefix_length(size, percent)
@@ -115,15 +124,15 @@ def _described(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
                     prefixes.append(np.zeros(0, np.int64))
                     gh.append(0)
             signed = lambda v: pa.array(np.array(v, W.U).view(np.int64) if v else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), signed(s1), signed(s2), signed(gh), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "gh", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), signed(s1), signed(s2), signed(gh), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "th", "n", "s1", "s2", "gh", "prefix"])
 
-    return docs.mapInArrow(run, _DOCS)
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, _DOCS)
 
 
 def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(cid, grams) of the documents named in wanted (column cid); a filter of fixed size spares most others the work."""
+    """(cid, grams) of the classes in wanted (cid, id of a document, set); a filter of fixed size spares most others the work."""
     slots = 1 << 25
-    at = F.pmod(F.xxhash64("cid"), F.lit(slots))
+    at = F.pmod(F.xxhash64("id"), F.lit(slots))
     rows = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # at most 1,024 rows of 4 KB
     bits = np.zeros(slots // 8 + 8192, np.uint8)
     for r in rows:
@@ -141,11 +150,13 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             some = batch.filter(pa.array(hit.astype(bool)))
             for at in range(0, some.num_rows, 256):
                 part = some.slice(at, 256)
-                grams = [s.view(np.int64) for _, s in W.shingle_sets(part.column(1), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["cid", "grams"])
+                sets = [s for _, s in W.shingle_sets(part.column(1), k)]
+                told = [pa.array(np.array(x, W.U).view(np.int64)) for x in zip(*(_told(s) for s in sets), strict=True)] if sets else [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([part.column(0), *told, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", *SET, "grams"])
 
-    # a document may stand in several rows; its class is named by the smallest id, so equal ids have one set unless texts differ
-    return marked.mapInArrow(run, "cid long, grams array<long>").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    # a document may stand in several rows, and other documents may have its id: the set tells them apart
+    made = marked.mapInArrow(run, "id long, n long, s1 long, s2 long, grams array<long>")
+    return made.join(wanted, ["id", *SET]).select("cid", "grams").dropDuplicates(["cid"])
 
 
 def _same(df: DataFrame) -> tuple[int, int]:
@@ -233,26 +244,48 @@ def _block_links(hub: int, within: bool, side: np.ndarray, cids: np.ndarray, wei
     return [(int(cids[i]), int(label[i]), int(count[i])) for i in np.flatnonzero(count)]
 
 
+def _dealt(family: DataFrame, percent: int) -> DataFrame:
+    """(hub, group, side, cid, weight): members of families (hub, cid, n, weight) dealt into groups of bounded size.
+
+    A family of more than BLOCK members is cut into bands of size, so wide that sets similar enough are in one band or in
+    neighbouring ones, and a band into blocks by hash.  Each block meets all blocks of its band and of the next band; all
+    other pairs of blocks are left out, as their sizes keep them apart.
+    """
+    width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1.0
+    counted = family.groupBy("hub").agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK).select(F.col("hub").alias("_hub"))
+    banded = family.join(counted, F.col("hub") == F.col("_hub"), "left").withColumn("band", F.when(F.col("_hub").isNotNull(), F.floor(F.log(F.col("n").cast("double")) / width)).otherwise(0).cast("int"))
+    sizes = banded.where("_hub is not null").groupBy("hub", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # bands of a family are as many as its sizes have orders of magnitude
+    per_hub = sizes.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
+    met = banded.drop("_hub").join(per_hub, "hub", "left")
+    blocks = lambda step: F.coalesce(F.element_at("bands", F.col("band") + step), F.lit(1 if step == 0 else 0))
+    met = met.withColumn("block", F.pmod(F.xxhash64("cid"), blocks(0)).cast("int"))
+    place = lambda lower, upper, i, j, side: F.struct(lower.alias("lower"), upper.alias("upper"), i.alias("i"), j.alias("j"), side.alias("side"))
+    band, block, zero, one = F.col("band"), F.col("block"), F.lit(0), F.lit(1)
+    others = lambda step: F.when(blocks(step) > 0, F.sequence(zero, blocks(step) - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(others(0), lambda x: place(band, band, F.least(block, x), F.greatest(block, x), (block > x).cast("int")))
+    above = F.transform(others(1), lambda x: place(band, band + 1, block, x, zero))
+    below = F.transform(others(-1), lambda x: place(band - 1, band, x, block, one))
+    return met.withColumn("g", F.explode(F.concat(own, above, below))).select("hub", "g.*", "cid", "weight")
+
+
 def _linked(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, links) of the classes of families (hub, cid, weight): a is connected to b, and linked with so many documents.
+    """(a, b, links) of the classes of families (hub, cid, n, weight): a is connected to b, and linked with so many documents.
 
-    A class may have several rows; its links are their sum.  Families are dealt into blocks, and every two blocks meet in
-    a group of bounded size, where all similarities are counted at once.
+    A class may have several rows; its links are their sum.  In each group of _dealt() all similarities are counted at once.
     """
     hubs = family.groupBy("cid").agg(F.collect_list("hub").alias("hubs"))
-    large = family.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")  # at most a row per BLOCK members
-    dealt = family.join(F.broadcast(large), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "weight")
-    rows = dealt.join(hubs, "cid").join(sets, "cid").select("hub", "i", "j", "side", "cid", "weight", "hubs", "grams")
-    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    group = ["hub", "lower", "upper", "i", "j"]
+    dealt = _dealt(family, percent)
+    rows = dealt.join(hubs, "cid").join(sets, "cid").select(*group, "side", "cid", "weight", "hubs", "grams")
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
 
     def run(batches):
         key, held = None, []
 
         def done():
             side, cids, weights = (np.array([r[c] for r in held], np.int64) for c in range(3))
-            return _block_links(key[0], key[1] == key[2], side, cids, weights, [r[3] for r in held], [r[4] for r in held], percent)
+            return _block_links(key[0], key[1] == key[2] and key[3] == key[4], side, cids, weights, [r[3] for r in held], [r[4] for r in held], percent)
 
         def packed(out):
             columns = zip(*out, strict=True) if out else ((), (), ())
@@ -260,13 +293,13 @@ def _linked(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            head = [c.to_pylist() for c in batch.columns[:6]]
-            lists = [(np.asarray(c.values), np.asarray(c.offsets)) for c in batch.columns[6:]]
-            for r, (hub, i, j, side, cid, weight) in enumerate(zip(*head, strict=True)):
-                if (hub, i, j) != key:
+            head = [c.to_pylist() for c in batch.columns[:8]]
+            lists = [(np.asarray(c.values), np.asarray(c.offsets)) for c in batch.columns[8:]]
+            for r, (*place, side, cid, weight) in enumerate(zip(*head, strict=True)):
+                if place != key:
                     if len(held) > 1:
                         out += done()
-                    key, held = (hub, i, j), []
+                    key, held = place, []
                 held.append((side, cid, weight, *(flat[offsets[r] : offsets[r + 1]] for flat, offsets in lists)))
             yield packed(out)
         yield packed(done() if len(held) > 1 else [])
@@ -274,19 +307,21 @@ def _linked(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, links long")
 
 
-def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every row of docs."""
+def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, th, n, component_id, keeper, n_links) of every row of docs (id, text): th is a hash of the text, and keeper the
+    (id, th) that stands for the component."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     levels = sc.broadcast(_levels(docs, k))
     described = durable(_described(docs, k, percent, levels), "ngram-docs")
-    # identical sets are one class, named by its smallest id; classes with identical prefix and size are one group
+    # identical sets are one class, with a number of its own as ids may be shared by different texts; classes with identical
+    # prefix and size are one group
     keyed = described.where("n > 0 and id is not null")
-    classes = durable(keyed.groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.min("gh").alias("gh"), F.count_distinct("id").alias("weight")), "ngram-classes")
+    classes = keyed.groupBy(*SET).agg(F.min(F.struct("id", "th")).alias("least"), F.min("gh").alias("gh"), F.count_distinct("id").alias("weight"))
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
     groups = classes.groupBy("gh", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
-    heads = groups.select("gid", F.col("n").alias("hn"))
-    postings = keyed.select("id", "n", F.size("prefix").alias("p"), "prefix").join(heads, (F.col("id") == F.col("gid")) & (F.col("n") == F.col("hn")), "left_semi").dropDuplicates(["id"])
-    lists = postings.select(F.col("id").alias("gid"), "n", "p", F.explode("prefix").alias("token"))
+    heads = classes.join(groups.select("gid"), F.col("cid") == F.col("gid")).select(F.col("least.id").alias("id"), *SET, "gid")
+    postings = keyed.select("id", *SET, F.size("prefix").alias("p"), "prefix").join(heads, ["id", *SET]).dropDuplicates(["gid"])
+    lists = postings.select("gid", "n", "p", F.explode("prefix").alias("token"))
     for _ in range(2):
         # a list needs two members, and a member must be in as many lists as it shares n-grams with its nearest partner:
         # of a partner's extra n-grams at least percent/100 as many as of its own
@@ -295,39 +330,51 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
         rich = met.groupBy("gid").agg(F.count("*").alias("met"), F.min("n").alias("n")).where(F.col("met") >= 1 + F.floor(F.floor(F.col("n") * percent / 100) / 20))
         lists = met.join(rich.select("gid", "met"), "gid").select("token", "gid", "n", (F.col("p") - F.col("met")).alias("alone"), "p")
     lists = durable(lists, "ngram-lists")
-    members_all = classes.join(groups.select("gh", "n", "gid", "size"), ["gh", "n"]).select("gid", "cid", "size", "weight")
-    members = durable(members_all.join(lists.select("gid").distinct().withColumn("listed", F.lit(True)), "gid", "left").where("listed or size > 1").select("gid", "cid", "size", "weight"), "ngram-members")
-    sets = durable(_sets_of(docs, k, members.select("cid")), "ngram-sets")
+    members_all = classes.join(groups.select("gh", "n", "gid", "size"), ["gh", "n"]).select("gid", "cid", "size", "weight", F.col("least.id").alias("id"), *SET)
+    listed = lists.select("gid").distinct().withColumn("listed", F.lit(True))
+    members = durable(members_all.join(listed, "gid", "left").where("listed or size > 1").drop("listed"), "ngram-members")
+    sets = durable(_sets_of(docs, k, members.select("cid", "id", *SET)), "ngram-sets")
 
     # a list's hub: the member with the fewest n-grams in its prefix that no other group has there, as a text has that
     # others are copies of; the members of all lists of a hub are a family, and so are the classes of a group
     hubs = lists.groupBy("token").agg(F.min(F.struct("alone", "gid")).alias("hub")).select("token", F.col("hub.gid").alias("hub"))
     met = durable(hubs.join(lists.select("token", "gid"), "token").where("hub <> gid").select("hub", "gid").distinct(), "ngram-hubs")
     family = met.union(met.select("hub", F.col("hub").alias("gid")).distinct())
-    family = family.join(members.select("gid", "cid", "weight"), "gid").select("hub", "cid", "weight").union(members.where("size > 1").select("gid", "cid", "weight")).distinct()
+    family = family.join(members.select("gid", "cid", "n", "weight"), "gid").select("hub", "cid", "n", "weight").union(members.where("size > 1").select("gid", "cid", "n", "weight")).distinct()
     family = durable(family, "ngram-family")
     links = durable(_linked(family, sets, percent), "ngram-links")
-    labels = durable(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
+    labels = durable(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("cid", "comp"), "ngram-labels")
     counts = links.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     drop(lists, met, members, sets, family)
-    placed = classes.join(labels.toDF("cid", "comp"), "cid", "left").join(counts, "cid", "left")
-    placed = placed.select("n", "s1", "s2", F.coalesce("comp", "cid").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = described.select("id", "n", "s1", "s2")
+    keepers = labels.join(classes.select("cid", "least"), "cid").groupBy("comp").agg(F.min("least").alias("keeper"))
+    placed = classes.join(labels.join(keepers, "comp").select("cid", "keeper"), "cid", "left").join(counts, "cid", "left")
+    placed = placed.select(*SET, F.coalesce("keeper", "least").alias("keeper"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = described.select("id", "th", *SET)
     # empty sets are their own components; all others look up that of their class
     n_links = F.when(F.col("id").isNotNull(), F.col("n_links")).alias("n_links")
-    full = rows.where("n > 0").join(placed, ["n", "s1", "s2"], "left").select("id", "n", "component_id", n_links)
-    empty = rows.where("n = 0").withColumn("n_links", F.lit(0).cast("long")).select("id", "n", F.col("id").alias("component_id"), n_links)
-    return full.union(empty).toDF(id_col, "n_shingles", "component_id", "n_links")
+    full = rows.where("n > 0").join(placed, SET, "left").select("id", "th", "n", "keeper", n_links)
+    empty = rows.where("n = 0").withColumn("n_links", F.lit(0).cast("long")).select("id", "th", "n", F.struct("id", "th").alias("keeper"), n_links)
+    return full.union(empty).select("id", "th", "n", F.col("keeper.id").alias("component_id"), "keeper", "n_links")
+
+
+def components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every row of docs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _placed(rows, k, percent).select("id", "n", "component_id", "n_links").toDF(id_col, "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: the one that names it (once, if its row is repeated).
+    """One document of each component stays: that with the smallest id (of several with that id, one text by its hash).
 
-    Documents with empty sets all stay, and so do rows without an id, which cannot be told apart.
+    Of rows equal in id and text one stays.  Documents with empty sets all stay, and so do rows without an id, which cannot
+    be told apart.
     """
-    kept = components(docs, k, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = _placed(rows, k, percent).where("id is not null and keeper.id = id and keeper.th = th").select(F.col("id").alias("_keep_id"), F.col("th").alias("_keep_th")).distinct()
+    name = unused(docs, "_th")
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn(name, F.xxhash64(text_col))
+    found = hashed.join(kept, (F.col(id_col).cast("long") == F.col("_keep_id")) & (F.col(name) == F.col("_keep_th")), "left_semi")
+    return found.dropDuplicates([id_col, name]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

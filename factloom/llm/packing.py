@@ -31,8 +31,11 @@ from . import words as W
 from .arrow import give_back
 from .scratch import drop, durable
 
-#: What one Python worker remembers: so many words, of so many bytes; when full, the memory starts anew.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
+#: Bytes that one Python worker remembers, and those of a word besides its letters and ids: an entry of a table, two
+#: objects and two numbers.  Before it would hold more, the memory starts anew.
+REMEMBERED_BYTES, WORD_BYTES = 64 << 20, 240
+#: Bytes of text whose words are looked up at once; they may all be new.
+RUN_BYTES = 1 << 20
 #: A special token of the vocabulary.
 BETWEEN = "<|startoftext|>"
 
@@ -71,18 +74,22 @@ class WordTokenizer:
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        """Number of each word in memory; new ones are tokenised at once."""
-        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
-            self._forget()
-        known = self.known
-        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        """Number of each word in memory; new ones are tokenised at once.
+
+        What is held stays under REMEMBERED_BYTES, or under what the words of one run need if that is more.
+        """
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
+        if len(missing) and self.bytes + sum(map(len, words)) + WORD_BYTES * len(missing) > REMEMBERED_BYTES:
+            self._forget()
+            at, missing = np.full(len(words), -1, np.int64), np.arange(len(words))
         if len(missing):
+            known = self.known
             new = [words[i] for i in missing]
             flat, lengths = self._encoded(new)
             first, size = len(known), len(self.flat)
             known.update(zip(new, range(first, first + len(new)), strict=True))
-            self.bytes += sum(map(len, new))
+            self.bytes += sum(map(len, new)) + WORD_BYTES * len(new) + flat.nbytes
             self.flat = np.concatenate([self.flat, flat])
             self.starts = np.concatenate([self.starts, size + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -110,7 +117,7 @@ class WordTokenizer:
 
     def runs(self, column: pa.Array, end_id: int):
         """(first row, ids, offsets) of runs of whole texts; each text's ids end with end_id."""
-        for lo, hi, buf, offs in W.chunks(column, 2 << 20):
+        for lo, hi, buf, offs in W.chunks(column, RUN_BYTES):
             starts, ends, first = W.word_bounds(buf, offs)
             data = buf[W._IS_WORD[buf]]
             lower = W._LOWER[data]

@@ -235,7 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text", stats_name: str = "stats", kept_name: str = "kept", rule_name: str = "rule") -> DataFrame:
-    """docs with its counts, the number of the rule that rejected it (0: none) and whether it is kept."""
+    """docs with its counts, the number of the rule that rejected it (0: none) and whether it is kept.
+
+    A name that docs has already gets underscores in front.
+    """
+    stats_name, kept_name, rule_name = (unused(docs, name) for name in (stats_name, kept_name, rule_name))
     out = with_counts(docs, text_col, stats_name)
     failed, hit = base_failed(F.col(stats_name)), rules.column(ratio_columns(F.col(stats_name)))
     return out.select("*", hit.alias(rule_name), (~failed & (hit == 0)).alias(kept_name))

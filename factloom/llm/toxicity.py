@@ -3,7 +3,9 @@
 A linear classifier over hashed words is trained in numpy from confirmed toxic examples and unlabelled text.  The risk of
 the negative class is estimated as the risk over unlabelled text less the class prior times the risk that positives
 would have as negatives; where that estimate falls under zero it counts as zero, which keeps the classifier from fitting
-the unlabelled set.  The prior is the share of toxic rows among labelled rows.
+the unlabelled set.  The prior is given, or the share of toxic rows among labelled rows; where all labels are toxic, it is
+estimated from the unlabelled text: no feature may be rarer there than the prior times its rate among positives, so the
+least ratio of the two rates, over features that a twentieth of the positives have, bounds it from above.
 
 Positives are a bounded sample of the labelled toxic rows, drawn by a hash of the id: at most ``max_positive`` (3,000).
 Unlabelled text is the whole corpus but for the held-out rows.  Three passes read it: one counts in how many documents
@@ -14,7 +16,7 @@ model's size only, and a lost executor costs a task of one step.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; labels that are null are ignored,
 several labels of one document count as their maximum; without toxic examples every score is the prior (near 0 if it is
-unknown); toxic examples with equal texts count once, unlabelled documents as often as they occur; a row without an id is
+unknown); toxic labels alone are enough to learn from; toxic examples with equal texts count once, unlabelled documents as often as they occur; a row without an id is
 unlabelled text and is scored like any other; repeated rows are scored alike; extra columns pass through untouched, and
 the score takes a name that none of them has.
 """
@@ -170,7 +172,7 @@ def signed_root(a: np.ndarray, b: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
 
 
 def telling(flagged: DataFrame, n_p: int, n_u: int, least_count: int, least_z: float) -> DataFrame:
-    """(bucket, z, positives) of the features whose rates among positives and all documents differ beyond chance."""
+    """(bucket, z, positives, documents) of the features whose rates among positives and all documents differ beyond chance."""
 
     def run(batches):
         sums: dict[tuple[int, bool], np.ndarray] = {}
@@ -182,9 +184,9 @@ def telling(flagged: DataFrame, n_p: int, n_u: int, least_count: int, least_z: f
             a, b = (sums.get((i, side), np.zeros(1 << BLOCK_BITS, np.int64)) for side in (True, False))
             z = signed_root(a, b, n_p, n_u)
             keep = np.flatnonzero((np.abs(z) >= least_z) & (np.where(z > 0, a, b) >= least_count))
-            yield pa.RecordBatch.from_arrays([pa.array(keep + (i << BLOCK_BITS), pa.int32()), pa.array(z[keep]), pa.array(a[keep])], names=["bucket", "z", "positives"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep + (i << BLOCK_BITS), pa.int32()), pa.array(z[keep]), pa.array(a[keep]), pa.array(b[keep])], names=["bucket", "z", "positives", "documents"])
 
-    return _blocks(flagged).repartition("block").mapInArrow(run, "bucket int, z double, positives long")
+    return _blocks(flagged).repartition("block").mapInArrow(run, "bucket int, z double, positives long, documents long")
 
 
 def patterns(flagged: DataFrame, kept: np.ndarray) -> DataFrame:
@@ -248,25 +250,38 @@ def _sampled(ids: DataFrame, total: int, most: int) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(space)) < share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3_000, max_features: int = 4_096, least_count: int = 5, least_z: float = 4.0) -> Model:
-    """Train from the rows that are not held out: at most max_positive labelled toxic ones, and all documents as unlabelled."""
+def estimated_prior(positives: np.ndarray, documents: np.ndarray, n_p: int, n_u: int) -> float:
+    """Upper bound of the share of positives among documents, from the features that positives and documents have."""
+    common = positives >= max(5, n_p / 20)
+    rates = (documents[common] + 1) / n_u / (positives[common] / n_p)
+    return min(0.5, max(n_p / n_u, float(rates.min(initial=0.5))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3_000, max_features: int = 4_096, least_count: int = 5, least_z: float = 4.0, prior: float | None = None) -> Model:
+    """Train from the rows that are not held out: at most max_positive labelled toxic ones, and all documents as unlabelled.
+
+    prior: the share of toxic documents, if it is known.
+    """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("_toxic"))
     counts = marks.agg(F.count("*").alias("n"), F.sum(F.col("_toxic").cast("long")).alias("p")).first()
     n, p = counts.n, counts.p or 0
-    prior = min(max(p / n if n else 0.0, 1e-6), 1 - 1e-6)
-    blank = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
+    if prior is None and (p < n or not p):
+        prior = p / n if n else 0.0
+    within = lambda x: min(max(x, 1e-6), 1 - 1e-6)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(~held_out("_id"))
     toxic = _sampled(marks.where("_toxic = 1").select("_id"), p, max_positive)
     # of toxic documents with equal texts one stands for all
     chosen = durable(docs.join(F.broadcast(toxic), "_id").groupBy(F.xxhash64("_text").alias("_h"), F.length("_text").alias("_n")).agg(F.min("_id").alias("_id")).select("_id", F.lit(True).alias("_positive")).distinct(), "toxic-ids")
     flagged = docs.join(F.broadcast(chosen), "_id", "left").select("_text", F.coalesce("_positive", F.lit(False)).alias("_positive"))  # at most max_positive ids
     size = docs.join(F.broadcast(chosen), "_id", "left").agg(F.count("_positive").alias("p"), F.count("*").alias("u")).first()
-    if not size.p or p == n:
+    if not size.p:
         drop(chosen)
-        return blank
+        rate = within(prior or 0.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
     found = telling(flagged, size.p, size.u, least_count, least_z).orderBy(F.abs("z").desc(), "bucket").limit(max_features).collect()
     found.sort(key=lambda r: r.bucket)
-    kept, positive = (np.array([r[c] for r in found], np.int64) for c in (0, 2))
+    kept, positive, documents = (np.array([r[c] for r in found], np.int64) for c in (0, 2, 3))
+    prior = within(estimated_prior(positive, documents, size.p, size.u) if prior is None else prior)
     table = durable(patterns(flagged, kept), "toxic-patterns")
     weights, bias = train(partial_sums(table, len(kept)), positive.astype(float), size.p, size.u, prior)
     drop(chosen, table)

@@ -241,6 +241,45 @@ def test_toxicity_descent():
     assert gained > 0 and all(risk(found) <= risk(found + rng.randn(7) * scale) + gained / 50 for scale in (0.01, 0.1, 1.0) for _ in range(200))
 
 
+def test_ngram_join_shared_ids(spark):
+    """Different texts under one id are documents of their own: no link and no text is lost."""
+    base = [[f"{t}{i}" for i in range(60)] for t in "abcd"]
+    text = [" ".join(b) for b in base]
+    rows = [(1, text[0]), (1, text[1]), (2, text[0] + " more"), (3, text[1] + " more"), (4, text[2]), (4, text[2]), (4, text[3]), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, th int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.components(docs).collect())
+    assert got == sorted([(1, 58, 1, 1), (1, 58, 1, 1), (2, 59, 1, 1), (3, 59, 1, 1), (4, 58, 4, 0), (4, 58, 4, 0), (4, 58, 4, 0), (4, 0, 4, 0), (4, 0, 4, 0)])
+    # with another first id, the two pairs are seen to be two components
+    renamed = docs.withColumn("doc_id", F.when(F.col("th") == 1, 5).otherwise(F.col("doc_id")))
+    assert {(r.doc_id, r.component_id) for r in ngram_join.components(renamed).collect()} == {(1, 1), (2, 1), (5, 3), (3, 3), (4, 4)}
+    kept = ngram_join.keep_one(docs.select("th", "doc_id", "text"))
+    assert kept.columns == ["th", "doc_id", "text"]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter({(1, text[0]): 1, (1, text[1]): 1, (4, text[2]): 1, (4, text[3]): 1, (4, ""): 1, (4, None): 1})
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_ngram_join_bands(spark, percent):
+    """A family of beginnings of one text, of all lengths: neighbouring bands of size meet, and no link is lost."""
+    base = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(base[: 100 + i])) for i in range(600)]
+    expected = brute_links(rows, 3, percent)
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()
+    assert {r.doc_id: r.n_links for r in got} == expected
+    assert {r.component_id for r in got} == {0}
+
+
+def test_toxicity_from_positives_alone(spark):
+    """Without a single negative label: toxic texts are marked, clean texts are not."""
+    text = lambda toxic, i: " ".join([f"plain{(i * 7 + j * (1 + i % 11)) % 90}" for j in range(30)] + (["vile", "nasty"] if toxic else []))
+    docs = spark.createDataFrame([(i, text(i % 8 == 0, i)) for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 1200, 16)], "doc_id long, toxic int")
+    for prior in (None, 0.125):
+        scored = toxicity.score(docs, toxicity.fit(docs, labels, prior=prior)).collect()
+        assert all((r.score.value >= 0.7) == (r.doc_id % 8 == 0) for r in scored)
+    assert toxicity.drop_toxic(docs, labels).count() == 1050
+    assert 0.1 < toxicity.estimated_prior(np.array([50, 40]), np.array([150, 900]), 50, 1200) < 0.13
+
+
 def test_toxicity_odd(spark):
     """Rows without an id, repeated rows, empty and very long texts, a column named score; an empty table."""
     text = lambda toxic, i: " ".join([f"plain{(i * 7 + j) % 90}" for j in range(30)] + (["vile", "nasty"] if toxic else []))
@@ -391,6 +430,14 @@ def test_quality_rules(spark):
     assert quality_rules.keep_good(docs, labels.where("false")).count() == 400
 
 
+def test_quality_names_that_clash(spark):
+    """A column that has the name of a verdict keeps its content."""
+    docs = spark.createDataFrame([(i, "plain words " * 20, f"s{i}", i, "r") for i in range(5)], "doc_id long, text string, stats string, kept long, RULE string")
+    out = quality_rules.judge(docs, quality_rules.DecisionList())
+    assert out.columns == [*docs.columns, "_stats", "_rule", "_kept"]
+    assert sorted(r.stats for r in out.collect()) == [f"s{i}" for i in range(5)]
+
+
 def test_sharding(spark, documents, rows):
     got = sharding.shard_texts(documents, 7).collect()
     assert len(got) == len(rows)
@@ -559,6 +606,26 @@ def brute_bins(lengths, capacity):
     return collections.Counter(bins)
 
 
+def test_packing_memory_is_bounded(rows, monkeypatch):
+    """What a worker remembers stays under its bound of bytes, or under what one run needs; ids stay the same."""
+    import public_tokenizers
+
+    made = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array([x for _, x in rows], pa.string())
+    whole = [(lo, ids.tolist(), ends.tolist()) for lo, ids, ends in made.runs(texts, 1)]
+    monkeypatch.setattr(packing, "RUN_BYTES", 1 << 14)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 1 << 20)
+    made._forget()
+    cut, most = [], 0
+    for _, ids, ends in made.runs(texts, 1):
+        cut += np.split(ids, ends[1:-1])
+        most = max(most, made.bytes)
+        assert made.bytes >= packing.WORD_BYTES * len(made.known) + made.flat.nbytes
+    assert most <= 1 << 20
+    joined = [y.tolist() for _, ids, ends in whole for y in np.split(np.array(ids), ends[1:-1])]
+    assert [x.tolist() for x in cut] == joined
+
+
 def test_plan_bins_equals_brute_force():
     for seed in range(60):
         random.seed(seed)
