@@ -35,6 +35,10 @@ METRICS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 
 
+#: Aliases are looked up by so many of their first signs (those of two by both).
+ANCHOR = 3
+
+
 def alias_table(spark: SparkSession) -> DataFrame:
     """(metric, statement_type, alias_ord, key, length): a fixed dimension of under 200 rows."""
     quote = lambda x: "'" + x.replace("'", "\\'") + "'"
@@ -43,6 +47,13 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(metric, statement_type, alias_ord, key, length)")
 
 
+def with_grams(keyed: DataFrame, key: str) -> DataFrame:
+    """keyed once for each distinct run of two to ANCHOR signs in its key, in column gram."""
+    places = F.when(F.length(key) > 0, F.sequence(F.lit(1), F.length(key))).otherwise(F.array().cast("array<int>"))
+    run_of = lambda n: F.transform(places, lambda i: F.substring(F.col(key), i, F.lit(n)))
+    return keyed.withColumn("gram", F.explode(F.array_distinct(F.concat(*map(run_of, range(2, ANCHOR + 1))))))
+
+
 def resolve(labels: DataFrame, label_col: str = "label", statement: str | None = None, patterns: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """labels with ``metric`` and ``confidence``.
 
@@ -53,8 +64,8 @@ def resolve(labels: DataFrame, label_col: str = "label", statement: str | None =
     if statement:
         table = table.where(F.col("statement_type") == statement)
     keyed = labels.select(F.col(label_col).alias("_label")).distinct().withColumn("_key", label_key(F.col("_label")))
-    # distinct labels meet the fixed dimension, which is broadcast
-    inside = keyed.join(F.broadcast(table), F.col("_key").contains(F.col("key")))
+    # labels meet aliases by an equi join on the alias's first signs, which a label that holds it has somewhere
+    inside = with_grams(keyed, "_key").join(table.withColumn("anchor", F.substring("key", 1, ANCHOR)), F.col("gram") == F.col("anchor")).where(F.col("_key").contains(F.col("key")))
     by_length = inside.groupBy("_label", "length", (F.length("_key") == F.col("length")).alias("whole")).agg(F.count("*").alias("n"), F.count_distinct("metric").alias("metrics"), F.min("metric").alias("metric"))
     best = by_length.groupBy("_label").agg(F.max_by(F.struct(F.when(F.col("whole"), F.col("metrics")).otherwise(F.col("n")).alias("n"), "metric", "whole"), "length").alias("b"))
     one = F.col("b.n") == 1

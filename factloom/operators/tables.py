@@ -1,6 +1,7 @@
 """From table grids to facts.
 
-cells: doc_id, table_no, source_page, method, context, row_no, col_no, cell (a grid in long form; rows may be ragged).
+cells: doc_id, table_no, source_page, method, context, row_no, col_no, cell (a grid in long form; rows may be ragged),
+statement_type and wanted (the scope whose columns count; empty: none), which are alike in all cells of a document.
 Every step is a window or an aggregate over (document, table), so documents spread over the cluster.
 """
 
@@ -9,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_label, column_scope, detect_period, detect_unit, number_of, strip, value_type, with_number
+from ..functions.text import clean_label, column_scope, detect_period, detect_unit, label_key, strip, value_type, with_number
 from ..sources.scratch import kept
-from .aliases import resolve
+from .aliases import alias_table, resolve
 
 TABLE = ["doc_id", "table_no"]
+KIND = ["statement_type", "wanted"]
 _MARKER = r"(?i)^\s*(?:restated|重述|调整后|重列|原列|合并|公司|母公司|consolidated|group|company|parent)\s*$"
 _NO_PERIOD = r"(?i)notes?|附注|增减|变动|change|%"
 _BLANK = r"(?i)^\s*(?:—|–|-{1,3}|N/?A)?\s*$"
@@ -21,15 +23,20 @@ _NOTE_ONLY = r"^\s*(?:\d{1,3}(?:\([a-z]\))?)?\s*$"
 _DECLARES = r"(?i)单位|币种|currency|RMB|USD|HKD|SGD|million|thousand"
 
 
-def header_rows(cells: DataFrame, statement: str) -> DataFrame:
+def of_kind(cells: DataFrame, statement: str, scope: str | None = None) -> DataFrame:
+    """cells that are all of one kind of statement."""
+    return cells.withColumns({"statement_type": F.lit(statement), "wanted": F.lit(scope or "")})
+
+
+def header_rows(cells: DataFrame) -> DataFrame:
     """(table, header_end) of tables with a header: the first row (of 15) with a period and the period or marker rows after it."""
-    period = detect_period(F.col("cell"), F.lit(statement))
+    period = detect_period(F.col("cell"), F.col("statement_type"))
     rows = cells.where("row_no < 15").withColumn("_p", period.isNotNull()).groupBy(*TABLE, "row_no").agg(
         F.bool_or("_p").alias("dated"), F.bool_or(F.col("cell").rlike(_MARKER)).alias("marker"), F.max(F.when(F.col("col_no") == 0, F.col("cell"))).alias("label")
     )
     dated = rows.where("dated").select(F.col("label")).distinct()
     named = resolve(dated).where("metric is not null").select(F.col("label").alias("_label"))
-    rows = rows.join(F.broadcast(named), F.col("label") == F.col("_label"), "left").withColumn("named", F.col("_label").isNotNull())  # labels of header rows only
+    rows = rows.join(named, F.col("label") == F.col("_label"), "left").withColumn("named", F.col("_label").isNotNull())
     first = rows.where("dated").groupBy(*TABLE).agg(F.min("row_no").alias("first"))
     after = rows.join(first, TABLE).where("row_no >= first")
     goes_on = (F.col("dated") & ~F.col("named")) | (~F.col("dated") & F.col("marker"))
@@ -37,24 +44,36 @@ def header_rows(cells: DataFrame, statement: str) -> DataFrame:
     return stop.select(*TABLE, (F.coalesce("stop", F.col("last") + 1) - 1).alias("header_end"), "first").where("header_end >= first").select(*TABLE, "header_end")
 
 
-def period_columns(cells: DataFrame, statement: str, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(columns, warnings): the period of each year column that may be used.
+def dated_columns(cells: DataFrame) -> DataFrame:
+    """(table, kind, col_no, header_end, header, period, col_scope) of the columns whose header names one period."""
+    ends = header_rows(cells)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cell"))), lambda c: c["cell"]), " ")
+    heads = cells.join(ends, TABLE).where("row_no <= header_end").groupBy(*TABLE, *KIND, "col_no", "header_end").agg(text.alias("header"))
+    dated = heads.where(f"col_no > 0 and not header rlike '{_NO_PERIOD}'").withColumn("period", detect_period(F.col("header"), F.col("statement_type")))
+    return dated.where("period is not null").withColumn("col_scope", column_scope(F.col("header")))
+
+
+def table_scopes(cells: DataFrame) -> DataFrame:
+    """(doc_id, scopes): the scopes that column headers of a document's tables name, in alphabetical order."""
+    named = dated_columns(cells).where("col_scope <> 'unknown'")
+    return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("col_scope")).alias("scopes"))
+
+
+def period_columns(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(columns, refused): the period of each year column that may be used; tables left out, with a warning or without.
 
-    Where headers name scopes, only columns of the wanted scope are used, and none if no scope is wanted; a table with
-    two columns of one period is left out.
+    Where headers name scopes, only columns of the wanted scope are used: a table without any is left out, with a warning
+    if no scope is wanted.  A table with two columns of one period is left out too.
     """
-    ends = header_rows(cells, statement)
-    heads = cells.join(ends, TABLE).where("row_no <= header_end").groupBy(*TABLE, "col_no", "header_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cell"))), lambda c: c["cell"]), " ").alias("header"))
-    found = heads.where(f"col_no > 0 and not header rlike '{_NO_PERIOD}'").withColumn("period", detect_period(F.col("header"), F.lit(statement))).where("period is not null").withColumn("col_scope", column_scope(F.col("header")))
+    found = dated_columns(cells)
     table = Window.partitionBy(*TABLE)
     scoped = found.withColumn("scoped", F.bool_or(F.col("col_scope") != "unknown").over(table))
-    kept = scoped.where(~F.col("scoped") | (F.col("col_scope") == scope if scope else F.lit(False)))
+    scoped = scoped.withColumn("mine", ~F.col("scoped") | (F.col("col_scope") == F.col("wanted"))).withColumn("any_mine", F.bool_or("mine").over(table))
     same = Window.partitionBy(*TABLE, "period.year", "period.period_type", "period.end_date", "period.is_restated")
-    counted = kept.withColumn("_n", F.count("*").over(same)).withColumn("twice", F.max("_n").over(table) > 1)
+    counted = scoped.where("mine").withColumn("_n", F.count("*").over(same)).withColumn("twice", F.max("_n").over(table) > 1)
     warnings = counted.where("twice").select(*TABLE).distinct().withColumn("warning", F.lit("DUPLICATE_PERIODS"))
-    if scope is None:
-        warnings = warnings.unionByName(scoped.where("scoped").select(*TABLE).distinct().withColumn("warning", F.lit("SCOPE_NEEDED")))
-    return counted.where("not twice").select(*TABLE, "col_no", "period", "header_end"), warnings
+    unscoped = scoped.where("not any_mine").select(*TABLE, F.when(F.col("wanted") == "", "SCOPE_NEEDED").alias("warning")).distinct()
+    return counted.where("not twice").select(*TABLE, "col_no", "period", "header_end"), warnings.unionByName(unscoped)
 
 
 def with_inheritance(cells: DataFrame, columns: DataFrame, refused: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,34 +120,43 @@ def recovered_totals(rows: DataFrame) -> DataFrame:
     return rows.join(at.select(*TABLE, "row_no", F.col("head_label").alias("recovered")), [*TABLE, "row_no"], "left")
 
 
-def assemble(cells: DataFrame, statement: str, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(facts, warnings) of table grids of one kind of statement."""
+def canonical(rows: DataFrame, label: str) -> DataFrame:
+    """rows (with statement_type) and canonical_name: the metric of that statement whose alias the whole label is.
+
+    An equi join on the label's key with the fixed table of aliases; keys of two metrics stand for none.
+    """
+    one = alias_table(rows.sparkSession).groupBy(F.col("statement_type").alias("_kind"), F.col("key").alias("_key")).agg(F.count_distinct("metric").alias("_n"), F.min("metric").alias("canonical_name")).where("_n = 1")
+    return rows.join(one, (F.col("statement_type") == F.col("_kind")) & (label_key(F.col(label)) == F.col("_key")), "left").drop("_kind", "_key", "_n")
+
+
+def assemble(cells: DataFrame, statement: str | None = None, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, warnings) of table grids, of one kind of statement or of the kind that each document's cells name."""
+    if statement:
+        cells = of_kind(cells, statement, scope)
     # tables of columns, units and rows are read by several later steps, so each is written once
-    columns, refused = (kept(x, "grid-columns") for x in period_columns(cells, statement, scope))
+    columns, refused = (kept(x, "grid-columns") for x in period_columns(cells))
     columns, skipped = with_inheritance(cells, columns, refused)
     columns, units = kept(columns, "grid-columns"), kept(table_units(cells), "grid-units")
     unclear = units.where("currency = '' or multiplier is null").join(columns.select(*TABLE).distinct(), TABLE, "left_semi").select(*TABLE, F.lit("UNKNOWN_UNIT").alias("warning"))
-    grid = cells.groupBy(*TABLE, "row_no").agg(
+    grid = cells.groupBy(*TABLE, *KIND, "row_no").agg(
         F.map_from_entries(F.collect_list(F.struct("col_no", "cell"))).alias("m"), F.max("source_page").alias("source_page"), F.max("method").alias("method"), F.count("*").alias("n_cells")
     )
     head = columns.groupBy(*TABLE, "width", "header_end").agg(F.array_sort(F.collect_list(F.struct("col_no", "period"))).alias("cols"))
     rows = grid.join(head, TABLE).where("row_no > header_end").withColumn("label", F.coalesce(F.element_at("m", F.lit(0)), F.lit("")))
-    rows = kept(rows.withColumn("clean", clean_label(F.col("label"))), "grid-rows")
-    exact = lambda kind: resolve(rows.select(F.col("clean").alias("label")).distinct(), statement=kind)
-    mine = exact(statement).select(F.col("label").alias("clean"), F.when(F.col("confidence") == "high", F.col("metric")).alias("canonical_name"))
-    rows = kept(rows.join(mine, "clean", "left"), "grid-rows")
-    if statement == "income_statement":
-        any_ = exact(None).select(F.col("label").alias("clean"), F.col("metric").alias("any_metric"), F.col("confidence").alias("any_confidence"))
-        blank = ~F.exists("cols", lambda c: strip(F.coalesce(F.element_at("m", c["col_no"]), F.lit(""))) != "")
-        complete = ~F.exists("cols", lambda c: F.element_at("m", c["col_no"]).isNull())
-        state = rows.join(any_, "clean", "left").select(
-            *TABLE, "row_no", "label", complete.alias("complete"), F.col("any_metric").isNotNull().alias("named"),
-            F.transform("cols", lambda c: number_of(F.coalesce(F.element_at("m", c["col_no"]), F.lit("")))).alias("numbers"),
-            F.coalesce(complete & blank & (F.col("any_metric") == "revenue") & (F.col("any_confidence") == "high"), F.lit(False)).alias("heading"),
-        )
-        back = kept(recovered_totals(kept(state, "grid-state")).where("recovered is not null").select(*TABLE, "row_no", "recovered"), "grid-totals")
-        rows = rows.join(back, [*TABLE, "row_no"], "left").withColumn("label", F.coalesce("recovered", "label"))
-        rows = rows.withColumn("canonical_name", F.when(F.col("recovered").isNotNull(), "revenue").otherwise(F.col("canonical_name"))).drop("recovered")
+    rows = kept(canonical(rows.withColumn("clean", clean_label(F.col("label"))), "clean"), "grid-rows")
+    income = rows.where("statement_type = 'income_statement'")
+    any_ = resolve(income.select(F.col("clean").alias("label")).distinct()).select(F.col("label").alias("clean"), F.col("metric").alias("any_metric"), F.col("confidence").alias("any_confidence"))
+    blank = ~F.exists("cols", lambda c: strip(F.coalesce(F.element_at("m", c["col_no"]), F.lit(""))) != "")
+    complete = ~F.exists("cols", lambda c: F.element_at("m", c["col_no"]).isNull())
+    flat = income.select(*TABLE, "row_no", "m", F.explode("cols").alias("c")).withColumn("raw", F.coalesce(F.element_at("m", F.col("c.col_no")), F.lit("")))
+    numbers = with_number(flat, "raw", "value", "kind").groupBy(*TABLE, "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("c.col_no", "value"))), lambda v: v["value"]).alias("numbers"))
+    state = income.join(any_, "clean", "left").join(numbers, [*TABLE, "row_no"]).select(
+        *TABLE, "row_no", "label", complete.alias("complete"), F.col("any_metric").isNotNull().alias("named"), "numbers",
+        F.coalesce(complete & blank & (F.col("any_metric") == "revenue") & (F.col("any_confidence") == "high"), F.lit(False)).alias("heading"),
+    )
+    back = kept(recovered_totals(kept(state, "grid-state")).where("recovered is not null").select(*TABLE, "row_no", "recovered"), "grid-totals")
+    rows = rows.join(back, [*TABLE, "row_no"], "left").withColumn("label", F.coalesce("recovered", "label"))
+    rows = rows.withColumn("canonical_name", F.when(F.col("recovered").isNotNull(), "revenue").otherwise(F.col("canonical_name"))).drop("recovered")
     named = rows.where(strip(F.col("label")) != "")
     ragged = named.where("n_cells <> width").select(*TABLE, F.lit("IRREGULAR_ROW").alias("warning"))
     percent = F.exists("cols", lambda c: F.coalesce(F.element_at("m", c["col_no"]), F.lit("")).contains("%"))
@@ -136,18 +164,19 @@ def assemble(cells: DataFrame, statement: str, scope: str | None = None) -> tupl
     renamed = F.when((F.col("canonical_name") == "gross_margin") & (F.lower(strip(F.col("label"))) == "gross margin") & ~percent, "gross_profit").otherwise(F.col("canonical_name"))
     filled = F.exists("cols", lambda c: strip(F.coalesce(F.element_at("m", c["col_no"]), F.lit(""))) != "")
     good = named.where("n_cells = width").where(filled).withColumn("canonical_name", renamed)
-    cell = good.select(*TABLE, "row_no", "label", "canonical_name", "source_page", "method", "m", F.explode("cols").alias("c")).withColumn("raw_value", F.element_at("m", F.col("c.col_no"))).where("raw_value is not null")
-    parsed = with_number(cell, "raw_value", "value", "kind").where(F.col("value").isNotNull() | F.col("raw_value").rlike(_BLANK)).join(units, TABLE)
+    cell = good.select(*TABLE, *KIND, "row_no", "label", "canonical_name", "source_page", "method", "m", F.explode("cols").alias("c")).withColumn("raw_value", F.element_at("m", F.col("c.col_no"))).where("raw_value is not null")
+    # written, as a filter on the value would be pushed below the steps that parse it and repeat them
+    parsed = kept(with_number(cell.drop("m"), "raw_value", "value", "kind"), "grid-values").where(F.col("value").isNotNull() | F.col("raw_value").rlike(_BLANK)).join(units, TABLE)
     type_ = value_type(F.col("label"), F.col("canonical_name"), F.col("kind"))
     scale = F.when(type_ != "monetary", F.lit(1.0)).otherwise(F.when(F.col("currency") != "", F.col("multiplier")))
     sure = F.col("canonical_name").isNotNull() & (F.col("currency") != "") & scale.isNotNull() & (F.col("method") != "local_ocr")
     facts = parsed.select(
-        *TABLE, F.col("row_no").alias("metric_ordinal"), F.lit(statement).alias("statement_type"), F.lit(scope or "unknown").alias("scope"), "canonical_name", F.col("label").alias("original_label"), "raw_value", "value",
+        *TABLE, F.col("row_no").alias("metric_ordinal"), F.col("c.col_no").alias("col_no"), "statement_type", F.when(F.col("wanted") != "", F.col("wanted")).otherwise("unknown").alias("scope"), "canonical_name", F.col("label").alias("original_label"), "raw_value", "value",
         type_.alias("value_type"), "c.period.*", "currency", scale.alias("multiplier"), "source_page", F.col("method").alias("extraction_method"), F.when(sure, "medium").otherwise("low").alias("confidence"),
     )
     row = Window.partitionBy(*TABLE, "metric_ordinal")
     facts = facts.withColumn("_any", F.bool_or(F.col("value").isNotNull()).over(row)).where(F.col("_any") | F.col("canonical_name").isNotNull()).drop("_any")
-    warnings = refused
+    warnings = refused.where("warning is not null").unionByName(back.select(*TABLE).distinct().withColumn("warning", F.lit("RECOVERED_TOTAL"))) if statement is None else refused.where("warning is not null")
     for part in (skipped, unclear, ragged):
         warnings = warnings.unionByName(part)
     return facts, warnings
@@ -160,6 +189,26 @@ def duplicate_conflicts(facts: DataFrame) -> DataFrame:
     return told.where("versions > 1")
 
 
+def conflicting_pairs(facts: DataFrame) -> DataFrame:
+    """One row per value and earlier value of a metric that differ, of one period, statement and document.
+
+    Later rows are held against all rows before them in the statement; values of one row are not held against each other.
+    Only values of one metric and period meet, in an equi join; both places are named.
+    """
+    period = ["year", "period_type", "end_date", "is_restated"]
+    key = ["doc_id", "statement_type", "scope", "canonical_name"]
+    told = facts.where("canonical_name is not null").select(*key, *period, F.struct("table_no", "metric_ordinal").alias("place"), "col_no", "source_page", F.struct("value", "currency", "multiplier").alias("stated"))
+    earlier = told.select(*[F.col(c).alias(f"_{c}") for c in (*key, *period)], *[F.col(c).alias(f"earlier_{c}") for c in ("place", "col_no", "source_page", "stated")])
+    same = F.lit(True)
+    for c in (*key, *period):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    pairs = told.join(earlier, same & (F.col("earlier_place") < F.col("place")) & ~F.col("stated").eqNullSafe(F.col("earlier_stated")))
+    return pairs.select(
+        *key, *period, F.col("place.table_no").alias("table_no"), F.col("place.metric_ordinal").alias("metric_ordinal"), "source_page", F.col("stated.value").alias("value"),
+        F.col("earlier_place.table_no").alias("earlier_table_no"), F.col("earlier_place.metric_ordinal").alias("earlier_ordinal"), "earlier_source_page", F.col("earlier_stated.value").alias("earlier_value"),
+    )
+
+
 def statement_slots(statements: DataFrame) -> DataFrame:
     """The main statement of each kind per document: consolidated before unknown before parent, the earliest of equals.
 
@@ -177,37 +226,6 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return lines.withColumn("row_no", F.row_number().over(order) - 1).select("doc_id", F.col("page_number").alias("table_no"), "row_no", F.posexplode(F.split(strip(F.col("line")), r"\t+| {2,}")).alias("col_no", "cell"))
 
 
-def positional_cells(words: DataFrame) -> DataFrame:
-    """Cells of a page from word boxes: lines by height, columns by the bands around the years of the header line.
-
-    words: doc_id, page_number, x0, y0, x1, y1, text. A new line starts where the height grows by more than 3.
-    """
-    mid = words.withColumn("y", (F.col("y0") + F.col("y1")) / 2).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
-    down = Window.partitionBy("doc_id", "page_number").orderBy("y", "x0")
-    lines = mid.withColumn("new", F.coalesce((F.col("y") - F.lag("y").over(down) > 3).cast("int"), F.lit(1))).withColumn("line", F.sum("new").over(down))
-    years = lines.where(F.col("text").rlike(r"^(?:19|20)\d{2}(?:年度|年)?$"))
-    heads = years.groupBy("doc_id", "page_number", "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("years")).where(F.size("years") >= 2)
-    head = heads.groupBy("doc_id", "page_number").agg(F.min_by("years", "line").alias("years"), F.min("line").alias("head"))
-    gaps = F.transform(F.sequence(F.lit(1), F.size("years") - 1), lambda i: F.get("years", i)["x"] - F.get("years", i - 1)["x"])
-    head = head.withColumn("gap", F.array_min(gaps))
-    last = F.size("years") - 1
-    bands = head.select("doc_id", "page_number", "head", "years", F.posexplode("years").alias("i", "year"), "gap").select(
-        "doc_id", "page_number", "head", (F.col("i") + 1).alias("col_no"), F.col("year.text").alias("title"),
-        F.when(F.col("i") == 0, F.col("year.x") - F.col("gap") / 2).otherwise((F.col("year.x") + F.get("years", F.col("i") - 1)["x"]) / 2).alias("lo"),
-        F.when(F.col("i") == last, F.col("year.x") + F.col("gap") / 2).otherwise((F.col("year.x") + F.get("years", F.col("i") + 1)["x"]) / 2).alias("hi"),
-    )
-    # a page has a few bands, so they meet words by page and the band is a filter
-    spans = bands.groupBy("doc_id", "page_number", "head").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "col_no"))).alias("bands"))
-    placed = lines.join(spans, ["doc_id", "page_number"]).where("line > head")
-    col = F.when(F.col("x") < F.get("bands", F.lit(0))["lo"], F.lit(0)).otherwise(F.get(F.filter("bands", lambda b: (b["lo"] <= F.col("x")) & (F.col("x") < b["hi"])), F.lit(0))["col_no"])
-    cells = placed.withColumn("col_no", col).where("col_no is not null").groupBy("doc_id", "page_number", "line", "col_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("cell"))
-    note = r"\s+(?:\d{1,3}(?:\s*[,，]\s*\d{1,3})*(?:\([a-z]\))?|[（(][一二三四五六七八九十\d]+[）)])$"
-    cells = cells.withColumn("cell", F.when(F.col("col_no") == 0, F.regexp_replace("cell", note, "")).otherwise(F.col("cell")))
-    footer = cells.where("col_no = 0 and cell rlike '(?i)^Annual Report\\\\b'").select("doc_id", "page_number", "line")
-    body = cells.join(footer, ["doc_id", "page_number", "line"], "left_anti")
-    return body.unionByName(bands.select("doc_id", "page_number", F.col("head").alias("line"), "col_no", F.col("title").alias("cell")))
-
-
 def _dated_pages(cells: DataFrame, by: list[str]) -> DataFrame:
     """Pages with a table whose first rows hold a usable year column."""
     dated = cells.where(f"row_no < 15 and col_no > 0 and not cell rlike '{_NO_PERIOD}'").withColumn("period", detect_period(F.col("cell"), F.lit("income_statement")))

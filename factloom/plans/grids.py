@@ -25,26 +25,36 @@ _quoted = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
 _values = lambda rows: ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
 
 
-def cells(spark, sf_dir: str):
-    """A grid table: each supplier prints its sums in the tables of one kind."""
+def sums(spark, sf_dir: str):
+    """(doc_id, a to f): numbers of each supplier."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").cast("int").alias("doc_id")).agg(
         F.sum(F.col("l_quantity").cast("long")).alias("a"), (F.count("*") * 7).alias("b"), F.sum("l_linenumber").cast("long").alias("c"), F.max("l_partkey").alias("d")
     )
-    line = line.selectExpr("*", "a + c as e", "b + d as f")
+    return line.selectExpr("*", "a + c as e", "b + d as f")
+
+
+def filled(text):
+    """A template with the numbers of its supplier."""
+    for name in "abcdef":
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.format_number(name, 0))
+    return text
+
+
+def cells(spark, sf_dir: str):
+    """A grid table: each supplier prints its sums in the tables of one kind."""
+    line = sums(spark, sf_dir)
     grid = spark.sql(f"SELECT * FROM VALUES {_values(_CELLS)} AS t(v, table_no, row_no, col_no, cell)").join(spark.sql(f"SELECT * FROM VALUES {_values(_CONTEXTS)} AS t(v, table_no, context)"), ["v", "table_no"])
     met = line.join(F.broadcast(grid), F.col("doc_id") % len(GRIDS) == F.col("v"))  # the grids are a fixed table
-    cell = F.col("cell")
-    for name in "abcdef":
-        cell = F.replace(cell, F.lit(f"{{{name}}}"), F.format_number(name, 0))
-    return kept(met.select("doc_id", "table_no", (F.col("table_no") + 3).alias("source_page"), F.when(F.col("doc_id") % 9 == 4, "local_ocr").otherwise("native").alias("method"), "context", "row_no", "col_no", cell.alias("cell")), "grid-cells")
+    return kept(met.select("doc_id", "table_no", (F.col("table_no") + 3).alias("source_page"), F.when(F.col("doc_id") % 9 == 4, "local_ocr").otherwise("native").alias("method"), "context", "row_no", "col_no", filled(F.col("cell")).alias("cell")), "grid-cells")
 
 
 _ALIASES = ", ".join(f"('{m}', '{st}', '{k}')" for m, st, names in aliases.METRICS for k in dict.fromkeys("".join(a.split()).lower().replace("'", "''") for a in names))
 _CELL = "cell"
 for _name in "abcdef":
     _CELL = f"replace({_CELL}, '{{{_name}}}', format('{{:,}}', {_name}))"
+SUMS_SQL = "sums AS (SELECT *, a + c AS e, b + d AS f FROM (SELECT l_suppkey::INTEGER AS doc_id, sum(l_quantity::BIGINT)::BIGINT AS a, count(*) * 7 AS b, sum(l_linenumber)::BIGINT AS c, max(l_partkey) AS d FROM lineitem GROUP BY ALL))"
 _GRID_SQL = f"""WITH al(metric, st, k) AS (VALUES {_ALIASES}),
-sums AS (SELECT *, a + c AS e, b + d AS f FROM (SELECT l_suppkey::INTEGER AS doc_id, sum(l_quantity::BIGINT)::BIGINT AS a, count(*) * 7 AS b, sum(l_linenumber)::BIGINT AS c, max(l_partkey) AS d FROM lineitem GROUP BY ALL)),
+{SUMS_SQL},
 cells AS (SELECT doc_id, t.table_no, row_no, col_no, {_CELL} AS cell, context FROM sums JOIN (VALUES {_values(_CELLS)}) t(v, table_no, row_no, col_no, cell) ON doc_id % {len(GRIDS)} = v JOIN (VALUES {_values(_CONTEXTS)}) x(v, table_no, context) ON x.v = t.v AND x.table_no = t.table_no),
 dated AS (SELECT *, CASE WHEN len(list_distinct(ys)) = 1 THEN ys[1]::INTEGER END AS year FROM (SELECT *, regexp_extract_all(cell, '(?:^|\\D)((?:19|20)\\d\\d)', 1) AS ys FROM cells)),
 lines AS (SELECT doc_id, table_no, row_no, bool_or(year IS NOT NULL) AS dated, bool_or(trim(cell) IN ('重述', '原列')) AS marker, max(cell) FILTER (col_no = 0) AS label FROM dated GROUP BY ALL),
@@ -104,6 +114,15 @@ _add(
     _GRID_SQL.replace("@scope", "''") + ", out AS (" + _FACTS + ")\nSELECT doc_id, canonical_name, year, end_date, is_restated, count(DISTINCT (coalesce(value, 'nan'::DOUBLE), currency, coalesce(multiplier, -1))) AS versions, count(*) AS n FROM out WHERE canonical_name IS NOT NULL GROUP BY ALL HAVING versions > 1",
 )
 
+_add(
+    "conflicting_pairs",
+    lambda spark, sf_dir: tables.conflicting_pairs(tables.assemble(cells(spark, sf_dir), "income_statement")[0]).select("doc_id", "canonical_name", "year", "end_date", "is_restated", "table_no", "metric_ordinal", "value", "earlier_table_no", "earlier_ordinal", "earlier_value"),
+    _GRID_SQL.replace("@scope", "''") + ", out AS (" + _FACTS + """)
+SELECT n.doc_id, n.canonical_name, n.year, n.end_date, n.is_restated, n.table_no, n.metric_ordinal, n.value, o.table_no AS earlier_table_no, o.metric_ordinal AS earlier_ordinal, o.value AS earlier_value
+FROM out n JOIN out o ON o.doc_id = n.doc_id AND o.canonical_name = n.canonical_name AND o.year = n.year AND o.end_date IS NOT DISTINCT FROM n.end_date AND o.is_restated = n.is_restated
+AND (o.table_no < n.table_no OR (o.table_no = n.table_no AND o.metric_ordinal < n.metric_ordinal)) AND (o.value, o.currency, o.multiplier) IS DISTINCT FROM (n.value, n.currency, n.multiplier)""",
+)
+
 #: Native tables of a page, one kind per customer: rows of cells; and whether words show year columns (2), columns (1) or none (0).
 _SCANS = (
     [["Item", "2025", "2024"], ["Revenue", "1", "2"]], [["Item", "2025"], ["Revenue\nCost", "1"]], [["Item", "2025"], ["", "1"], ["", "2"], ["", "3"], ["x", "4"]], [["Revenue", "1"]], [], [["Item", "Change 2025"], ["Revenue", "1"]],
