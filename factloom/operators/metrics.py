@@ -16,6 +16,12 @@ def _d(c: Column) -> Column:
     return c["amount"].cast("double")
 
 
+def _pages(*inputs: Column) -> Column:
+    """Pages of all inputs, each once and in order."""
+    none = F.array().cast("array<int>")
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(i["pages"].cast("array<int>"), none) for i in inputs]))))
+
+
 def _metric(name: str, inputs: list[Column], refuse: Column, code: str, value: Column, unit: Column | None = None) -> Column:
     """A result row: a value, or the reason for refusing one."""
     inputs_ok = first_reason(*inputs)
@@ -25,6 +31,7 @@ def _metric(name: str, inputs: list[Column], refuse: Column, code: str, value: C
     return F.struct(
         F.lit(name).alias("metric"), F.when(finite, made).alias("value"), F.when(finite, reason).otherwise("RESULT_NON_FINITE").alias("reason"),
         (unit if unit is not None else F.lit("%")).alias("unit"), sum((i["n_sources"] for i in inputs[1:]), inputs[0]["n_sources"]).alias("n_sources"),
+        _pages(*inputs).alias("pages"),
     )
 
 
@@ -36,10 +43,11 @@ def _growth(name: str, now: Column, before: Column) -> Column:
     return _metric(name, [now, before], before["amount"] <= 0, "NONPOSITIVE_BASE", F.try_divide(_d(now) - _d(before), _d(before)) * 100)
 
 
-def compute_metrics(facts: DataFrame, names: tuple[str, ...] | None = None, selected: DataFrame | None = None) -> DataFrame:
+def compute_metrics(facts: DataFrame, names: tuple[str, ...] | None = None, selected: DataFrame | None = None, with_pages: bool = False) -> DataFrame:
     """(doc_id, scope, period, metric, value, unit, reason, n_sources) for every annual or point-in-time period.
 
-    names: only these metrics are computed; selected: select_values(facts), if it is at hand.
+    names: only these metrics are computed; selected: select_values(facts), if it is at hand; with_pages: also the pages of
+    all sources of the inputs, those of the base year included.
     """
     by = [*REPORT, *PERIOD]
     wanted = lambda name: names is None or name in names
@@ -54,8 +62,8 @@ def compute_metrics(facts: DataFrame, names: tuple[str, ...] | None = None, sele
     joined = income.withColumn("s", cut("start_date")).withColumn("e", cut("end_date")).join(base, [*REPORT, "year", "s", "e"], "left").drop("s", "e")
     cash_rows = wide(selected.where("statement_type = 'cash_flow'"), _CASH, by)
     joined = _filled(joined.join(cash_rows.select(*by, "operating_cash_flow"), by, "left"), ["operating_cash_flow"])
-    none = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("amount", None, "decimal(38,6)"), ("currency", "", "string"), ("reason", "NO_UNIQUE_BASE", "string"), ("n_sources", 0, "long"))])
-    slim = lambda c: F.struct(*[c[f].alias(f) for f in ("amount", "currency", "reason", "n_sources")])
+    none = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("amount", None, "decimal(38,6)"), ("currency", "", "string"), ("reason", "NO_UNIQUE_BASE", "string"), ("n_sources", 0, "long"), ("pages", None, "array<int>"))])
+    slim = lambda c: F.struct(*[c[f].cast("array<int>").alias(f) if f == "pages" else c[f].alias(f) for f in ("amount", "currency", "reason", "n_sources", "pages")])
     prior = lambda n: F.when(F.col("bases") == 1, slim(F.col(f"base.{n}"))).otherwise(none)
     revenue, cost, gross, ocf = (F.col(c) for c in ("revenue", "cost_of_revenue", "gross_profit", "operating_cash_flow"))
     derived = _metric("gross_margin", [revenue, cost], (revenue["amount"] <= 0) | (cost["amount"] < 0), "BAD_GROSS_INPUT", F.try_divide(_d(revenue) - _d(cost), _d(revenue)) * 100)
@@ -77,7 +85,7 @@ def compute_metrics(facts: DataFrame, names: tuple[str, ...] | None = None, sele
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(*by, "m.metric", F.round("m.value", 6).alias("value"), "m.unit", "m.reason", "m.n_sources")
+    return out.select(*by, "m.metric", F.round("m.value", 6).alias("value"), "m.unit", "m.reason", "m.n_sources", *(["m.pages"] if with_pages else []))
 
 
 def _filled(df: DataFrame, names: list[str]) -> DataFrame:

@@ -10,10 +10,14 @@ from .inputs import PERIOD, REPORT, first_reason, select_values, wide
 STATEMENTS = ("income_statement", "balance_sheet", "cash_flow")
 
 
-def balance_checks(facts: DataFrame) -> DataFrame:
-    """assets = liabilities + equity within half of the summed rounding steps of the reported figures."""
+def balance_checks(facts: DataFrame, selected: DataFrame | None = None, with_pages: bool = False) -> DataFrame:
+    """assets = liabilities + equity within half of the summed rounding steps of the reported figures.
+
+    selected: select_values(facts), if it is at hand; with_pages: also the pages of all sources of the three.
+    """
     names = ["total_assets", "total_liabilities", "total_equity"]
-    got = wide(select_values(facts.where("statement_type = 'balance_sheet'")), names, [*REPORT, *PERIOD])
+    selected = select_values(facts.where("statement_type = 'balance_sheet'")) if selected is None else selected.where("statement_type = 'balance_sheet'")
+    got = wide(selected, names, [*REPORT, *PERIOD])
     a, li, e = (F.col(n) for n in names)
     reason = F.when(F.col("period_type") != "point_in_time", "NOT_POINT_IN_TIME").otherwise(first_reason(a, li, e))
     diff = F.abs(a["amount"] - li["amount"] - e["amount"])
@@ -24,6 +28,7 @@ def balance_checks(facts: DataFrame) -> DataFrame:
     return got.select(
         *REPORT, *PERIOD, F.lit("balance_sheet_equation").alias("rule"), status.alias("status"), reason.alias("reason"), F.when(ok, F.round(diff.cast("double"), 6)).alias("difference"),
         F.when(ok, F.round(F.coalesce(F.try_divide(diff.cast("double"), larger), F.lit(0.0)), 9)).alias("relative"), F.when(ok, F.round(tolerance, 6)).alias("tolerance"),
+        *([F.array_sort(F.array_distinct(F.flatten(F.array(*[x["pages"].cast("array<int>") for x in (a, li, e)])))).alias("pages")] if with_pages else []),
     )
 
 
@@ -40,11 +45,12 @@ def statement_coverage(facts: DataFrame) -> DataFrame:
     return gone.select(*REPORT, "statement_type", F.lit("statement_coverage").alias("rule"), F.lit("skipped").alias("status"), F.lit("MISSING_STATEMENT").alias("reason"))
 
 
-def input_quality(facts: DataFrame) -> DataFrame:
+def input_quality(facts: DataFrame, selected: DataFrame | None = None, with_pages: bool = False) -> DataFrame:
     """Keys that are refused: failed for conflicts and non-finite amounts, skipped else. EPS and reported margins are not checked."""
-    got = select_values(facts.where(~F.col("canonical_name").startswith("eps_") & (F.col("canonical_name") != "gross_margin"))).where("reason <> ''")
+    checked = ~F.col("canonical_name").startswith("eps_") & (F.col("canonical_name") != "gross_margin")
+    got = (select_values(facts.where(checked)) if selected is None else selected.where(checked)).where("reason <> ''")
     status = F.when(F.col("reason").isin("CONFLICT", "NON_FINITE"), "failed").otherwise("skipped")
-    return got.select(*REPORT, "statement_type", "canonical_name", *PERIOD, F.lit("input_quality").alias("rule"), status.alias("status"), "reason", "n_sources")
+    return got.select(*REPORT, "statement_type", "canonical_name", *PERIOD, F.lit("input_quality").alias("rule"), status.alias("status"), "reason", "n_sources", *([F.col("pages").cast("array<int>").alias("pages")] if with_pages else []))
 
 
 #: How a label names restated and original columns: fixed values.
@@ -62,13 +68,16 @@ def fixed_tolerance(multiplier: Column) -> Column:
     return 1.5 * multiplier.cast("double")
 
 
-def run_all(facts: DataFrame) -> DataFrame:
-    """All checks: (doc_id, scope, rule, item, period, period_label, status, reason); item is a statement or a metric."""
+def run_all(facts: DataFrame, selected: DataFrame | None = None, with_pages: bool = False) -> DataFrame:
+    """All checks: (doc_id, scope, rule, item, period, period_label, status, reason); item is a statement or a metric.
+
+    selected: select_values(facts), if it is at hand; with_pages: also the pages that a check looked at.
+    """
     none = {"year": "int", "period_type": "string", "start_date": "string", "end_date": "string", "is_restated": "boolean"}
-    rows = balance_checks(facts).withColumn("item", F.lit("balance_sheet"))
-    gaps = statement_coverage(facts).withColumnRenamed("statement_type", "item").withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
-    keys = input_quality(facts).withColumnRenamed("canonical_name", "item")
-    columns = [*REPORT, "rule", "item", *PERIOD, "status", "reason"]
+    rows = balance_checks(facts, selected, with_pages).withColumn("item", F.lit("balance_sheet"))
+    gaps = statement_coverage(facts).withColumnRenamed("statement_type", "item").withColumns({n: F.lit(None).cast(t) for n, t in none.items()}).withColumn("pages", F.array().cast("array<int>"))
+    keys = input_quality(facts, selected, with_pages).withColumnRenamed("canonical_name", "item")
+    columns = [*REPORT, "rule", "item", *PERIOD, "status", "reason", *(["pages"] if with_pages else [])]
     every = rows.select(*columns).unionByName(gaps.select(*columns)).unionByName(keys.select(*columns))
     return every.withColumn("period_label", period_label(*(F.col(c) for c in ("year", "period_type", "end_date", "is_restated"))))
 

@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 from ..operators import comparison, inputs, metrics, validation
 from ..sources.facts_adapter import FACTS_SQL
 from ..sources.facts_adapter import facts as _facts
+from ..sources.scratch import kept
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+_KEPT: dict = {}
+
+
 def facts(spark, sf_dir: str):
-    """The facts table; it is a few rows per supplier and year, and every operator reads it several times, so it is kept.
+    """The facts table; every operator reads it several times, so it is written once per folder and session.
 
-    Equal plans share one cached table, so a session holds one per folder at most.
+    It lies in the shared folder for intermediate tables, so a lost executor loses nothing of it.
     """
-    return _facts(spark, sf_dir).cache()
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _KEPT:
+        _KEPT[key] = kept(_facts(spark, sf_dir), "facts")
+    return _KEPT[key]
 
 
 def _add(name: str, run, sql: str | None = None) -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import comparison, evidence, inputs, metrics, tables, validation, views
+from ..sources.scratch import kept
 from .catalog import _BASE, _POINTS, _add, _points, _sql_list, facts
 
 _METRICS = f"{_BASE},\n{metrics.METRICS_SQL.strip()}"
@@ -39,22 +42,44 @@ def _pages(spark, sf_dir: str):
 
 
 _PAGES_SQL = "pages_of AS (SELECT (1 + doc_id % 40)::INTEGER AS doc_id, (doc_id // 40 + 3)::INTEGER AS page_number, text FROM documents)"
+#: Inputs of each metric: metric, input, statement, years back.
+_INPUTS = (
+    ("net_margin", "net_income", "income_statement", 0), ("net_margin", "revenue", "income_statement", 0), ("operating_margin", "operating_profit", "income_statement", 0), ("operating_margin", "revenue", "income_statement", 0),
+    ("revenue_growth", "revenue", "income_statement", 0), ("revenue_growth", "revenue", "income_statement", 1), ("net_income_growth", "net_income", "income_statement", 0), ("net_income_growth", "net_income", "income_statement", 1),
+    ("gross_margin", "revenue", "income_statement", 0), ("gross_margin", "gross_profit", "income_statement", 0), ("gross_margin", "cost_of_revenue", "income_statement", 0),
+    ("ocf_margin", "operating_cash_flow", "cash_flow", 0), ("ocf_margin", "revenue", "income_statement", 0), ("debt_to_assets", "total_liabilities", "balance_sheet", 0), ("debt_to_assets", "total_assets", "balance_sheet", 0),
+    ("free_cash_flow", "operating_cash_flow", "cash_flow", 0), ("free_cash_flow", "capital_expenditure", "cash_flow", 0),
+)
+_SAME = "k.period_type IS NOT DISTINCT FROM {0}.period_type AND k.start_date IS NOT DISTINCT FROM {0}.start_date AND k.end_date IS NOT DISTINCT FROM {0}.end_date AND k.is_restated IS NOT DISTINCT FROM {0}.is_restated"
+_FISCAL = "{0}.period_type = {1}.period_type AND substr(coalesce({0}.start_date, ''), 5) = substr(coalesce({1}.start_date, ''), 5) AND substr(coalesce({0}.end_date, ''), 5) = substr(coalesce({1}.end_date, ''), 5)"
+#: Pages of the figures behind each check and metric; a base year counts only if it is unique, costs only without a gross profit.
+_KEY_PAGES = "key_pages AS (SELECT doc_id, scope, statement_type, canonical_name, year, period_type, start_date, end_date, is_restated, list(DISTINCT source_page) AS ps FROM facts WHERE canonical_name IS NOT NULL GROUP BY ALL)"
+_CHECK_PAGES = f"""check_pages AS (SELECT c.*, coalesce((SELECT list_sort(list_distinct(flatten(list(k.ps)))) FROM key_pages k WHERE k.doc_id = c.doc_id AND k.scope = c.scope AND k.year = c.year AND {_SAME.format('c')}
+    AND ((c.rule = 'balance_sheet_equation' AND k.canonical_name IN ('total_assets', 'total_liabilities', 'total_equity')) OR (c.rule = 'input_quality' AND k.canonical_name = c.item))), []) AS pages FROM checks c)"""
+_CITED = f"""{_KEY_PAGES},
+uses(metric, input, statement, back) AS (VALUES {", ".join(map(str, _INPUTS))}),
+bases AS (SELECT doc_id, scope, year, period_type, substr(coalesce(start_date, ''), 5) AS s, substr(coalesce(end_date, ''), 5) AS e FROM (SELECT DISTINCT doc_id, scope, year, period_type, start_date, end_date, is_restated FROM facts WHERE statement_type = 'income_statement') GROUP BY ALL HAVING count(*) = 1),
+used AS (SELECT m.doc_id, m.scope, m.metric, m.year, m.period_type, m.start_date, m.end_date, m.is_restated, u.input, k.ps FROM metrics m JOIN uses u USING (metric) JOIN key_pages k ON k.doc_id = m.doc_id AND k.scope = m.scope AND k.canonical_name = u.input AND k.statement_type = u.statement AND k.year = m.year - u.back
+    AND CASE WHEN u.back = 0 THEN {_SAME.format('m')} ELSE {_FISCAL.format('k', 'm')} AND EXISTS (SELECT 1 FROM bases b WHERE b.doc_id = m.doc_id AND b.scope = m.scope AND b.year = k.year AND b.period_type = k.period_type AND b.s = substr(coalesce(k.start_date, ''), 5) AND b.e = substr(coalesce(k.end_date, ''), 5)) END),
+metric_pages AS (SELECT m.*, coalesce((SELECT list_sort(list_distinct(flatten(list(k.ps)))) FROM used k WHERE k.doc_id = m.doc_id AND k.scope = m.scope AND k.metric = m.metric AND k.year = m.year AND {_SAME.format('m')}
+    AND NOT (m.metric = 'gross_margin' AND k.input = 'cost_of_revenue' AND EXISTS (SELECT 1 FROM used g WHERE g.doc_id = m.doc_id AND g.scope = m.scope AND g.metric = 'gross_margin' AND g.input = 'gross_profit' AND g.year = m.year AND g.period_type IS NOT DISTINCT FROM m.period_type AND g.end_date IS NOT DISTINCT FROM m.end_date AND g.is_restated = m.is_restated))), []) AS pages FROM metrics m),
+{_CHECK_PAGES}"""
 _VALUES_SQL = """vals AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id, scope ORDER BY CASE statement_type WHEN 'balance_sheet' THEN 0 WHEN 'income_statement' THEN 1 ELSE 2 END, metric_ordinal, year, is_restated, raw_value, multiplier) AS n,
            count(*) OVER (PARTITION BY doc_id, scope) AS total FROM facts WHERE canonical_name IS NOT NULL
 ), ents AS (
     SELECT doc_id, scope, 'R' || n AS id, 'reported_value' AS kind, canonical_name AS name, original_label AS label, year, raw_value AS value, currency AS unit, '' AS status, '' AS reason, [source_page] AS pages, NULL AS text FROM vals WHERE n <= 160
     UNION ALL
-    SELECT doc_id, scope, 'M' || row_number() OVER (PARTITION BY doc_id, scope ORDER BY year DESC, metric, period_type, is_restated), 'computed_metric', metric, '', year, coalesce(format('{:.6f}', value), ''), unit, '', reason, []::INTEGER[], NULL FROM metrics
+    SELECT doc_id, scope, 'M' || row_number() OVER (PARTITION BY doc_id, scope ORDER BY year DESC, metric, period_type, is_restated), 'computed_metric', metric, '', year, coalesce(format('{:.6f}', value), ''), unit, '', reason, pages, NULL FROM metric_pages
     UNION ALL
-    SELECT doc_id, scope, 'C' || row_number() OVER (PARTITION BY doc_id, scope ORDER BY rule, coalesce(year, 0), item, period_type NULLS FIRST, is_restated NULLS FIRST), 'validation', rule, item, year, '', '', status, reason, []::INTEGER[], NULL FROM checks
+    SELECT doc_id, scope, 'C' || row_number() OVER (PARTITION BY doc_id, scope ORDER BY rule, coalesce(year, 0), item, period_type NULLS FIRST, is_restated NULLS FIRST), 'validation', rule, item, year, '', '', status, reason, pages, NULL FROM check_pages
 ), cited AS (SELECT doc_id, scope, page FROM (SELECT DISTINCT doc_id, scope, unnest(pages) AS page FROM ents) WHERE page > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, scope ORDER BY page) <= 8),
 entries AS (
     SELECT * FROM ents UNION ALL
     SELECT c.doc_id, c.scope, 'P' || page, 'source_excerpt', '', '', NULL, '', '', CASE WHEN length(p.text) > 2000 THEN 'truncated' ELSE '' END, '', [page], substr(p.text, 1, 2000)
     FROM cited c JOIN pages_of p ON p.doc_id = c.doc_id AND p.page_number = c.page
 )"""
-_EVIDENCE = f"{_AND_BALANCE},\n{_CHECKS},\n{_PAGES_SQL},\n{_VALUES_SQL}"
+_EVIDENCE = f"{_AND_BALANCE},\n{_CHECKS},\n{_PAGES_SQL},\n{_CITED},\n{_VALUES_SQL}"
 
 
 def _entries(spark, sf_dir: str):
@@ -89,6 +114,39 @@ _add(
 SELECT pair_id, document_id || '_P' || page_number AS id, page_number, length(text) > 1200 AS truncated, md5(substr(text, 1, 1200)) AS text FROM cited JOIN pages_of p ON p.doc_id = pair_id AND p.page_number = source_page""",
 )
 
+#: The checks of both documents of a pair: the same SQL over their facts, each document being a report of its own.
+_OF_TWO = re.sub(r"\b(facts|selected|balance|checks|key_pages|check_pages)\b", r"\1_of_two", f"facts AS (SELECT * REPLACE (doc_id || ':' || document_id AS doc_id) FROM two),\n{inputs.SELECTED_SQL.strip()},\n{validation.BALANCE_SQL.strip()},\n{_CHECKS},\n{_KEY_PAGES},\n{_CHECK_PAGES}")
+_written = lambda sources: F.array_join(F.transform(sources, lambda s: F.concat_ws(":", s["document_id"], s["page"], s["raw_value"])), ";")
+
+
+def _package(spark, sf_dir: str):
+    values = kept(comparison.two_documents(facts(spark, sf_dir)), "two-documents")
+    return evidence.comparison_package(comparison.compare_reports(values), values, _pages(spark, sf_dir))
+
+
+_PACKAGE_SQL = f"""{_POINTS},\n{_PAGES_SQL},\n{_OF_TWO},
+own AS (SELECT * FROM two WHERE canonical_name IS NOT NULL AND period_type IN ('annual', 'point_in_time')),
+behind AS (SELECT doc_id AS pair_id, scope, statement_type, canonical_name, year, list_sort(list_distinct(list(source_page))) AS pages, string_agg(document_id || ':' || source_page || ':' || coalesce(raw_value, ''), ';' ORDER BY document_id, source_page, metric_ordinal, raw_value) AS sources FROM own GROUP BY ALL),
+first_pages AS (SELECT doc_id AS pair_id, scope, document_id, source_page FROM (SELECT DISTINCT doc_id, scope, document_id, source_page FROM own) QUALIFY row_number() OVER (PARTITION BY doc_id, scope, document_id ORDER BY source_page) <= 4),
+package AS (
+    SELECT p.pair_id, p.scope, 'T' || n AS id, 'multi_report_comparison' AS kind, canonical_name AS name, statement_type AS label, year, format('{{:.6f}}', value) AS value, status, reason, b.pages, b.sources, NULL AS text FROM
+        (SELECT *, row_number() OVER (PARTITION BY pair_id, scope ORDER BY status NOT IN ('conflict', 'incompatible'), canonical_name, year, statement_type) AS n FROM points) p JOIN behind b USING (pair_id, scope, statement_type, canonical_name, year) WHERE n <= 180
+    UNION ALL SELECT split_part(doc_id, ':', 1)::INTEGER, scope, split_part(doc_id, ':', 2) || '_C' || n, 'validation', rule, item, year, NULL, status, reason, pages, array_to_string([split_part(doc_id, ':', 2) || ':' || p FOR p IN pages], ';'), NULL FROM
+        (SELECT *, row_number() OVER (PARTITION BY doc_id, scope ORDER BY rule, coalesce(year, 0), item, period_type NULLS FIRST, is_restated NULLS FIRST) AS n FROM check_pages_of_two)
+    UNION ALL SELECT f.pair_id, f.scope, document_id || '_P' || source_page, 'source_excerpt', '', '', NULL, NULL, CASE WHEN length(p.text) > 1200 THEN 'truncated' ELSE '' END, '', [source_page], document_id || ':' || source_page, substr(p.text, 1, 1200)
+        FROM first_pages f JOIN pages_of p ON p.doc_id = f.pair_id AND p.page_number = f.source_page
+)"""
+_add(
+    "comparison_package",
+    lambda spark, sf_dir: _package(spark, sf_dir).withColumns({"pages": _joined("pages"), "sources": _written("sources"), "text": F.md5(F.col("text").cast("binary"))}),
+    f"{_PACKAGE_SQL}\nSELECT * REPLACE (coalesce(array_to_string(pages, ','), '') AS pages, coalesce(sources, '') AS sources, md5(text) AS text) FROM package",
+)
+_add(
+    "comparison_package_sizes",
+    lambda spark, sf_dir: evidence.packages(_package(spark, sf_dir).drop("sources"), ["pair_id", "scope"]).select("pair_id", "scope", "n_entries", "fits"),
+    f"{_PACKAGE_SQL}\nSELECT pair_id, scope, count(*)::INTEGER AS n_entries, sum(length(to_json(struct_pack(id, kind, name, label, year, value, status, reason, pages, text)))) + 100 <= 120000 AS fits FROM package GROUP BY ALL",
+)
+
 #: Answers as a model might give them: good ones and one of each fault, by the report's number.
 _CLAIM = '{"topic":"t%d","kind":"fact","text":"%s","evidence_ids":[%s]}'
 ANSWERS = (
