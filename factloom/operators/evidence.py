@@ -133,12 +133,13 @@ def comparison_package(points: DataFrame, values: DataFrame, pages: DataFrame) -
 def packages(entries: DataFrame, by: list[str]) -> DataFrame:
     """One JSON text per report with its key (SHA-256) and whether it is small enough to be sent.
 
-    Entries stand in the order of their ids' letters and numbers.  A package has some hundred entries by its caps.
+    Entries stand in the order of their ids' letters and numbers, their fields in the order of columns, nulls included: equal
+    packages have equal texts and keys wherever they are made.  A package has some hundred entries by its caps.
     """
     fields = [c for c in entries.columns if c not in by]
     order = F.struct(F.regexp_replace("id", r"\d+$", "").alias("l"), F.regexp_extract("id", r"(\d+)$", 1).cast("int").alias("n"), F.struct(*fields).alias("e"))
     made = entries.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("evidence"))
-    json = F.to_json(F.struct(*by, "evidence"))
+    json = F.to_json(F.struct(*by, "evidence"), {"ignoreNullFields": "false"})
     made = made.select(*by, F.size("evidence").alias("n_entries"), json.alias("json"))
     return made.select(*by, "n_entries", F.length("json").alias("chars"), (F.length("json") <= PACKAGE_CHARS).alias("fits"), F.sha2("json", 256).alias("key"), "json")
 

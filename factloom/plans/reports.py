@@ -97,10 +97,12 @@ _add(
     lambda spark, sf_dir: _entries(spark, sf_dir).withColumn("pages", _joined("pages")).withColumn("text", F.md5(F.col("text").cast("binary"))),
     f"{_EVIDENCE}\nSELECT doc_id, scope, id, kind, name, label, year, value, unit, status, reason, array_to_string(pages, ',') AS pages, md5(text) AS text FROM entries",
 )
+_JSON = "'{{\"doc_id\":' || doc_id || ',\"scope\":\"' || scope || '\",\"evidence\":' || to_json(list(struct_pack({fields}) ORDER BY regexp_replace(id, '\\d+$', ''), regexp_extract(id, '(\\d+)$', 1)::INTEGER)) || '}}'"
+_FIELDS = ", ".join(("id", "kind", "name", "label", "year", "value", "unit", "status", "reason", "pages", "text"))
 _add(
     "evidence_packages",
-    lambda spark, sf_dir: evidence.packages(_entries(spark, sf_dir), inputs.REPORT).select("doc_id", "scope", "n_entries", "fits", (F.length("key") == 64).alias("keyed")),
-    f"{_EVIDENCE}\nSELECT doc_id, scope, count(*)::INTEGER AS n_entries, sum(length(to_json(struct_pack(id, kind, name, label, year, value, unit, status, reason, pages, text)))) + 100 <= 120000 AS fits, TRUE AS keyed FROM entries GROUP BY ALL",
+    lambda spark, sf_dir: evidence.packages(_entries(spark, sf_dir), inputs.REPORT).drop("json"),
+    f"{_EVIDENCE}\nSELECT doc_id, scope, n_entries, length(json) AS chars, length(json) <= 120000 AS fits, sha256(json) AS key FROM (SELECT doc_id, scope, count(*)::INTEGER AS n_entries, {_JSON.format(fields=_FIELDS)} AS json FROM entries GROUP BY doc_id, scope)",
 )
 _add("comparison_evidence", lambda spark, sf_dir: evidence.comparison_evidence(_points(spark, sf_dir)), f"""{_POINTS}
 SELECT * EXCLUDE (n, total), 'T' || n AS id, greatest(0, total - 180) AS omitted FROM (
