@@ -32,13 +32,17 @@ def first_reason(*inputs: Column) -> Column:
     return F.when(F.size(reasons) > 0, F.array_join(reasons, ";")).when(mixed, "CURRENCY_MIX").otherwise("")
 
 
-def select_values(facts: DataFrame) -> DataFrame:
-    """One row per (report, statement, metric, period): amount, currency, reason, and how many sources it has."""
+#: What identifies an input.
+KEY = [*REPORT, "statement_type", "canonical_name", *PERIOD]
+
+
+def told(facts: DataFrame) -> DataFrame:
+    """One row per input with what its sources say together: counts, flags and extremes, which can be merged further."""
     own = facts.where(F.col("canonical_name").isNotNull()).withColumn("amount", amount(F.col("value"), F.col("multiplier")))
     # the step of the last printed digit, as an exact decimal
     decimals = F.length(F.regexp_extract(F.translate("raw_value", "０１２３４５６７８９．", "0123456789."), r"\.(\d+)", 1))
     quantum = (F.col("multiplier").cast("decimal(13,0)") * F.concat(F.lit("1e-"), decimals).try_cast("decimal(20,12)")).cast("double")
-    got = own.withColumn("quantum", quantum).groupBy(*REPORT, "statement_type", "canonical_name", *PERIOD).agg(
+    return own.withColumn("quantum", quantum).groupBy(*KEY).agg(
         F.count("*").alias("n_sources"),
         F.bool_or((F.coalesce("currency", F.lit("")) == "") | F.col("multiplier").isNull() | (F.col("multiplier") <= 0)).alias("no_unit"),
         F.bool_or(F.col("value").isNull()).alias("no_value"),
@@ -48,17 +52,34 @@ def select_values(facts: DataFrame) -> DataFrame:
         F.max("quantum").alias("quantum"), F.array_sort(F.collect_set("source_page")).alias("pages"),
         F.bool_or(F.col("extraction_method") == "local_ocr").alias("ocr"), F.max("multiplier").alias("scale"),
     )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Rows of told() over parts of the facts as told() over all of them would give them."""
+    flags = [F.bool_or(c).alias(c) for c in ("no_unit", "no_value", "not_money", "not_finite", "ocr")]
+    ends = [f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "c_lo"), (F.max, "c_hi"), (F.max, "quantum"), (F.max, "scale"))]
+    pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages")
+    return parts.groupBy(*KEY).agg(F.sum("n_sources").alias("n_sources"), *flags, *ends, pages).select(parts.columns)
+
+
+def gated(got: DataFrame) -> DataFrame:
+    """The amount of each row of told(), or the first reason for refusing one."""
     reason = (
         F.when(F.col("scope") == "unknown", "UNKNOWN_SCOPE").when(F.col("no_unit"), "UNKNOWN_UNIT").when(F.col("no_value"), "NULL_VALUE").when(F.col("not_money"), "NOT_MONETARY")
         .when(F.col("not_finite"), "NON_FINITE").when((F.col("lo") != F.col("hi")) | (F.col("c_lo") != F.col("c_hi")), "CONFLICT").otherwise("")
     )
     ok = reason == ""
     return got.select(
-        *REPORT, "statement_type", "canonical_name", *PERIOD, "n_sources", F.when(ok, F.col("lo")).alias("amount"), F.when(ok, F.col("c_lo")).otherwise("").alias("currency"),
+        *KEY, "n_sources", F.when(ok, F.col("lo")).alias("amount"), F.when(ok, F.col("c_lo")).otherwise("").alias("currency"),
         reason.alias("reason"), "quantum", "pages", "ocr", "scale",
     )
 
 
+def select_values(facts: DataFrame) -> DataFrame:
+    """One row per (report, statement, metric, period): amount, currency, reason, and how many sources it has."""
+    return gated(told(facts))
+
+
 def wide(selected: DataFrame, names: list[str], by: list[str]) -> DataFrame:
     """One row per ``by`` with a gated struct per name; an absent key is MISSING."""
     fields = ["amount", "currency", "reason", "n_sources", "quantum", "pages", "ocr", "scale"]

@@ -388,6 +388,7 @@ _add(
 
 from . import reports  # noqa: E402, F401
 from . import functions  # noqa: E402, F401
+from . import streams  # noqa: E402, F401
 from . import grids  # noqa: E402, F401
 from . import extraction  # noqa: E402, F401
 from . import scans  # noqa: E402, F401

@@ -8,20 +8,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read back; what is built on it has a plain scan for a plan."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="factloom-")
         _OWN[spark.sparkContext.applicationId] = named
-    path = f"{named.rstrip('/')}/factloom/{tag}-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/factloom/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back; what is built on it has a plain scan for a plan."""
+    spark = df.sparkSession
+    path = fresh(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
