@@ -6,9 +6,11 @@ through, and so on until no false positive is left.  A key is listed if the firs
 number (counted from 1), or if all pass and the number of levels is odd.
 
 A level is a blocked Bloom filter: a table of blocks of 32,768 bits, made by a bitmap aggregate per block.  A key has all
-its bits in one block, so a row looks up one block a level; the list itself is never joined.  A level takes
-``bits_per_key`` bits for each key that it encodes, so its size follows the list and the (small) number of false
-positives, never the number of rows, and building it takes time in proportion to the list.
+its bits in one block, so a row looks up one block a level.  A level of at most HELD_BLOCKS blocks is a value of the plan
+(a scalar subquery) in which rows look up their bits without a join; a larger one stays a table, met by an equi join on
+the block's number.  The list itself is never joined.  A level takes ``bits_per_key`` bits for each key that it encodes,
+so its size follows the list and the (small) number of false positives, never the number of rows, and building it takes
+time in proportion to the list.
 
 Defined results: a null url or one without "://" has an empty host and path; an empty host is a key like any other;
 an empty list lists nothing; repeated rows are judged alike; an empty table gives an empty result; extra columns are
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .scratch import drop, durable
 
 BLOCK_BITS = 32_768
-#: Levels of at most so many blocks (of 4 KB) are broadcast.
-BROADCAST_BLOCKS = 16_384
+#: Levels of at most so many blocks (of 4 KB: 16 MB, 13 million keys) are held as values of the plan.
+HELD_BLOCKS = 4_096
 
 #: (host, path prefix, verdict); a rule fits its host and all subdomains.
 RULES = (
@@ -77,19 +79,27 @@ class Cascade:
     def passes(self, df: DataFrame, key: str, level: int, name: str) -> DataFrame:
         """df with a boolean column: whether a level's filter lets the key through.
 
-        Each row looks up the one block of its key.  Blocks are broadcast as rows of 4 KB up to BROADCAST_BLOCKS of them
-        (64 MB); larger levels are met by an equi join on the block's number.
+        Each row looks up the one block of its key: in a value that every task holds, up to HELD_BLOCKS blocks, else by an
+        equi join on the block's number.
         """
         table, blocks = self.levels[level]
-        table = table.withColumnsRenamed({"block": "_block", "words": "_words"})
-        met = df.join(F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table, _block(F.col(key), level, blocks) == F.col("_block"), "left")
-        hit = F.col("_words").isNotNull()
+        block = _block(F.col(key), level, blocks)
+        if blocks <= HELD_BLOCKS:
+            # every block is there, so a block's place in the array is its number
+            held = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "words"))), lambda b: b["words"])).scalar()
+            return df.withColumn(name, self._hit(F.get(held, block.cast("int")), key, level))
+        met = df.join(table.withColumnsRenamed({"block": "_block", "words": "_words"}), block == F.col("_block"), "left")
+        return met.withColumn(name, self._hit(F.col("_words"), key, level)).drop("_block", "_words")
+
+    def _hit(self, words: Column, key: str, level: int) -> Column:
+        """Whether all bits of a key are set in the words of its block."""
+        hit = F.lit(True)
         for i in range(self.hashes):
             at = _bit(F.col(key), level, i)
             # bits are counted from the lowest of each byte, bytes from the highest of each word
             shift = (7 - F.shiftright(at, 3).bitwiseAND(F.lit(7))) * 8 + at.bitwiseAND(F.lit(7))
-            hit = hit & (F.getbit(F.get("_words", F.shiftright(at, 6).cast("int")), shift.cast("int")) == 1)
-        return met.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_block", "_words")
+            hit = hit & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), shift.cast("int")) == 1)
+        return F.coalesce(hit, F.lit(False))
 
     def listed(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """df with a boolean column: exact membership for keys of the universe that the cascade was built over."""
@@ -106,6 +116,8 @@ def _filter(keys: DataFrame, level: int, count: int, hashes: int, bits_per_key:
     """The blocks (block, words) of a Bloom filter over column ``key``, and how many there can be."""
     blocks = max(1, -(-count * bits_per_key // BLOCK_BITS))
     bits = keys.select(_block(F.col("key"), level, blocks).alias("block"), F.explode(F.array(*[_bit(F.col("key"), level, i) for i in range(hashes)])).alias("bit"))
+    # a row without a bit for every block, as blocks are found by their place
+    bits = bits.unionByName(keys.sparkSession.range(blocks).select(F.col("id").alias("block"), F.lit(None).cast("long").alias("bit")))
     # every block is put together by one task from a bounded number of bits, so no task holds more than a few blocks
     made = bits.repartition("block").groupBy("block").agg(F.hex(F.bitmap_construct_agg("bit")).alias("hex"))
     words = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.conv(F.substring("hex", w * 16 + 1, F.lit(16)), 16, -10).cast("long"))
