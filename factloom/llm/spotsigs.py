@@ -3,7 +3,8 @@
 A spot signature is a common word (an anchor) and the chain of the next content words after it; the set of a document's
 signatures is its fingerprint.  Running prose yields many signatures, menus and lists few.  Sets are compared by Jaccard
 similarity; since it is at most the ratio of the set sizes, documents are partitioned by set length and only neighbouring
-length classes meet, through an inverted index of each set's rarest signatures.
+length classes meet, through an inverted index of each set's rarest signatures.  Where the likeness itself is asked for,
+as in the query, nothing is cut: the length classes then say how a pair is counted.
 
 A fingerprint travels as text: base64 of the sorted 32-bit signatures.
 
@@ -109,16 +110,22 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
-def pruned_likeness(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
-    """Jaccard similarity of each pair of sets, 0.0 where it is under ``least``.
+#: Sets whose sizes differ by more than this ratio are counted by looking up the smaller one's members in the larger.
+FAR = 1 / 16
+
+
+def pruned_likeness(left: list[np.ndarray], right: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """Jaccard similarity of each pair of sets, 0.0 where it is under ``least``; exact for every pair if that is 0.
 
     Pairs whose length classes are no neighbours, or whose sizes alone keep them under least, are dropped first.  Of the
     rest only the first few elements are compared, as two sets that are alike enough share one of their prefixes; what is
-    left is counted in full, all pairs at once.
+    left is counted in full: neighbours by length all at once, a small set against a far larger one by looking it up.
     """
     n, m = (np.fromiter(map(len, part), np.int64, len(part)) for part in (left, right))
     out = np.where((n == 0) & (m == 0), 1.0, 0.0)
-    near = (np.abs(length_class(n, least) - length_class(m, least)) <= 1) & (np.minimum(n, m) >= least * np.maximum(n, m)) & (n > 0) & (m > 0)
+    apart = np.abs(length_class(n, least or FAR) - length_class(m, least or FAR)) > 1
+    kept = (np.minimum(n, m) >= least * np.maximum(n, m)) & (n > 0) & (m > 0) & ~(apart & (least > 0))
+    both = np.zeros(len(n), np.int64)
 
     def shared(pairs: np.ndarray, cut) -> np.ndarray:
         keys = []
@@ -128,12 +135,15 @@ def pruned_likeness(left: list[np.ndarray], right: list[np.ndarray], least: floa
             keys.append((owner << np.uint64(32)) | (np.concatenate(sets).astype(np.uint64) if sets else np.zeros(0, np.uint64)))
         return np.bincount((np.intersect1d(*keys, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=len(pairs))
 
-    pairs = np.flatnonzero(near)
-    pairs = pairs[shared(pairs, lambda size: size - int(np.ceil(size * least - 1e-9)) + 1) > 0]
-    both = shared(pairs, lambda size: size)
-    value = both / (n[pairs] + m[pairs] - both)
-    out[pairs] = np.where(value >= least, value, 0.0)
-    return out
+    pairs = np.flatnonzero(kept & ~apart)
+    if least:
+        pairs = pairs[shared(pairs, lambda size: size - int(np.ceil(size * least - 1e-9)) + 1) > 0]
+    both[pairs] = shared(pairs, lambda size: size)
+    for i in np.flatnonzero(kept & apart):
+        small, large = sorted((left[i], right[i]), key=len)
+        both[i] = np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)
+    value = both / np.maximum(n + m - both, 1)
+    return np.where(kept & (value >= least), value, out)
 
 
 def _fingerprints(texts: list[str]) -> list[np.ndarray]:
@@ -192,9 +202,6 @@ def near_pairs(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") ->
     return both.select("a", "b", "fa", "fb").mapInArrow(compare, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
-#: Likeness under this counts as none.
-LEAST = 0.05
-
 _EDITED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
     T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
@@ -213,20 +220,39 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # ranges count downwards from the largest ids
-    part = F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c <= F.col("place")))
-    parted = rows.withColumn("part", part.cast("int"))
-    heads = {r.part: r.head for r in parted.groupBy("part").agg(F.max("place").alias("head")).collect()}  # one row per range
+    bounds = np.array([int(c) for c in cuts], np.int64)
+
+    def parts(place: pa.Array) -> np.ndarray:
+        # ranges count downwards from the largest ids
+        return len(bounds) - np.searchsorted(bounds, place.to_numpy(zero_copy_only=False), side="right")
+
+    def highest(batches):
+        best: dict[int, int] = {}
+        for batch in batches:
+            place = batch.column(0)
+            for p, x in zip(parts(place).tolist(), place.to_pylist(), strict=True):
+                best[p] = max(x, best.get(p, x))
+        yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int32()), pa.array(best.values(), pa.int64())], names=["part", "place"])
+
+    tops = rows.select("place").mapInArrow(highest, "part int, place long")
+    heads = {r.part: r.head for r in tops.groupBy("part").agg(F.max("place").alias("head")).collect()}  # one row per range
     if not heads:
         return spark.createDataFrame([], _EDITED)
     present = sorted(heads)
     before = {present[i]: present[i - 1] for i in range(len(present))}  # the first range follows the last
-    follows = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
-    head = F.element_at(F.create_map(*[F.lit(x) for kv in heads.items() for x in kv]), F.col("part"))
-    # only the first document of a range is copied, to the end of the range before it
-    homes = F.when(F.col("place") == head, F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(follows.alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))))
-    dealt = parted.withColumn("home", F.explode(homes)).select("home.part", "home.guest", "doc_id", "text", "place")
+
+    def deal(batches):
+        for batch in batches:
+            part = parts(batch.column(1))
+            # only the first document of a range is copied, to the end of the range before it
+            guests = [i for i, (p, x) in enumerate(zip(part.tolist(), batch.column(1).to_pylist(), strict=True)) if heads[p] == x]
+            both = pa.Table.from_batches([batch, batch.take(pa.array(guests, pa.int64()))]) if guests else pa.Table.from_batches([batch])
+            home = [*part.tolist(), *(before[part[i]] for i in guests)]
+            guest = [0] * len(part) + [1] * len(guests)
+            dealt = both.append_column("part", pa.array(home, pa.int32())).append_column("guest", pa.array(guest, pa.int32()))
+            yield from dealt.select(["part", "guest", "doc_id", "text", "place"]).to_batches()
+
+    dealt = rows.select("doc_id", "place", "text").mapInArrow(deal, "part int, guest int, doc_id long, text string, place long")
     ordered = dealt.repartition(max(1, ranges // 4), "part").sortWithinPartitions("part", "guest", F.desc("place"), "text").drop("place")
 
     def run(batches):
@@ -260,7 +286,7 @@ def _edited_batch(items: list[tuple[int, str, str]]) -> pa.RecordBatch:
     own, changed, after = _fingerprints([x[1] for x in items]), _fingerprints(edited), _fingerprints([x[2] for x in items])
     columns = [
         pa.array([x[0] for x in items], pa.int64()), pa.array([len(x[1]) for x in items], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        pa.array(map(spelled, own), pa.string()), pa.array(map(spelled, changed), pa.string()), pa.array(pruned_likeness(own, changed, LEAST)), pa.array(pruned_likeness(own, after, LEAST)),
+        pa.array(map(spelled, own), pa.string()), pa.array(map(spelled, changed), pa.string()), pa.array(pruned_likeness(own, changed)), pa.array(pruned_likeness(own, after)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=_EDITED.names)
 

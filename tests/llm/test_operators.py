@@ -311,8 +311,7 @@ def brute_signatures(text):
 
 
 def brute_likeness(a, b):
-    j = len(a & b) / len(a | b) if a or b else 1.0
-    return j if j >= spotsigs.LEAST else 0.0
+    return len(a & b) / len(a | b) if a or b else 1.0
 
 
 def test_spotsigs_edits(documents, rows):
@@ -340,7 +339,9 @@ def test_pruned_likeness():
     rng = np.random.RandomState(2)
     base = [np.unique(rng.randint(0, 2**32, rng.randint(0, 60), dtype=np.uint64).astype(np.uint32)) for _ in range(400)]
     other = [np.unique(np.concatenate([x[rng.rand(len(x)) < rng.rand()], base[i - 1][: rng.randint(0, 9)]])) for i, x in enumerate(base)]
-    for least in (0.05, 0.5, 0.8, 0.95):
+    base += [np.arange(5_000, dtype=np.uint32), np.arange(7, dtype=np.uint32), np.zeros(0, np.uint32)]
+    other += [np.array([3, 4_999, 9_000], np.uint32), np.arange(6, 4_000, dtype=np.uint32), np.arange(3, dtype=np.uint32)]
+    for least in (0.0, 0.05, 0.5, 0.8, 0.95):
         plain = [spotsigs.likeness(a, b) for a, b in zip(base, other)]
         assert spotsigs.pruned_likeness(base, other, least).tolist() == [x if x >= least else 0.0 for x in plain]
 
@@ -507,7 +508,9 @@ def test_cascade(spark, monkeypatch):
     cascade = url_filter.build_cascade(keys)
     assert len(cascade.levels) > 1 and cascade.levels[0][1] > 1
     assert wrong(cascade) == 0
-    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 1)
+    plan = cascade.listed(keys, "key", "found")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    monkeypatch.setattr(url_filter, "HELD_BLOCKS", 1)  # larger levels by joins
     assert wrong(cascade) == 0
     empty = url_filter.build_cascade(keys.where("not listed"))
     assert empty.listed(keys, "key", "found").where("found").count() == 0
