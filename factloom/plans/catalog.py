@@ -64,12 +64,11 @@ _add(
     f"{_BASE},\n{validation.BALANCE_SQL.strip()}\nSELECT doc_id, scope, year, status, CASE WHEN reason = '' THEN round(diff::DOUBLE, 6) END AS difference, CASE WHEN reason = '' THEN round(tol, 6) END AS tolerance "
     "FROM balance QUALIFY row_number() OVER (PARTITION BY doc_id, scope ORDER BY year DESC) = 1",
 )
-_COVER = "SELECT * FROM facts WHERE NOT (doc_id % 7 = 1 AND statement_type = 'cash_flow') AND NOT (doc_id % 7 = 2 AND scope = 'parent' AND statement_type = 'balance_sheet')"
 _add(
     "statement_coverage",
-    lambda spark, sf_dir: validation.statement_coverage(facts(spark, sf_dir).where("not (doc_id % 7 = 1 and statement_type = 'cash_flow') and not (doc_id % 7 = 2 and scope = 'parent' and statement_type = 'balance_sheet')")),
-    f"{_BASE}, shown AS ({_COVER})\nSELECT doc_id, scope, s.statement_type, 'statement_coverage' AS rule, 'skipped' AS status, 'MISSING_STATEMENT' AS reason FROM (SELECT DISTINCT doc_id, scope FROM shown) r "
-    "CROSS JOIN (VALUES ('income_statement'), ('balance_sheet'), ('cash_flow')) s(statement_type) WHERE NOT EXISTS (SELECT 1 FROM shown h WHERE h.doc_id = r.doc_id AND h.scope = r.scope AND h.statement_type = s.statement_type)",
+    lambda spark, sf_dir: validation.statement_coverage(facts(spark, sf_dir)),
+    f"WITH {FACTS_SQL.strip()}\nSELECT doc_id, scope, s.statement_type, 'statement_coverage' AS rule, 'skipped' AS status, 'MISSING_STATEMENT' AS reason FROM (SELECT DISTINCT doc_id, scope FROM facts) r "
+    "CROSS JOIN (VALUES ('income_statement'), ('balance_sheet'), ('cash_flow')) s(statement_type) WHERE NOT EXISTS (SELECT 1 FROM facts h WHERE h.doc_id = r.doc_id AND h.scope = r.scope AND h.statement_type = s.statement_type)",
 )
 _add(
     "input_quality_checks",

@@ -1,8 +1,8 @@
 """Facts built from order lines, so that every gate of the operators is met by real rows.
 
 Entities are suppliers, so reports grow with the tables; periods are ship years, scope "consolidated" takes all lines and
-"parent" the closed ones. Fixed rules on the supplier's number add what real reports have: duplicates, conflicts, missing
-cells, unknown units, mixed currencies, restated columns, rounded thousands, scales of a billion, amounts with one decimal.
+"parent" the closed ones. Fixed rules on the supplier's number add what real reports have: absent statements, duplicates,
+conflicts, missing cells, unknown units, mixed currencies, restated columns, rounded thousands, scales of a billion, amounts with one decimal.
 """
 
 from __future__ import annotations
@@ -50,7 +50,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = cents.join(supplier, F.col("doc_id") == F.col("s_suppkey"))
     structs = ", ".join(f"struct('{n}' as name, '{s}' as statement_type, {o} as metric_ordinal, cast({e} as bigint) as cents)" for n, s, o, e in _VALUES)
     long = named.selectExpr("doc_id", "year", "scope", "s_name as company_name", f"explode(array({structs})) as m").selectExpr("doc_id", "year", "scope", "company_name", "m.*")
-    copies = F.when((F.col("name") == "net_income") & (F.col("doc_id") % 10 == 9) & (F.col("year") == 1997), F.lit(0)).when((F.col("name") == "gross_profit") & (F.col("doc_id") % 3 != 0), F.lit(0)).when(
+    # reports without a cash flow, and parents without a balance sheet
+    absent = ((F.col("statement_type") == "cash_flow") & (F.col("doc_id") % 7 == 1)) | ((F.col("statement_type") == "balance_sheet") & (F.col("doc_id") % 7 == 2) & (F.col("scope") == "parent"))
+    copies = F.when(absent, F.lit(0)).when((F.col("name") == "net_income") & (F.col("doc_id") % 10 == 9) & (F.col("year") == 1997), F.lit(0)).when((F.col("name") == "gross_profit") & (F.col("doc_id") % 3 != 0), F.lit(0)).when(
         (F.col("name") == "revenue") & (((F.col("doc_id") % 5 == 0) & (F.col("year") == 1997)) | ((F.col("doc_id") % 5 == 1) & (F.col("year") == 1998))), F.lit(2)
     ).when((F.col("doc_id") % 8 == 6) & (F.col("year") == 1999) & (F.col("statement_type") == "income_statement"), F.lit(2)).otherwise(F.lit(1))
     rows = long.select("*", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias("copy"))
@@ -97,6 +99,8 @@ cents AS (
 ) + """
 ), copied AS (
     SELECT *, unnest(range(1, 1 + CASE
+        WHEN statement_type = 'cash_flow' AND doc_id % 7 = 1 THEN 0
+        WHEN statement_type = 'balance_sheet' AND doc_id % 7 = 2 AND scope = 'parent' THEN 0
         WHEN name = 'net_income' AND doc_id % 10 = 9 AND year = 1997 THEN 0
         WHEN name = 'gross_profit' AND doc_id % 3 <> 0 THEN 0
         WHEN name = 'revenue' AND ((doc_id % 5 = 0 AND year = 1997) OR (doc_id % 5 = 1 AND year = 1998)) THEN 2
