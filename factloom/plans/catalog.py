@@ -267,26 +267,42 @@ SELECT c_custkey, CASE WHEN ok THEN ys[1]::INTEGER END AS year, CASE WHEN ok THE
 
 _documents = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
+#: Letters of every ninth document as Chinese ones, those of every eleventh as the signs that broken fonts leave.
+_LATIN, _HAN, _BROKEN = "etaoinsr", "的一是不了人我在", "\u2460\u2461\u2500\u2501\u3105\u3400\ufffd\u1d00"
+
+
+def _printed_documents(spark, sf_dir: str):
+    text = F.when(F.col("doc_id") % 9 == 0, F.translate("text", _LATIN, _HAN)).when(F.col("doc_id") % 11 == 0, F.translate("text", _LATIN, _BROKEN)).otherwise(F.col("text"))
+    return _documents(spark, sf_dir).withColumn("text", text)
+
+
+_PRINTED_SQL = f"(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN translate(text, '{_LATIN}', '{_HAN}') WHEN doc_id % 11 = 0 THEN translate(text, '{_LATIN}', '{_BROKEN}') ELSE text END AS text FROM documents)"
+
 
 def _detect_language(spark, sf_dir: str):
     language, confidence = T.detect_language(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", language.alias("language"), confidence.alias("confidence"))
+    return _printed_documents(spark, sf_dir).select("doc_id", language.alias("language"), confidence.alias("confidence"))
 
 
 _add(
     "detect_language",
     _detect_language,
-    "SELECT doc_id, CASE WHEN n < 10 OR c + a = 0 THEN 'unknown' WHEN c / (c + a) > 0.3 THEN 'zh' ELSE 'en' END AS language, CASE WHEN n < 10 OR c + a = 0 THEN 0.0 WHEN c / (c + a) > 0.3 THEN round(c / (c + a), 3) ELSE round(1 - c / (c + a), 3) END AS confidence FROM "
-    "(SELECT doc_id, length(trim(text, ' \t\n\r')) AS n, length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]', '', 'g'))::DOUBLE AS c, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE AS a FROM documents)",
+    f"SELECT doc_id, CASE WHEN n < 10 OR c + a = 0 THEN 'unknown' WHEN c / (c + a) > 0.3 THEN 'zh' ELSE 'en' END AS language, CASE WHEN n < 10 OR c + a = 0 THEN 0.0 WHEN c / (c + a) > 0.3 THEN round(c / (c + a), 3) ELSE round(1 - c / (c + a), 3) END AS confidence FROM "
+    f"(SELECT doc_id, length(trim(text, ' \t\n\r')) AS n, length(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}\\x{{3400}}-\\x{{4DBF}}\\x{{F900}}-\\x{{FAFF}}]', '', 'g'))::DOUBLE AS c, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE AS a FROM {_PRINTED_SQL})",
 )
 
 
 def _text_quality(spark, sf_dir: str):
     per_page, scanned, warning = T.text_quality(F.col("text"), 1 + F.col("doc_id") % 7)
-    return _documents(spark, sf_dir).select("doc_id", per_page.alias("chars_per_page"), scanned.alias("scanned"), warning.alias("warning"))
+    return _printed_documents(spark, sf_dir).select("doc_id", per_page.alias("chars_per_page"), scanned.alias("scanned"), warning.alias("warning"))
 
 
-_add("text_quality", _text_quality, "SELECT doc_id, round(n / p, 1) AS chars_per_page, n / p < 80 AS scanned, CASE WHEN n / p < 80 THEN 'SCANNED' ELSE '' END AS warning FROM (SELECT doc_id, length(trim(text, ' \t\n\r'))::DOUBLE AS n, 1 + doc_id % 7 AS p FROM documents)")
+_add(
+    "text_quality",
+    _text_quality,
+    f"""SELECT doc_id, round(n / p, 1) AS chars_per_page, n / p < 80 AS scanned, CASE WHEN n > 100 AND odd / n > 0.12 THEN 'GARBLED' WHEN n / p < 80 THEN 'SCANNED' ELSE '' END AS warning
+FROM (SELECT doc_id, length(trim(text, ' \t\n\r'))::DOUBLE AS n, 1 + doc_id % 7 AS p, len([x FOR x IN string_split(text, '') IF ord(x) BETWEEN 7424 AND 12287 OR ord(x) BETWEEN 12544 AND 19903 OR ord(x) = 65533])::DOUBLE AS odd FROM {_PRINTED_SQL})""",
+)
 _add(
     "year_mentions",
     lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", T.years_in(F.col("text")).alias("years")).where(F.size("years") > 0).select("doc_id", F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years")),
@@ -332,7 +348,11 @@ _add(
     f"SELECT p_partkey, metric, confidence FROM ({_resolved_sql('p_name')})",
 )
 
-TITLES = ["合并利润表", "Consolidated Balance Sheet 2025", "合并现金流量表（续）", "plain page", "这些财务报表包括资产负债表", "目录\n合并利润表 ........ 12\n合并资产负债表 ........ 14\n合并现金流量表 ...... 16", "母公司资产负债表", "  利润表", "续表", "2024年度合并及母公司利润表"]
+TITLES = [
+    "合并利润表", "Consolidated Balance Sheet 2025", "合并现金流量表（续）", "plain page", "这些财务报表包括资产负债表", "目录\n合并利润表 ........ 12\n合并资产负债表 ........ 14\n合并现金流量表 ...... 16", "母公司资产负债表", "  利润表", "续表", "2024年度合并及母公司利润表",
+    "CONSOLIDATED BALANCE SHEETS, 2025", "利润表 2025年12月31日", "合并利润表2024年度", "资产负债表（2024 续）", "3. Income statement continued", "一、 母公司的现金流量表 2024 2023", "利润表 现金流量表", "see Note 7\nCompany Statement of Financial Position",
+    "合并利润表\n合并资产负债表", "Statement of Cash Flows / 2024",
+]
 BODY = "\n单位：人民币百万元\n项目 2025年 2024年\n营业收入 1,234 1,111\n营业成本 900 800\n毛利 334 311\n营业利润 120 110\n净利润 100 90\n基本每股收益 0.36 0.30\n资产总计 5,000 4,800\n负债合计 2,000 1,900\n权益合计 3,000 2,900\n"
 
 #: Bodies of pages, from full statements to running text.
@@ -350,16 +370,19 @@ def _report_pages(spark, sf_dir: str):
     return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.concat(title, body).alias("text"))
 
 
-_add("heading_score", lambda spark, sf_dir: page_ops.headings(_report_pages(spark, sf_dir)).drop("text"))
 _PAGES_SQL = f"""WITH pages_of AS (SELECT conv_id AS doc_id, turn::INTEGER AS page_number, ({_sql_list(TITLES)})[((conv_id * 3 + turn * (1 + conv_id % 2)) % {len(TITLES)} + 1)::INTEGER] || CASE WHEN (conv_id + turn) % 5 = 4 THEN chr(10) || text ELSE ({_sql_list(BODIES)})[((conv_id * 5 + turn) % {len(BODIES)} + 1)::INTEGER] END AS text FROM conversations)"""
-_STATEMENTS_SQL = ", ".join(f"(SELECT count(DISTINCT metric) FROM al WHERE st = '{s}' AND contains(flat, k)) AS {s}" for s in page_ops.HEADINGS)
-_add("content_score", lambda spark, sf_dir: page_ops.content_scores(_report_pages(spark, sf_dir)), _PAGES_SQL + f""", al AS (SELECT metric, st, lower(replace(a, ' ', '')) AS k FROM (VALUES {_ALIAS_ROWS}) v(metric, st, a)),
-f AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat, replace(replace(regexp_replace(text, '[^\\p{{N}}\\P{{L}}年度]|[\\p{{M}}]', 'x', 'g'), '年', 'y'), '度', 'z') AS bare FROM pages_of),
+
+
+def _content_sql(pages: str) -> str:
+    """Tables al (aliases), f, h and s (content scores) over a table of pages, after other tables of a WITH."""
+    return f""", al AS (SELECT metric, st, lower(replace(a, ' ', '')) AS k FROM (VALUES {_ALIAS_ROWS}) v(metric, st, a)),
+f AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat, replace(replace(regexp_replace(text, '[^\\p{{N}}\\P{{L}}年度]|[\\p{{M}}]', 'x', 'g'), '年', 'y'), '度', 'z') AS bare FROM {pages}),
 h AS (SELECT *, (SELECT count(DISTINCT metric) FROM al WHERE contains(flat, k)) AS hits, len(regexp_extract_all(bare, '\\b\\d[\\d,.\\s]*\\d\\b|\\b\\d\\b')) AS n, regexp_matches(bare, '\\b(20[12]\\d|19\\d\\d)\\s*(?:yz|y)?\\b') AS dated,
       regexp_matches(lower(text), '人民币|美元|港元|新加坡元|rmb|cny|usd|hkd|sgd|千元|百万元|万元|亿元|thousands?|millions?|billions?') AS unit, len(regexp_extract_all(text, '\\.{{4,}}|-{{4,}}')) > 3 OR len(regexp_extract_all(text, '\\.+\\s*\\d{{1,4}}\\s*$')) > 5 AS listed FROM f),
-s AS (SELECT *, CASE WHEN hits >= 5 THEN 0.35 WHEN hits >= 3 THEN 0.2 WHEN hits >= 1 THEN 0.1 ELSE 0 END + CASE WHEN n >= 20 THEN 0.3 WHEN n >= 10 THEN 0.2 WHEN n >= 5 THEN 0.1 ELSE 0 END + CASE WHEN dated THEN 0.15 ELSE 0 END + CASE WHEN unit THEN 0.1 ELSE 0 END AS score FROM h)
-SELECT doc_id, page_number, round(least(CASE WHEN listed THEN score * 0.3 ELSE score END, 1)::DOUBLE, 4) AS score FROM s""")
-_add("statement_ranges", lambda spark, sf_dir: page_ops.statement_ranges(_report_pages(spark, sf_dir)).withColumn("continuation_pages", F.array_join(F.transform("continuation_pages", lambda p: p.cast("string")), ",")))
+s AS (SELECT *, CASE WHEN hits >= 5 THEN 0.35 WHEN hits >= 3 THEN 0.2 WHEN hits >= 1 THEN 0.1 ELSE 0 END + CASE WHEN n >= 20 THEN 0.3 WHEN n >= 10 THEN 0.2 WHEN n >= 5 THEN 0.1 ELSE 0 END + CASE WHEN dated THEN 0.15 ELSE 0 END + CASE WHEN unit THEN 0.1 ELSE 0 END AS score FROM h)"""
+
+
+_add("content_score", lambda spark, sf_dir: page_ops.content_scores(_report_pages(spark, sf_dir)), f"{_PAGES_SQL}{_content_sql('pages_of')}\nSELECT doc_id, page_number, round(least(CASE WHEN listed THEN score * 0.3 ELSE score END, 1)::DOUBLE, 4) AS score FROM s")
 
 SELECTIONS = ["{a}", "{a}-{b}", "{a},{b}", "{a}–{b}，{c}", " {c} {a}  {b} ", "x{a}", "{a}-", "", "0-{a}", "{a}-{z}", "{b}-{a}", "{a}-{b},{c}-{z}"]
 
@@ -385,6 +408,7 @@ _add(
     f"{_BASE},\n{metrics.METRICS_SQL.strip()}\nSELECT metric, reason, CASE WHEN reason = '' THEN '' WHEN regexp_matches(reason, 'MISSING|NULL_VALUE') THEN 'CHECK_STATEMENT' WHEN regexp_matches(reason, 'UNIT|CURRENCY') THEN 'CHECK_UNIT' WHEN regexp_matches(reason, 'CONFLICT|UNIQUE') THEN 'CHECK_DUPLICATES' WHEN regexp_matches(reason, 'NONPOSITIVE') THEN 'NOT_APPLICABLE' ELSE 'CHECK_SOURCES' END AS action, count(*) AS n FROM metrics GROUP BY ALL",
 )
 
+from . import headings  # noqa: E402, F401
 from . import reports  # noqa: E402, F401
 from . import functions  # noqa: E402, F401
 from . import streams  # noqa: E402, F401
