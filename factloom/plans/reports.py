@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import comparison, evidence, inputs, metrics, tables, validation, views
 from ..sources.scratch import kept
-from .catalog import _BASE, _POINTS, _add, _points, _sql_list, facts
+from .catalog import _BASE, _POINTS, ORACLES, _add, _points, _sql_list, facts
 
 _METRICS = f"{_BASE},\n{metrics.METRICS_SQL.strip()}"
 _AND_BALANCE = f"{_METRICS},\n{validation.BALANCE_SQL.strip()}"
@@ -104,6 +104,37 @@ _add(
     lambda spark, sf_dir: evidence.packages(_entries(spark, sf_dir), inputs.REPORT).drop("json"),
     f"{_EVIDENCE}\nSELECT doc_id, scope, n_entries, length(json) AS chars, length(json) <= 120000 AS fits, sha256(json) AS key FROM (SELECT doc_id, scope, count(*)::INTEGER AS n_entries, {_JSON.format(fields=_FIELDS)} AS json FROM entries GROUP BY doc_id, scope)",
 )
+def _long_facts(spark, sf_dir: str):
+    """Ten reports read as one long report, their years ten apart, so that the caps on values and characters bind."""
+    return facts(spark, sf_dir).withColumns({"year": (F.col("year") + F.col("doc_id") % 10 * 10).cast("int"), "doc_id": F.expr("doc_id div 10")})
+
+
+def _long_sql(sql: str) -> str:
+    """SQL over facts as SQL over the facts of long reports."""
+    longer = "facts AS (SELECT * REPLACE (doc_id // 10 AS doc_id, (year + doc_id % 10 * 10)::INTEGER AS year) FROM short_facts)"
+    selected = inputs.SELECTED_SQL.strip()
+    return sql.replace("), facts AS (", "), short_facts AS (", 1).replace(selected, f"{longer},\n{selected}", 1)
+
+
+_add(
+    "long_reported_evidence",
+    lambda spark, sf_dir: evidence.reported_values(_long_facts(spark, sf_dir)).withColumn("pages", _joined("pages")).drop("kind", "status", "reason"),
+    _long_sql(ORACLES["reported_evidence"]),
+)
+_add(
+    "long_evidence_packages",
+    lambda spark, sf_dir: evidence.packages(evidence.build_evidence(_long_facts(spark, sf_dir), _pages(spark, sf_dir)), inputs.REPORT).drop("json"),
+    _long_sql(ORACLES["evidence_packages"]),
+)
+_add(
+    "long_comparison_evidence",
+    lambda spark, sf_dir: evidence.comparison_evidence(_points(spark, sf_dir).withColumns({"year": (F.col("year") + F.col("pair_id") % 10 * 10).cast("int"), "pair_id": F.expr("pair_id div 10")})),
+    f"""{_POINTS}, longer AS (SELECT * REPLACE (pair_id // 10 AS pair_id, (year + pair_id % 10 * 10)::INTEGER AS year) FROM points)
+SELECT * EXCLUDE (n, total), 'T' || n AS id, greatest(0, total - 180) AS omitted FROM (
+    SELECT pair_id, scope, canonical_name AS name, statement_type, year, status, reason, value, change, growth_percent, change_reason, currency, n_sources,
+           row_number() OVER (PARTITION BY pair_id, scope ORDER BY status NOT IN ('conflict', 'incompatible'), canonical_name, year, statement_type) AS n, count(*) OVER (PARTITION BY pair_id, scope) AS total FROM longer
+) WHERE n <= 180""",
+)
 _add("comparison_evidence", lambda spark, sf_dir: evidence.comparison_evidence(_points(spark, sf_dir)), f"""{_POINTS}
 SELECT * EXCLUDE (n, total), 'T' || n AS id, greatest(0, total - 180) AS omitted FROM (
     SELECT pair_id, scope, canonical_name AS name, statement_type, year, status, reason, value, change, growth_percent, change_reason, currency, n_sources,
@@ -303,3 +334,9 @@ _add(
     f"""WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS statement_id, ({_sql_list(list(validation.STATEMENTS))})[(o_orderkey % 3 + 1)::INTEGER] AS statement_type, (['consolidated', 'parent', 'unknown'])[length(o_orderpriority) % 3 + 1] AS scope, o_orderkey AS seq FROM orders)
 SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, statement_type ORDER BY CASE scope WHEN 'consolidated' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, seq) = 1 THEN 'main' ELSE 'alternative' END AS slot FROM s""",
 )
+
+_add(
+    "script_json",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.escaped_json(F.to_json(F.struct("page_id", "url", "html"), {"ignoreNullFields": "false"})).alias("json")),
+    r"SELECT page_id, replace(replace(replace(to_json(struct_pack(page_id, url, html))::VARCHAR, '<', '\u003c'), '>', '\u003e'), '&', '\u0026') AS json FROM pages",
+)
