@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ocr
@@ -51,15 +52,34 @@ def _scanned(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), text.alias("text"), header.alias("header"))
 
 
+_SCANNED_SQL = f"""p AS (SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page_number, CASE turn % 3 WHEN 0 THEN 'scan' WHEN 1 THEN repeat('1,234 ', 14) || '2024 2025 ' || text ELSE repeat('1,234 ', 14) || '2024 ' || text END AS text,
+    replace(({_sql_list(HEADERS[1])})[((conv_id + turn * 3) % {len(HEADERS[1])} + 1)::INTEGER], '附注', 'x') AS header FROM conversations)"""
+_CANDIDATES_SQL = r"""c AS (SELECT * FROM (SELECT *, len(list_distinct([y FOR y IN regexp_extract_all(text, '[0-9]+') IF length(y) = 4 AND y LIKE '20%'])) AS years FROM {pages}) WHERE length(trim(text, ' \t\n\r')) < 80 OR (len(regexp_extract_all(text, '\d{{1,3}}(?:,\d{{3}})+')) >= 12 AND years >= 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_number) <= 160)"""
 _add(
     "locate_pages",
     lambda spark, sf_dir: ocr.locate_pages(_scanned(spark, sf_dir)).withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",")),
-    f"""WITH p AS (SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page_number, CASE turn % 3 WHEN 0 THEN 'scan' WHEN 1 THEN repeat('1,234 ', 14) || '2024 2025 ' || text ELSE repeat('1,234 ', 14) || '2024 ' || text END AS text,
-    replace(({_sql_list(HEADERS[1])})[((conv_id + turn * 3) % {len(HEADERS[1])} + 1)::INTEGER], '附注', 'x') AS header FROM conversations),
-c AS (SELECT * FROM (SELECT *, len(list_distinct([y FOR y IN regexp_extract_all(text, '[0-9]+') IF length(y) = 4 AND y LIKE '20%'])) AS years FROM p) WHERE length(trim(text, ' \t\n\r')) < 80 OR (len(regexp_extract_all(text, '\\d{{1,3}}(?:,\\d{{3}})+')) >= 12 AND years >= 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_number) <= 160),
+    f"""WITH {_SCANNED_SQL},
+{_CANDIDATES_SQL.format(pages='p')},
 k AS (SELECT doc_id, page_number, {_first_kind('header')} AS kind FROM c),
 f AS (SELECT a.doc_id, a.page_number FROM k a WHERE kind IS NOT NULL AND (SELECT count(DISTINCT b.kind) FROM k b WHERE b.doc_id = a.doc_id AND b.page_number < a.page_number) < 3),
 n AS (SELECT doc_id, max(page_number) AS n FROM p GROUP BY ALL),
 g AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(page_number, least(page_number + 3, n) + 1))))) AS pages FROM f JOIN n USING (doc_id) GROUP BY ALL)
 SELECT n.doc_id, CASE WHEN g.pages IS NULL THEN 'NOT_FOUND' WHEN len(g.pages) > 20 THEN 'TOO_MANY' ELSE '' END AS reason, CASE WHEN len(g.pages) <= 20 THEN array_to_string(g.pages, ',') END AS pages FROM n LEFT JOIN g USING (doc_id)""",
 )
+
+
+def _long_scans(spark, sf_dir: str):
+    """Sixty-four conversations as one scanned report, so that more pages are worth a look than the cap lets through."""
+    pages = _scanned(spark, sf_dir).withColumn("part", F.expr("doc_id div 64"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "page_number", "text"))
+    return pages.select(F.col("part").alias("doc_id"), place.alias("page_number"), "text", "header")
+
+
+_add(
+    "candidate_pages",
+    lambda spark, sf_dir: ocr.candidate_pages(_long_scans(spark, sf_dir)),
+    f"""WITH {_SCANNED_SQL},
+long AS (SELECT doc_id // 64 AS doc_id, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id, page_number, text)::INTEGER AS page_number, text, header FROM p),
+{_CANDIDATES_SQL.format(pages='long')}
+SELECT doc_id, page_number, {_first_kind('header')} AS kind FROM c""",
+)
