@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .inputs import PERIOD, REPORT, amount, first_reason, money_unit, select_values, wide
 from .metrics import _filled, compute_metrics
 
@@ -124,12 +125,11 @@ def cards(facts: DataFrame) -> DataFrame:
     """One row per report and card: current and previous value, change, and whether its years make a trend."""
     by = [*REPORT, *PERIOD]
     spec = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("card"), F.lit(f).alias("format"), F.lit(n == "debt_to_assets" or s == "balance_sheet").alias("point")) for i, (n, s, f) in enumerate(CARDS, 1)])
-    annual = facts.where("statement_type = 'income_statement' and period_type = 'annual'").select(*by).distinct()
-    latest = annual.groupBy(*REPORT).agg(F.max("year").alias("latest"))
-    balance = facts.where("statement_type = 'balance_sheet' and period_type = 'point_in_time'").select(*by).distinct()
-    per_year = annual.withColumn("point", F.lit(False)).unionByName(balance.withColumn("point", F.lit(True)))
+    dated = "statement_type = 'income_statement' and period_type = 'annual' or statement_type = 'balance_sheet' and period_type = 'point_in_time'"
+    per_year = facts.where(dated).select(*by, (F.col("statement_type") == "balance_sheet").alias("point")).distinct()
+    latest = per_year.where("not point").groupBy(*REPORT).agg(F.max("year").alias("latest"))
     unique = per_year.groupBy(*REPORT, "point", "year").agg(F.count("*").alias("periods"), F.first(F.struct(*PERIOD[1:])).alias("p")).where("periods = 1").select(*REPORT, "point", "year", "p.*")
-    selected = select_values(facts)
+    selected = kept(select_values(facts), "selected")
     money = selected.where(F.concat_ws("/", "statement_type", "canonical_name").isin([f"{s}/{n}" for n, s, _ in CARDS if s])).select(*by, F.col("canonical_name").alias("card"), F.col("amount").cast("double").alias("value"), "currency", "reason")
     derived = compute_metrics(facts, tuple(n for n, s, _ in CARDS if not s), selected).select(*by, F.col("metric").alias("card"), "value", F.col("unit").alias("currency"), "reason")
     points = latest.withColumn("c", F.explode(spec)).select(*REPORT, "latest", "c.*").join(unique, [*REPORT, "point"]).join(money.unionByName(derived), [*by, "card"]).where("reason = '' and value is not null")
@@ -137,8 +137,8 @@ def cards(facts: DataFrame) -> DataFrame:
     own = Window.partitionBy(*REPORT, "card")
     now_currency = F.max(F.when(F.col("year") == F.col("latest"), F.col("currency"))).over(own)
     mixed = F.min("currency").over(own) != F.max("currency").over(own)
-    kept = points.withColumn("now_currency", now_currency).withColumn("mixed", mixed).where((F.col("format") == "percent") | ~F.col("mixed") | F.col("currency").eqNullSafe(F.col("now_currency")))
-    scaled = kept.withColumn("shown", F.when(F.col("format") == "money", F.col("value") / 1e8).otherwise(F.col("value")))
+    alike = points.withColumn("now_currency", now_currency).withColumn("mixed", mixed).where((F.col("format") == "percent") | ~F.col("mixed") | F.col("currency").eqNullSafe(F.col("now_currency")))
+    scaled = alike.withColumn("shown", F.when(F.col("format") == "money", F.col("value") / 1e8).otherwise(F.col("value")))
     largest = F.max(F.abs("shown")).over(own)
     factor = F.when(F.col("format") == "percent", 1.0).when(largest < 0.0001, 1e8).when(largest < 0.01, 1e4).otherwise(1.0)
     scaled = scaled.withColumn("factor", factor).withColumn("shown", F.col("shown") * F.col("factor"))
@@ -146,7 +146,7 @@ def cards(facts: DataFrame) -> DataFrame:
     got = scaled.groupBy(*REPORT, "latest", "ord", "card", "format", "factor").agg(
         F.count("*").alias("n_points"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.max(F.when(F.col("year") == F.col("latest"), F.col("shown"))).alias("current"),
         F.max(F.when(F.col("year") == F.col("latest") - 1, F.col("shown"))).alias("previous"), F.max(F.when(F.col("year") == F.col("latest"), fiscal)).alias("f1"), F.max(F.when(F.col("year") == F.col("latest") - 1, fiscal)).alias("f0"),
-        (F.count_distinct(fiscal) == 1).alias("one_fiscal"), (F.count_distinct("is_restated") == 1).alias("one_kind"), F.max(F.when(F.col("year") == F.col("latest"), F.col("currency"))).alias("currency"),
+        (F.min(fiscal) == F.max(fiscal)).alias("one_fiscal"), F.coalesce(F.min("is_restated") == F.max("is_restated"), F.lit(False)).alias("one_kind"), F.max(F.when(F.col("year") == F.col("latest"), F.col("currency"))).alias("currency"),
     )
     both = F.col("current").isNotNull() & F.col("previous").isNotNull() & (F.col("f0") == F.col("f1"))
     delta = F.when(both, F.col("current") - F.col("previous"))

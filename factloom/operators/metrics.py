@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .inputs import PERIOD, REPORT, first_reason, select_values, wide
+from .inputs import PERIOD, REPORT, first_reason, select_values
 
 _INCOME = ["revenue", "cost_of_revenue", "gross_profit", "operating_profit", "net_income"]
 _BALANCE = ["total_assets", "total_liabilities", "total_equity"]
@@ -51,43 +51,47 @@ def compute_metrics(facts: DataFrame, names: tuple[str, ...] | None = None, sele
     """
     by = [*REPORT, *PERIOD]
     wanted = lambda name: names is None or name in names
-    selected = select_values(facts) if selected is None else selected
-    periods = lambda s: facts.where(F.col("statement_type") == s).select(*by).distinct()
-    income = periods("income_statement").join(wide(selected.where("statement_type = 'income_statement'"), _INCOME, by), by, "left").where("period_type = 'annual'")
-    income = _filled(income, _INCOME)
+    years = _by_period(facts, select_values(facts) if selected is None else selected, with_pages)
     # the base year: same fiscal dates one year before, and only one such period (original or restated, not both)
-    cut = lambda c: F.substring(c, 5, 100)
-    base = income.select(*REPORT, (F.col("year") + 1).alias("year"), cut("start_date").alias("s"), cut("end_date").alias("e"), F.struct("revenue", "net_income").alias("base"))
-    base = base.groupBy(*REPORT, "year", "s", "e").agg(F.count("*").alias("bases"), F.max("base").alias("base"))
-    joined = income.withColumn("s", cut("start_date")).withColumn("e", cut("end_date")).join(base, [*REPORT, "year", "s", "e"], "left").drop("s", "e")
-    cash_rows = wide(selected.where("statement_type = 'cash_flow'"), _CASH, by)
-    joined = _filled(joined.join(cash_rows.select(*by, "operating_cash_flow"), by, "left"), ["operating_cash_flow"])
+    cut = lambda c: F.coalesce(F.substring(c, 5, 100), F.lit(""))
+    before = Window.partitionBy(*REPORT, cut("start_date"), cut("end_date"), "period_type", "of_income").orderBy("year").rangeBetween(-1, -1)
+    years = years.withColumns({"bases": F.count("*").over(before), "base": F.max(F.struct("revenue", "net_income")).over(before)})
     none = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("amount", None, "decimal(38,6)"), ("currency", "", "string"), ("reason", "NO_UNIQUE_BASE", "string"), ("n_sources", 0, "long"), ("pages", None, "array<int>"))])
-    slim = lambda c: F.struct(*[c[f].cast("array<int>").alias(f) if f == "pages" else c[f].alias(f) for f in ("amount", "currency", "reason", "n_sources", "pages")])
-    prior = lambda n: F.when(F.col("bases") == 1, slim(F.col(f"base.{n}"))).otherwise(none)
-    revenue, cost, gross, ocf = (F.col(c) for c in ("revenue", "cost_of_revenue", "gross_profit", "operating_cash_flow"))
+    prior = lambda n: F.when(F.col("bases") == 1, F.col(f"base.{n}")).otherwise(none)
+    revenue, cost, gross, profit, ocf, spent = (F.col(c) for c in ("revenue", "cost_of_revenue", "gross_profit", "net_income", "operating_cash_flow", "capital_expenditure"))
     derived = _metric("gross_margin", [revenue, cost], (revenue["amount"] <= 0) | (cost["amount"] < 0), "BAD_GROSS_INPUT", F.try_divide(_d(revenue) - _d(cost), _d(revenue)) * 100)
-    of_year = {
-        "net_margin": _ratio("net_margin", F.col("net_income"), revenue), "operating_margin": _ratio("operating_margin", F.col("operating_profit"), revenue),
-        "revenue_growth": _growth("revenue_growth", revenue, prior("revenue")), "net_income_growth": _growth("net_income_growth", F.col("net_income"), prior("net_income")),
-        "gross_margin": F.when(gross["n_sources"] > 0, _ratio("gross_margin", gross, revenue)).otherwise(derived), "ocf_margin": _ratio("ocf_margin", ocf, revenue),
+    unit = F.coalesce(F.nullif(ocf["currency"], F.lit("")), F.nullif(spent["currency"], F.lit("")), F.lit("unknown"))
+    # what makes a period one of the metric's, and the result there
+    annual, income = F.col("period_type") == "annual", F.col("of_income")
+    made = {
+        "net_margin": (annual & income, _ratio("net_margin", profit, revenue)), "operating_margin": (annual & income, _ratio("operating_margin", F.col("operating_profit"), revenue)),
+        "revenue_growth": (annual & income, _growth("revenue_growth", revenue, prior("revenue"))), "net_income_growth": (annual & income, _growth("net_income_growth", profit, prior("net_income"))),
+        "gross_margin": (annual & income, F.when(gross["n_sources"] > 0, _ratio("gross_margin", gross, revenue)).otherwise(derived)), "ocf_margin": (annual & income, _ratio("ocf_margin", ocf, revenue)),
+        "debt_to_assets": ((F.col("period_type") == "point_in_time") & F.col("of_balance"), _ratio("debt_to_assets", F.col("total_liabilities"), F.col("total_assets"))),
+        "free_cash_flow": (annual & F.col("of_cash"), _metric("free_cash_flow", [ocf, spent], F.lit(False), "", (ocf["amount"] - F.abs(spent["amount"])).cast("double"), unit)),
     }
-    parts = []
-    if made := [m for n, m in of_year.items() if wanted(n)]:
-        parts.append(joined.select(*by, F.explode(F.array(*made)).alias("m")))
-    if wanted("debt_to_assets"):
-        balance = wide(selected.where("statement_type = 'balance_sheet' and period_type = 'point_in_time'"), _BALANCE, by)
-        parts.append(balance.select(*by, _ratio("debt_to_assets", F.col("total_liabilities"), F.col("total_assets")).alias("m")))
-    if wanted("free_cash_flow"):
-        o, c = F.col("operating_cash_flow"), F.col("capital_expenditure")
-        unit = F.coalesce(F.nullif(o["currency"], F.lit("")), F.nullif(c["currency"], F.lit("")), F.lit("unknown"))
-        parts.append(cash_rows.where("period_type = 'annual'").select(*by, _metric("free_cash_flow", [o, c], F.lit(False), "", (o["amount"] - F.abs(c["amount"])).cast("double"), unit).alias("m")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    rows = F.filter(F.array(*[F.when(here, m) for name, (here, m) in made.items() if wanted(name)]), lambda m: m.isNotNull())
+    out = years.select(*by, F.explode(rows).alias("m"))
     return out.select(*by, "m.metric", F.round("m.value", 6).alias("value"), "m.unit", "m.reason", "m.n_sources", *(["m.pages"] if with_pages else []))
 
 
+def _by_period(facts: DataFrame, selected: DataFrame, with_pages: bool) -> DataFrame:
+    """One row per report and period: a gated struct per input (MISSING if absent), and which statements it has.
+
+    An income statement's period counts if any of its rows is of that period, also one whose metric is unknown.
+    """
+    by, fields = [*REPORT, *PERIOD], ["amount", "currency", "reason", "n_sources", "pages"]
+    pages = (F.col("pages") if with_pages else F.array()).cast("array<int>").alias("pages")
+    own = selected.select(*by, "statement_type", "canonical_name", F.struct(*fields[:-1], pages).alias("v"))
+    bare = facts.where("statement_type = 'income_statement'").select(*by).distinct().select(*by, F.lit("income_statement").alias("statement_type"), F.lit(None).cast("string").alias("canonical_name"), F.lit(None).cast(own.schema["v"].dataType).alias("v"))
+    absent = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("amount", None, "decimal(38,6)"), ("currency", "", "string"), ("reason", "MISSING", "string"), ("n_sources", 0, "long"), ("pages", None, "array<int>"))])
+    inputs = [(s, n) for s, ns in (("income_statement", _INCOME), ("balance_sheet", _BALANCE), ("cash_flow", _CASH)) for n in ns]
+    values = [F.max(F.when((F.col("statement_type") == s) & (F.col("canonical_name") == n), F.col("v"))).alias(n) for s, n in inputs]
+    flags = [F.bool_or(F.col("statement_type") == s).alias(f) for f, s in (("of_income", "income_statement"), ("of_balance", "balance_sheet"), ("of_cash", "cash_flow"))]
+    got = own.unionByName(bare).groupBy(*by).agg(*values, *flags)
+    return got.withColumns({n: F.coalesce(n, absent) for _, n in inputs})
+
+
 def _filled(df: DataFrame, names: list[str]) -> DataFrame:
     """Gated structs that a left join left empty become MISSING."""
     missing = {"amount": None, "currency": "", "reason": "MISSING", "n_sources": 0, "quantum": None, "pages": None, "ocr": False, "scale": None}
