@@ -16,8 +16,8 @@ _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
 def _let(name: str, value: str, body: str) -> str:
-    """body with name standing for value, which is computed once."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    """body with name standing for value, which is computed once; a fold over nothing, see text.let()."""
+    return f"aggregate(array(), {value}, (kept, _none) -> kept, {name} -> {body})"
 
 
 def _strip(text: str) -> str:
