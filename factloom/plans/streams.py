@@ -11,16 +11,21 @@ from .catalog import ORACLES, _add, facts
 
 
 def _streamed(spark, sf_dir: str):
-    """Facts arrive in four files by year; those of even years arrive in the next file again."""
+    """Facts arrive in four loads by year; those of even years arrive in the next load again.
+
+    A load has as many files as its size asks for, and is one batch: what is there when a stream starts is read at once.
+    """
     arrived = F.timestamp_seconds(1_000_000_000 + F.col("year") % 4 * 60)
     once = consensus.with_hash(facts(spark, sf_dir), arrived).withColumn("part", F.col("year") % 4)
-    again = once.where("year % 2 = 0").withColumn("part", (F.col("part") + 1) % 4)
-    source, state = fresh(spark, "arriving"), fresh(spark, "consensus")
-    every = once.unionByName(again)
+    # even years have parts 0 and 2, so a part has its own facts and, if it is odd, those of the part before
+    loads, source, state = fresh(spark, "loads"), fresh(spark, "arriving"), fresh(spark, "consensus")
+    once.write.partitionBy("part").parquet(loads)
+    schema = once.drop("part").schema
     for part in range(4):
-        every.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(every.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
-    consensus.start(stream, state).awaitTermination()
+        for own in (part, part - 1) if part % 2 else (part,):
+            load = spark.read.schema(once.schema).parquet(loads).where(F.col("part") == own).drop("part")
+            load.write.mode("append").parquet(source)
+        consensus.start(spark.readStream.schema(schema).parquet(source), state).awaitTermination()
     selected = consensus.consensus(spark, state)
     return selected.select(*inputs.REPORT, "statement_type", "canonical_name", *inputs.PERIOD, "n_sources", F.round(F.col("amount").cast("double"), 6).alias("amount"), "currency", "reason")
 

@@ -45,3 +45,18 @@ def test_page_selection_on_odd_texts(spark):
     assert [(r.p, r.r) for r in df.select(pages.alias("p"), reason.alias("r")).collect()] == [_selected(x, 100) for x in texts]
     plan = df.select(pages.alias("p"), reason.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 2, "the parts are cut once for each of the two columns at most"
+
+
+def test_loads_of_a_stream_have_several_files(spark, monkeypatch, tmp_path):
+    """Four loads are four batches, and each lies in as many files as tasks wrote it."""
+    from factloom.plans import streams
+
+    monkeypatch.setattr(streams, "fresh", lambda _, tag: f"file://{tmp_path}/{tag}")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert streams._streamed(spark, SF).count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(list((tmp_path / "arriving").glob("part-*.parquet"))) >= 8
+    assert {x.name for x in (tmp_path / "consensus/progress/commits").iterdir() if x.name.isdigit()} >= {"0", "1", "2", "3"}
