@@ -9,6 +9,8 @@ from ..functions.text import strip
 
 #: What stands for a doubtful figure, the score under which one is doubtful, and how many pages are looked at.
 DOUBTFUL, LEAST_SCORE, CANDIDATES, MOST_PAGES, AHEAD = "OCR待核对", 0.90, 160, 20, 3
+#: About so many words are put in order by one task, however many there are.
+TASK_WORDS = 100_000
 #: A line without white space that is a statement's heading and nothing else.
 KINDS = (
     ("income", r"(?:合并|综合)?(?:损益表|利润表|收益表|综合收益表)(?:[（(]?续[）)]?)?|(?i:(?:Consolidated)?(?:IncomeStatement|StatementofProfitorLoss))"),
@@ -37,7 +39,8 @@ def checked_words(words: DataFrame) -> DataFrame:
     band = F.bround((F.col("y0") + F.col("y1")) / 2 / 3)
     place = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("band", "x0", "text"))
     out = words.select("doc_id", "page_number", "x0", "y0", "x1", "y1", F.when(low, DOUBTFUL).otherwise(plain).alias("text"), low.alias("doubtful"), band.alias("band"))
-    return out.withColumn("place", place)
+    # as many parts as the words ask for: the number of shuffle partitions does not grow with the input
+    return out.repartition(words.count() // TASK_WORDS + 1, "doc_id", "page_number").withColumn("place", place)
 
 
 def candidate_pages(pages: DataFrame) -> DataFrame:

@@ -60,3 +60,16 @@ def test_loads_of_a_stream_have_several_files(spark, monkeypatch, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert len(list((tmp_path / "arriving").glob("part-*.parquet"))) >= 8
     assert {x.name for x in (tmp_path / "consensus/progress/commits").iterdir() if x.name.isdigit()} >= {"0", "1", "2", "3"}
+
+
+@pytest.mark.parametrize("each", [500, 10**9])
+def test_words_are_dealt_by_their_number(spark, monkeypatch, each):
+    from factloom.operators import ocr
+
+    monkeypatch.setattr(ocr, "TASK_WORDS", each)
+    n = F.col("id")
+    words = spark.range(5000).select((n % 40).alias("doc_id"), (n % 3).alias("page_number"), *[(n * k % 50).cast("double").alias(c) for k, c in ((7, "x0"), (3, "y0"), (7, "x1"), (3, "y1"))], F.concat(F.lit("w"), n).alias("text"), F.lit(1.0).alias("score"))
+    got = ocr.checked_words(words)
+    assert got.rdd.getNumPartitions() == 5000 // each + 1
+    rows = [r for r in got.collect() if r.doc_id == 7 and r.page_number == 1]
+    assert [r.place for r in sorted(rows, key=lambda r: (r.band, r.x0, r.text))] == list(range(1, len(rows) + 1)) and len(rows) > 30
