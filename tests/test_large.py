@@ -73,3 +73,21 @@ def test_words_are_dealt_by_their_number(spark, monkeypatch, each):
     assert got.rdd.getNumPartitions() == 5000 // each + 1
     rows = [r for r in got.collect() if r.doc_id == 7 and r.page_number == 1]
     assert [r.place for r in sorted(rows, key=lambda r: (r.band, r.x0, r.text))] == list(range(1, len(rows) + 1)) and len(rows) > 30
+
+
+def test_tables_of_few_bytes_are_read_by_several_tasks(spark, monkeypatch):
+    """Rows that compress to nothing lie in files of bounded length, as a small file is one task's."""
+    from factloom.sources import scratch
+
+    rows = spark.range(4000).select(F.lit("x").alias("x")).coalesce(1)
+    monkeypatch.setattr(scratch, "FILE_ROWS", 500, raising=False)
+    table = scratch.kept(rows, "few-bytes")
+    assert table.count() == 4000 and len(table.inputFiles()) == 8 and table.rdd.getNumPartitions() >= 2
+
+
+def test_order_lines_are_read_once(spark):
+    """Texts, cells and words of reports are filled from one table of numbers."""
+    from factloom.plans import grids
+
+    plans = [grids.sums(spark, SF).inputFiles() for _ in range(2)]
+    assert plans[0] == plans[1] and not any("lineitem" in f for f in plans[0])
