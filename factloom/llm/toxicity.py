@@ -3,9 +3,11 @@
 A linear classifier over hashed words is trained in numpy from confirmed toxic examples and unlabelled text.  The risk of
 the negative class is estimated as the risk over unlabelled text less the class prior times the risk that positives
 would have as negatives; where that estimate falls under zero it counts as zero, which keeps the classifier from fitting
-the unlabelled set.  The prior is given, or the share of toxic rows among labelled rows; where all labels are toxic, it is
-estimated from the unlabelled text: no feature may be rarer there than the prior times its rate among positives, so the
-least ratio of the two rates, over features that a twentieth of the positives have, bounds it from above.
+the unlabelled set.  The prior is given, or the share of toxic rows among the labelled rows of the documents at hand:
+labels of documents that an earlier step dropped say nothing about the unlabelled text, and a prior that is too low
+teaches that some toxic text is clean.  Where all these labels are toxic, it is estimated from the unlabelled text: no
+feature may be rarer there than the prior times its rate among positives, so the least ratio of the two rates, over
+features that a twentieth of the positives have, bounds it from above.
 
 Positives are a bounded sample of the labelled toxic rows, drawn by a hash of the id: at most ``max_positive`` (3,000).
 Unlabelled text is the whole corpus but for the held-out rows.  Three passes read it: one counts in how many documents
@@ -262,20 +264,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     prior: the share of toxic documents, if it is known.
     """
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(~held_out("_id"))
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("_toxic"))
-    counts = marks.agg(F.count("*").alias("n"), F.sum(F.col("_toxic").cast("long")).alias("p")).first()
-    n, p = counts.n, counts.p or 0
+    # only labels of documents that are there count, as often as these occur
+    marks = durable(marks.join(docs.groupBy("_id").agg(F.count("*").alias("_rows")), "_id"), "toxic-marks")
+    counts = marks.agg(F.sum("_rows").alias("n"), F.sum(F.col("_toxic").cast("long") * F.col("_rows")).alias("p"), F.count(F.when(F.col("_toxic") == 1, 1)).alias("ids")).first()
+    n, p = counts.n or 0, counts.p or 0
     if prior is None and (p < n or not p):
         prior = p / n if n else 0.0
     within = lambda x: min(max(x, 1e-6), 1 - 1e-6)
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(~held_out("_id"))
-    toxic = _sampled(marks.where("_toxic = 1").select("_id"), p, max_positive)
+    toxic = _sampled(marks.where("_toxic = 1").select("_id"), counts.ids, max_positive)
     # of toxic documents with equal texts one stands for all
     chosen = durable(docs.join(F.broadcast(toxic), "_id").groupBy(F.xxhash64("_text").alias("_h"), F.length("_text").alias("_n")).agg(F.min("_id").alias("_id")).select("_id", F.lit(True).alias("_positive")).distinct(), "toxic-ids")
     flagged = docs.join(F.broadcast(chosen), "_id", "left").select("_text", F.coalesce("_positive", F.lit(False)).alias("_positive"))  # at most max_positive ids
     size = docs.join(F.broadcast(chosen), "_id", "left").agg(F.count("_positive").alias("p"), F.count("*").alias("u")).first()
     if not size.p:
-        drop(chosen)
+        drop(marks, chosen)
         rate = within(prior or 0.0)
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
     found = telling(flagged, size.p, size.u, least_count, least_z).orderBy(F.abs("z").desc(), "bucket").limit(max_features).collect()
@@ -284,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = within(estimated_prior(positive, documents, size.p, size.u) if prior is None else prior)
     table = durable(patterns(flagged, kept), "toxic-patterns")
     weights, bias = train(partial_sums(table, len(kept)), positive.astype(float), size.p, size.u, prior)
-    drop(chosen, table)
+    drop(marks, chosen, table)
     return Model(kept, weights.astype(np.float32), float(bias))
 
 

@@ -280,6 +280,21 @@ def test_toxicity_from_positives_alone(spark):
     assert 0.1 < toxicity.estimated_prior(np.array([50, 40]), np.array([150, 900]), 50, 1200) < 0.13
 
 
+def test_toxicity_labels_of_absent_documents(spark):
+    """Labels of documents that an earlier stage dropped change nothing: neither the prior nor what is learned from."""
+    rng = random.Random(4)
+    text = lambda toxic: " ".join(rng.sample([f"plain{i}" for i in range(90)], 30) + (rng.sample(["vile", "nasty", "rotten"], 1) if toxic else []))
+    docs = spark.createDataFrame([(i, text(i % 6 == 0)) for i in range(1800)], "doc_id long, text string")
+    own = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 1800)], "doc_id long, toxic int").where("doc_id % 7 < 4")
+    expected = toxicity.fit(docs, own)
+    for toxic in (0, 1):
+        labels = own.unionByName(spark.createDataFrame([(i, toxic) for i in range(10_000, 13_000)], "doc_id long, toxic int"))
+        assert {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()} == {i for i in range(1800) if i % 6}
+        got = toxicity.fit(docs, labels, max_positive=200)
+        assert list(got.buckets) == list(expected.buckets) and abs(got.intercept - expected.intercept) < 1e-6
+    assert toxicity.drop_toxic(docs, labels.where("doc_id >= 10000")).count() == 1800
+
+
 def test_toxicity_odd(spark):
     """Rows without an id, repeated rows, empty and very long texts, a column named score; an empty table."""
     text = lambda toxic, i: " ".join([f"plain{(i * 7 + j) % 90}" for j in range(30)] + (["vile", "nasty"] if toxic else []))
