@@ -15,17 +15,16 @@ def _streamed(spark, sf_dir: str):
 
     A load has as many files as its size asks for, and is one batch: what is there when a stream starts is read at once.
     """
-    arrived = F.timestamp_seconds(1_000_000_000 + F.col("year") % 4 * 60)
-    once = consensus.with_hash(facts(spark, sf_dir), arrived).withColumn("part", F.col("year") % 4)
-    # even years have parts 0 and 2, so a part has its own facts and, if it is odd, those of the part before
-    loads, source, state = fresh(spark, "loads"), fresh(spark, "arriving"), fresh(spark, "consensus")
-    once.write.partitionBy("part").parquet(loads)
-    schema = once.drop("part").schema
+    load = F.coalesce(F.pmod("year", F.lit(4)), F.lit(0))
+    arrived = F.timestamp_seconds(1_000_000_000 + load * 60)
+    table, source, state = facts(spark, sf_dir), fresh(spark, "arriving"), fresh(spark, "consensus")
     for part in range(4):
-        for own in (part, part - 1) if part % 2 else (part,):
-            load = spark.read.schema(once.schema).parquet(loads).where(F.col("part") == own).drop("part")
-            load.write.mode("append").parquet(source)
-        consensus.start(spark.readStream.schema(schema).parquet(source), state).awaitTermination()
+        own = consensus.with_hash(table.where(load == part), arrived)
+        own.write.parquet(source, mode="append")
+        # even years have parts 0 and 2, so an odd part has those of the part before too; they have arrived once so far
+        if part % 2:
+            spark.read.schema(own.schema).parquet(source).where(load == part - 1).write.parquet(source, mode="append")
+        consensus.start(spark.readStream.schema(own.schema).parquet(source), state).awaitTermination()
     selected = consensus.consensus(spark, state)
     return selected.select(*inputs.REPORT, "statement_type", "canonical_name", *inputs.PERIOD, "n_sources", F.round(F.col("amount").cast("double"), 6).alias("amount"), "currency", "reason")
 
